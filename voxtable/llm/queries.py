@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import media, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from voxtable.llm import html_text, media, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
 
@@ -20,6 +24,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_media, op5_mixing, op6_suffixes, op7_toxicity, op8_simhash, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_media, op4_pii, op5_mixing, op6_suffixes, op7_toxicity, op8_simhash, op9_quality, op10_packing)}
 ORACLES = {"op5_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
