@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, fingerprints within three bits."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,13 @@ many fingerprints is cut into blocks and each pair of blocks is a work unit of
 its own; a unit compares its fingerprints but emits no pairs, only a spanning
 forest of its links, which joins the same groups.
 
+Word edits that leave a Jaccard similarity of 0.8 change about 10 of the 64 bits,
+far beyond any chain that could be looked up: at a radius of 18 bits the longest
+clean chain is 3 bits. With ``similarity`` set, groups also join texts of that
+similarity: candidates then share one of their smallest shingle hashes, the
+pigeonring test at the wide radius and the Hamming check prune them, and
+sketches of the smallest hashes confirm the similarity.
+
 Defined cases: a null text is empty; texts without words have fingerprint zero
 and link like any other; texts shorter than a shingle are one shingle; repeated
 rows share a group; the smallest id ignores null ids, and is null in a group
@@ -39,29 +46,45 @@ from voxtable.scratch import cut
 
 SEED = 42
 BITS = 3
+#: For a wished similarity: differing bits that candidates may have (3 deviations above the mean at 0.8),
+#: smallest hashes that file a text, and smallest hashes that estimate the similarity.
+WIDE_BITS = 18
+FILED = 6
+SKETCH = 256
+#: Chains of this many segments are tested by the pigeonring at the wide radius.
+SEGMENTS = 16
 #: Fingerprints of one chain that a block holds; bounds a task's memory and time.
 BLOCK = 2048
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a text, unsigned."""
+def shingle_hashes(text: str, shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, in order, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - shingle + 1
-    hashes = np.fromiter([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+    return np.fromiter([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: 1 where more than half of the hashes have 1."""
     votes = np.zeros(64, np.int64)
-    for k in range(0, n, 65536):  # bounded memory for very long texts
+    for k in range(0, len(hashes), 65536):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         votes += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a text, unsigned."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -152,25 +175,141 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartition("chain", "i", "j").sortWithinPartitions("chain", "i", "j").mapInArrow(_forest, "src long, dst long")
 
 
+def _describe(shingle: int):
+    """Fingerprint, a hash of all words, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, words, filed, sketches = [], [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py() or "", shingle)
+                fps.append(majority(h))
+                words.append(hash_of(h))
+                least = np.unique(h)[:SKETCH]
+                filed.append(least[:FILED].view(np.int64))
+                sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in the same order
+            fp, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, words))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, word, pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "fp", "node", "filed", "sketch"])
+
+    return run
+
+
+def hash_of(hashes: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(hashes.tobytes(), 7)
+
+
+def chains_pass(x: np.ndarray, bits: int) -> np.ndarray:
+    """The pigeonring test on differences ``x``: some segment starts chains of 1 to 4 segments within l * bits / SEGMENTS each."""
+    width = 64 // SEGMENTS
+    mask = np.uint64((1 << width) - 1)
+    parts = np.stack([np.bitwise_count(x >> np.uint64(width * k) & mask) for k in range(SEGMENTS)])
+    total, ok = np.zeros_like(parts, np.int16), np.ones(parts.shape, bool)
+    for length in range(1, 5):
+        total += np.roll(parts, 1 - length, axis=0)
+        ok &= total * SEGMENTS <= length * bits
+    return ok.any(axis=0)
+
+
+def _alike(similarity: float):
+    """Rows sorted by (key, i, j): a spanning forest of each unit's texts of that similarity."""
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        """Of short texts the similarity itself; else its estimate, less its standard error."""
+        cut_off = max(len(a), len(b)) >= SKETCH
+        both = np.union1d(a, b)[: SKETCH if cut_off else None]
+        common = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
+        return common.sum() >= (similarity - cut_off * (similarity * (1 - similarity) / SKETCH) ** 0.5) * len(both)
+
+    def unit(nodes: np.ndarray, fps: np.ndarray, sketches: list) -> list[tuple[int, int]]:
+        found, label = [], np.arange(len(nodes))
+        for i in range(len(nodes) - 1):
+            x = fps[i + 1 :] ^ fps[i]
+            near = i + 1 + np.flatnonzero((np.bitwise_count(x) <= WIDE_BITS) & (label[i + 1 :] != label[i]))
+            near = near[chains_pass(fps[near] ^ fps[i], WIDE_BITS)] if len(near) else near
+            for j in near.tolist():
+                if label[i] != label[j] and alike(sketches[i], sketches[j]):
+                    label[label == label[j]] = label[i]
+                    found.append((int(nodes[i]), int(nodes[j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows, found = None, [], []
+
+        def done():
+            if len(rows) > 1:
+                found.extend(unit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows]))
+
+        for b in batches:
+            for key, i, j, node, fp, sketch in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5)):
+                if (key, i, j) != own:
+                    done()
+                    own, rows = (key, i, j), []
+                rows.append((node, fp, sketch.values.to_numpy().view(np.uint32)))
+            src, dst = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            found.clear()
+        done()
+        src, dst = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return run
+
+
+def similar_links(texts: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+    """(src, dst): links of ``texts`` (node, fp, filed, sketch) that join the groups of that similarity.
+
+    A pair of similarity 0.8 shares one of its FILED smallest hashes but for a
+    chance of 0.2 ** FILED. A key of more than 16 blocks, as a passage of very
+    many documents has, is left to texts with fewer than three less common keys.
+    """
+    filed = texts.select("node", F.explode("filed").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    filed = filed.withColumn("other", F.count_if(F.col("n") <= 16 * block).over(Window.partitionBy("node")))
+    filed = filed.where(f"n > 1 AND (n <= {16 * block} OR other < 3)").withColumn("m", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    filed = filed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = filed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(texts.select("node", "fp", "sketch"), "node")
+    return rows.select("key", "i", "j", "node", "fp", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(similarity), "src long, dst long")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, fp long, node long, filed array<long>, sketch array<int>"), "sketches")
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
+    texts = cut(texts, "texts")
+    fps = texts.groupBy("fp").agg(F.min("node").alias("one"))
+    close = links(fps.select("fp"))
+    by_bits = (close.join(fps.select(F.col("fp").alias("src"), F.col("one").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("one").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+               .unionByName(texts.select("node", "fp").join(fps, "fp").where("node <> one").select(F.col("node").alias("src"), F.col("one").alias("dst"))))
+    edges = cut(similar_links(texts, similarity).unionByName(by_bits).distinct(), "links")
+    return _named(table.select("doc_id", "fp", "node"), texts.select("node", "least"), connected_components(edges), "node")
+
+
+def _named(table: DataFrame, nodes: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """(doc_id, fp, component_id): each row's group by the smallest id in it; ``comps`` has linked nodes only."""
+    named = nodes.join(comps.select(F.col("node").alias("__node"), "component"), F.col(key) == F.col("__node"), "left").select(key, "least", F.coalesce("component", key).alias("c"))
+    smallest = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    member = named.join(smallest, "c").select(F.col(key).alias("__key"), "component_id")
+    return table.join(member, F.col(key) == F.col("__key")).select("doc_id", "fp", "component_id")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest id of its group."""
     table = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "fingerprints")
     nodes = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = cut(links(nodes.select("fp")).distinct(), "links")
-    comps = connected_components(edges)  # (node, component) of linked fingerprints only
-    named = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    member = named.join(smallest, "c").select(F.col("fp").alias("__fp"), "component_id")
-    return table.join(member, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return _named(table, nodes, connected_components(edges), "fp")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id.
 
-    Rows with equal ids are one document. Rows with a null id cannot be named as
-    members of a group and stay.
+    Groups are those of :func:`similar_groups`, or of :func:`groups` without a
+    similarity. Rows with equal ids are one document. Rows with a null id cannot
+    be named as members of a group and stay.
     """
-    g = groups(docs, doc_id, text, shingle)
+    g = groups(docs, doc_id, text, shingle) if similarity is None else similar_groups(docs, doc_id, text, shingle, similarity)
     first = g.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
