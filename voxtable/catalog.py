@@ -1,8 +1,481 @@
-"""Named queries over the driver's tables, with the SQL each must equal."""
+"""Named queries over the driver's tables, with the SQL each must equal.
 
-QUERIES = {}
-ORACLES = {}
+Volumes come from ``lineitem``: z is the line number, y and x are remainders of
+the supplier's and the part's key, and a voxel's value is the sum of quantities.
+The wide volume (1,024 by 1,024) is sparse, the small one (128 by 128) dense.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxtable.model import COORDS, VolumeFrame, from_table
+from voxtable.operators import classify, cluster, filters, gates, measure, reduce, segment, validate
+from voxtable.scratch import shared_dir
+from voxtable.sources import open_volume, write_tiff, write_zarr
+from voxtable.store import MeasurementStore
+from voxtable.workflow import Pipeline, Step
+
+WIDE, SMALL, DEPTH = 1024, 128, 7
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query, with its oracle if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def volume(spark: SparkSession, sf_dir: str, side: int = WIDE, channels: bool = False) -> VolumeFrame:
+    c = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2) if channels else None
+    return from_table(table(spark, sf_dir, "lineitem"), F.col("l_linenumber") - 1, F.col("l_suppkey") % side, F.col("l_partkey") % side, F.col("l_quantity"), (3 if channels else 1, DEPTH, side, side), c)
+
+
+def voxels(spark: SparkSession, sf_dir: str, side: int = WIDE) -> DataFrame:
+    return volume(spark, sf_dir, side).df.select(*COORDS, "value")
+
+
+def grid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by squares of 64 voxels where the value is at least 25."""
+    v = voxels(spark, sf_dir).where("value >= 25")
+    return v.select(*COORDS, (1 + F.floor(F.col("y") / 64) * 16 + F.floor(F.col("x") / 64)).cast("int").alias("label"))
+
+
+def _vol(side: int) -> str:
+    return f"vol AS (SELECT (l_linenumber - 1)::INT AS z, (l_suppkey % {side})::INT AS y, (l_partkey % {side})::INT AS x, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY 1, 2, 3)"
+
+
+VOL, VOL_SMALL = "WITH RECURSIVE " + _vol(WIDE), "WITH RECURSIVE " + _vol(SMALL)
+LAB = "lab AS (SELECT z, y, x, (1 + (y // 64) * 16 + x // 64)::INT AS label FROM vol WHERE value >= 25)"
+CHANNELS = f"WITH vol AS (SELECT (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS c, (l_linenumber - 1)::INT AS z, (l_suppkey % {WIDE})::INT AS y, (l_partkey % {WIDE})::INT AS x, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY 1, 2, 3, 4)"
+SHAPE, SHAPE_SMALL = (DEPTH, WIDE, WIDE), (DEPTH, SMALL, SMALL)
+
+
+# Selection and range access
+
+@query(f"{CHANNELS} SELECT z, y, x, value FROM vol WHERE c = 2")
+def channel_slice(spark, sf_dir):
+    return volume(spark, sf_dir, channels=True).channel(-1)
+
+
+@query(f"{CHANNELS} SELECT z - 1 AS z, y - 10 AS y, x - 20 AS x, value FROM vol WHERE c = 1 AND z >= 1 AND z < 4 AND y >= 10 AND y < 90 AND x >= 20 AND x < 2020")
+def subvolume(spark, sf_dir):
+    return volume(spark, sf_dir, channels=True).subvolume(1, 1, 10, 20, 3, 80, 2000)
+
+
+@query(f"{VOL}, {LAB} SELECT DISTINCT label FROM lab")
+def object_ids(spark, sf_dir):
+    return measure.object_ids(grid_labels(spark, sf_dir))
+
+
+@query(f"{VOL}, {LAB} SELECT z, y, x FROM lab WHERE label = 5")
+def object_pixel_indices(spark, sf_dir):
+    return measure.object_pixel_indices(grid_labels(spark, sf_dir), 5)
+
+
+@query(f"{VOL_SMALL} SELECT g.z::INT AS z, h.y::INT AS y, i.x::INT AS x FROM range({DEPTH}) g(z), range({SMALL}) h(y), range({SMALL}) i(x) WHERE NOT EXISTS (SELECT 1 FROM vol WHERE vol.z = g.z AND vol.y = h.y AND vol.x = i.x AND value >= 25)")
+def background_pixel_indices(spark, sf_dir):
+    labels = voxels(spark, sf_dir, SMALL).where("value >= 25").select(*COORDS, F.lit(1).alias("label"))
+    return measure.object_pixel_indices(labels, 0, SHAPE_SMALL)
+
+
+@query(f"{VOL}, {LAB} SELECT z, y, x, value FROM lab JOIN vol USING (z, y, x) WHERE label = 6")
+def object_intensity_values(spark, sf_dir):
+    return measure.object_intensity_values(grid_labels(spark, sf_dir), voxels(spark, sf_dir), 6, SHAPE, SHAPE)
+
+
+# Thresholds and gates
+
+@query(f"{VOL} SELECT z, y, x, value >= 30 AS mask FROM vol")
+def threshold_fixed(spark, sf_dir):
+    return segment.threshold_mask(voxels(spark, sf_dir), value=30)
+
+
+@query(f"{VOL} SELECT z, y, x, value >= (SELECT quantile_cont(value, 0.9) FROM vol) AS mask FROM vol")
+def threshold_percentile(spark, sf_dir):
+    return segment.threshold_mask(voxels(spark, sf_dir), method="percentile", percentile=90)
+
+
+@query(f"""{VOL}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM vol),
+h AS (SELECT least(255, floor((value - lo) / (hi - lo) * 256)) AS bin, count(*)::DOUBLE AS n FROM vol, e GROUP BY 1),
+k AS (SELECT lo + (bin + 0.5) * ((hi - lo) / 256) AS ctr, n FROM h, e),
+w AS (SELECT ctr, sum(n) OVER (ORDER BY ctr) AS w1, sum(n * ctr) OVER (ORDER BY ctr) AS s1, sum(n) OVER () AS wt, sum(n * ctr) OVER () AS st FROM k),
+t AS (SELECT ctr FROM w WHERE wt > w1 ORDER BY w1 * (wt - w1) * (s1 / w1 - (st - s1) / (wt - w1)) ** 2 DESC, ctr LIMIT 1)
+SELECT z, y, x, value >= (SELECT ctr FROM t) AS mask FROM vol""")
+def threshold_otsu(spark, sf_dir):
+    return segment.threshold_mask(voxels(spark, sf_dir), method="otsu")
+
+
+POLYGON = [(2.0, 950.0), (30.0, 1000.0), (48.0, 1700.0), (20.0, 1300.0), (10.0, 1900.0)]
+
+
+def _crossing(x: str, y: str) -> str:
+    pairs = zip(POLYGON, POLYGON[1:] + POLYGON[:1])
+    return " + ".join(f"(CASE WHEN ({yi} > {y}) <> ({yj} > {y}) AND {x} < {(xj - xi) / (yj - yi)!r}::DOUBLE * ({y} - {yi}) + {xi} THEN 1 ELSE 0 END)" for (xi, yi), (xj, yj) in pairs if yi != yj)
+
+
+@query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 950 AND 1500")
+def rectangle_gate(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(gates.rectangle_gate(F.col("p_size"), F.col("p_retailprice"), x_min=10, x_max=20, y_min=950, y_max=1500)).select("p_partkey")
+
+
+@query(f"SELECT p_partkey FROM part WHERE ({_crossing('p_size', 'p_retailprice')}) % 2 = 1")
+def polygon_gate(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(gates.polygon_gate(F.col("p_size"), F.col("p_retailprice"), POLYGON)).select("p_partkey")
+
+
+@query(f"SELECT p_partkey, (({_crossing('p_size', 'p_retailprice')}) % 2 = 1 AND NOT (p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 950 AND 1500)) OR p_size BETWEEN 1 AND 2 AS gated FROM part")
+def gate_algebra(spark, sf_dir):
+    x, y = F.col("p_size"), F.col("p_retailprice")
+    inside, box = gates.polygon_gate(x, y, POLYGON), gates.rectangle_gate(x, y, x_min=10, x_max=20, y_min=950, y_max=1500)
+    return table(spark, sf_dir, "part").select("p_partkey", ((inside & ~box) | gates.rectangle_gate(x, y, x_min=1, x_max=2, y_min=0, y_max=1e9)).alias("gated"))
+
+
+# Segmentation
+
+def _components(connectivity: int, side: int = WIDE) -> str:
+    steps = [f"({a}, {b}, {c})" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= connectivity]
+    return f"""WITH RECURSIVE {_vol(side)}, fg AS MATERIALIZED (SELECT z, y, x, (z * {side} + y) * {side} + x AS id, value FROM vol WHERE value >= 10),
+o(dz, dy, dx) AS (VALUES {', '.join(steps)}),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM fg a, o JOIN fg b ON b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+reach AS (SELECT id AS src, id AS dst FROM fg UNION SELECT reach.src, e.b FROM reach JOIN e ON reach.dst = e.a),
+root AS (SELECT src, min(dst) AS r FROM reach GROUP BY 1),
+comp AS (SELECT fg.z, fg.y, fg.x, fg.value, dense_rank() OVER (ORDER BY r)::INT AS label FROM fg JOIN root ON fg.id = root.src)"""
+
+
+def _bright(spark, sf_dir) -> DataFrame:
+    return segment.threshold_mask(voxels(spark, sf_dir), value=10)
+
+
+@query(_components(1) + " SELECT z, y, x, label FROM comp")
+def label_components_face(spark, sf_dir):
+    return segment.label_components(_bright(spark, sf_dir), SHAPE)
+
+
+@query(_components(3) + " SELECT z, y, x, label FROM comp")
+def label_components_full(spark, sf_dir):
+    return segment.label_components(_bright(spark, sf_dir), SHAPE, connectivity=3)
+
+
+@query(f"{VOL}, {LAB}, s AS (SELECT label, count(*) AS n FROM lab GROUP BY 1), k AS (SELECT label, dense_rank() OVER (ORDER BY label)::INT AS new FROM s WHERE n BETWEEN 300 AND 1500) SELECT z, y, x, new AS label FROM lab JOIN k USING (label)")
+def filter_by_size(spark, sf_dir):
+    return segment.filter_by_size(grid_labels(spark, sf_dir), min_size=300, max_size=1500)
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS id, (s_nationkey % 7)::DOUBLE AS z, (s_suppkey * 37 % 1024)::DOUBLE AS y, (s_suppkey * 101 % 1024) + 0.5 AS x FROM supplier),
+g AS (SELECT id, floor(p.z)::INT + a.d AS z, floor(p.y)::INT + b.d AS y, floor(p.x)::INT + c.d AS x, p.z AS pz, p.y AS py, p.x AS px FROM p, range(-3, 5) a(d), range(-3, 5) b(d), range(-3, 5) c(d))
+SELECT z::INT AS z, y::INT AS y, x::INT AS x, max(id)::INT AS label FROM g WHERE z BETWEEN 0 AND 6 AND y BETWEEN 0 AND 1023 AND x BETWEEN 0 AND 1023 AND (z - pz) ** 2 + (y - py) ** 2 + (x - px) ** 2 <= 6.25 GROUP BY 1, 2, 3""")
+def labels_from_points(spark, sf_dir):
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_nationkey") % 7).alias("z"), (F.col("s_suppkey") * 37 % 1024).alias("y"), (F.col("s_suppkey") * 101 % 1024 + 0.5).alias("x"))
+    return segment.labels_from_points(points, SHAPE, radius=2.5)
+
+
+@query()
+def watershed_split(spark, sf_dir):
+    mask = segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20)
+    return segment.watershed_split(None, mask, SHAPE_SMALL, min_distance=2)
+
+
+@query(f"""{VOL_SMALL}, fg AS (SELECT z, y, x FROM vol WHERE value >= 20), grid AS (SELECT g.z, h.y, i.x FROM range({DEPTH}) g(z), range({SMALL}) h(y), range({SMALL}) i(x)),
+bg AS (SELECT * FROM grid WHERE NOT EXISTS (SELECT 1 FROM fg WHERE fg.z = grid.z AND fg.y = grid.y AND fg.x = grid.x)),
+o AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM range(-6, 7) a(d), range(-9, 10) b(d), range(-9, 10) c(d) WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 81)
+SELECT fg.z, fg.y, fg.x, min(dz * dz + dy * dy + dx * dx)::DOUBLE AS d2 FROM fg, o JOIN bg ON bg.z = fg.z + dz AND bg.y = fg.y + dy AND bg.x = fg.x + dx GROUP BY 1, 2, 3""")
+def distance_transform(spark, sf_dir):
+    d = segment.distance_squared(segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20), SHAPE_SMALL)
+    return d.where("d2 <= 81")
+
+
+class _Bright:
+    """Stands in for a segmentation model: labels what is above the tile's mean."""
+
+    def eval(self, x, **options):
+        plane = x[..., 0]
+        return (plane > plane.mean()).astype("int32"), None, None
+
+
+@query()
+def model_segmentation(spark, sf_dir):
+    tiles = voxels(spark, sf_dir).withColumn("tile", F.concat_ws(":", F.floor(F.col("y") / 256), F.floor(F.col("x") / 256)))
+    return segment.apply_model(tiles, _Bright(), "tile string, z int, y int, x int, label int", do_3d=True)
+
+
+# Filters
+
+def _gauss(axis: str, n: int, source: str, sigma: float) -> str:
+    w = filters.gaussian_weights(sigma)
+    r = len(w) // 2
+    rest = ", ".join(c for c in COORDS if c != axis)
+    values = ", ".join(f"({k}, {x!r}::DOUBLE)" for k, x in zip(range(-r, r + 1), w))
+    return f"(SELECT {rest}, pos - k AS {axis}, sum(value * w) AS value FROM (SELECT {rest}, value, unnest([{axis}, -1 - {axis}, 2 * {n} - 1 - {axis}]) AS pos FROM {source}) s, (VALUES {values}) o(k, w) WHERE pos - k BETWEEN 0 AND {n - 1} GROUP BY {rest}, pos - k)"
+
+
+@query(f"{VOL}, a AS {_gauss('z', DEPTH, 'vol', 0.5)}, b AS {_gauss('y', WIDE, 'a', 0.5)}, c AS {_gauss('x', WIDE, 'b', 0.5)} SELECT z::INT AS z, y::INT AS y, x::INT AS x, round(value, 6) AS value FROM c")
+def gaussian_blur(spark, sf_dir):
+    out = filters.gaussian_blur(voxels(spark, sf_dir), SHAPE, 0.5)
+    return out.withColumn("value", F.round("value", 6))
+
+
+GRID = f"grid AS MATERIALIZED (SELECT g.z::INT AS z, h.y::INT AS y, i.x::INT AS x, coalesce(value, 0) AS value FROM range({DEPTH}) g(z) CROSS JOIN range({SMALL}) h(y) CROSS JOIN range({SMALL}) i(x) LEFT JOIN vol ON vol.z = g.z AND vol.y = h.y AND vol.x = i.x)"
+
+
+def _mirror(c: str, n: int) -> str:
+    return f"(CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} >= {n} THEN 2 * {n} - 1 - ({c}) ELSE {c} END)"
+
+
+@query(f"""{VOL_SMALL}, {GRID}, n AS (SELECT grid.z, grid.y, grid.x, {_mirror('grid.z + a.d', DEPTH)} AS nz, {_mirror('grid.y + b.d', SMALL)} AS ny, {_mirror('grid.x + c.d', SMALL)} AS nx FROM grid, range(-1, 2) a(d), range(-1, 2) b(d), range(-1, 2) c(d)),
+m AS (SELECT n.z, n.y, n.x, list_sort(list(g.value))[14] AS value FROM n JOIN grid g ON g.z = nz AND g.y = ny AND g.x = nx GROUP BY 1, 2, 3) SELECT z, y, x, value FROM m WHERE value > 0""")
+def median_filter(spark, sf_dir):
+    return filters.median_filter(voxels(spark, sf_dir, SMALL), SHAPE_SMALL, 1).where("value > 0")
+
+
+@query(f"""{VOL_SMALL}, {GRID}, o AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx, 2 - sqrt(4 - (a.d * a.d + b.d * b.d + c.d * c.d)) AS h FROM range(-2, 3) a(d), range(-2, 3) b(d), range(-2, 3) c(d) WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 4),
+m AS (SELECT p.z, p.y, p.x, any_value(p.value) AS v, min(q.value + h) AS bg FROM grid p, o JOIN grid q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)
+SELECT z, y, x, round(v - bg, 6) AS value FROM m WHERE v - bg > 0""")
+def subtract_background(spark, sf_dir):
+    return filters.subtract_background(voxels(spark, sf_dir, SMALL), SHAPE_SMALL, radius=2).where("value > 0").withColumn("value", F.round("value", 6))
+
+
+@query(f"{VOL} SELECT z, y, x, round((value - (SELECT min(value) FROM vol)) / (SELECT max(value) - min(value) FROM vol), 9) AS value FROM vol")
+def normalize_contrast(spark, sf_dir):
+    return filters.enhance_contrast(voxels(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+@query()
+def equalize_contrast(spark, sf_dir):
+    return filters.enhance_contrast(voxels(spark, sf_dir), SHAPE, method="equalize")
+
+
+# Measurements
+
+STATS = "count(*) AS count, avg(value) AS mean, min(value) AS min, max(value) AS max, sum(value) AS sum, round(stddev_pop(value), 6) AS stddev, avg(value) FILTER (value >= hi - (hi - lo) / 4) AS threshold_mean"
+
+
+@query(f"{VOL}, {LAB}, j AS (SELECT label AS object_id, value, min(value) OVER (PARTITION BY label) AS lo, max(value) OVER (PARTITION BY label) AS hi FROM lab JOIN vol USING (z, y, x)) SELECT object_id, {STATS} FROM j GROUP BY 1")
+def extract_measurements(spark, sf_dir):
+    return measure.extract_measurements(grid_labels(spark, sf_dir), voxels(spark, sf_dir), SHAPE, SHAPE).withColumn("stddev", F.round("stddev", 6))
+
+
+@query(f"WITH j AS (SELECT user_id AS object_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events), m AS (SELECT object_id, {STATS} FROM j GROUP BY 1) SELECT object_id, count, round(mean, 3) AS mean, min, max, round(sum, 2) AS sum, round(stddev, 3) AS stddev, round(threshold_mean, 3) AS threshold_mean FROM m")
+def measure_events(spark, sf_dir):
+    m = measure.measure(table(spark, sf_dir, "events").select(F.col("user_id").alias("object_id"), "value"))
+    return m.select("object_id", "count", F.round("mean", 3).alias("mean"), "min", "max", F.round("sum", 2).alias("sum"), F.round("stddev", 3).alias("stddev"), F.round("threshold_mean", 3).alias("threshold_mean"))
+
+
+@query("WITH e AS (SELECT max(l_extendedprice) - (max(l_extendedprice) - min(l_extendedprice)) / 4 AS t, l_returnflag AS f FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(avg(l_extendedprice), 4) AS threshold_mean FROM lineitem JOIN e ON f = l_returnflag WHERE l_extendedprice >= t GROUP BY 1")
+def threshold_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("value"))
+    return measure.threshold_mean(rows, "l_returnflag").withColumn("threshold_mean", F.round("threshold_mean", 4))
+
+
+@query(f"{VOL}, {LAB}, c AS (SELECT p_partkey AS id, p_size AS class_id FROM part WHERE p_partkey <= 200) SELECT z, y, x, coalesce(class_id, 0)::INT AS class_id FROM lab LEFT JOIN c ON label = id")
+def class_map(spark, sf_dir):
+    classes = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("object_id"), F.col("p_size").alias("class_id"))
+    return classify.class_map(grid_labels(spark, sf_dir), classes)
+
+
+FLAGSHIP = _components(1) + ", j AS (SELECT label AS object_id, value, min(value) OVER (PARTITION BY label) AS lo, max(value) OVER (PARTITION BY label) AS hi FROM comp) SELECT object_id, " + STATS + " FROM j GROUP BY 1"
+
+
+@query(FLAGSHIP)
+def bright_regions(spark, sf_dir):
+    """Threshold, label and measure as a pipeline of steps."""
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = Pipeline([
+        Step("segmentation", "threshold_mask", {"value": 10}, {"volume": "volume"}, "mask"),
+        Step("segmentation", "label_components", {}, {"mask": "mask", "shape": "shape"}, "labels"),
+        Step("measurements", "extract_measurements", {}, {"labels": "labels", "intensity": "volume"}, "table"),
+    ])
+    return steps.run({"volume": voxels(spark, sf_dir), "shape": SHAPE})["table"].withColumn("stddev", F.round("stddev", 6))
+
+
+# Validation
+
+@query(f"{VOL} SELECT count(*) FILTER (value >= 20 AND x % 3 > 0) / count(*) AS iou FROM vol WHERE value >= 20 OR (x % 3 > 0 AND value >= 15)")
+def iou(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return validate.segmentation_iou(v.where("value >= 20").select(*COORDS, F.lit(1).alias("label")), v.where("value >= 15 AND x % 3 > 0").select(*COORDS, F.lit(2).alias("label")))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS k, sum(l_quantity) AS q, count(*) AS n, avg(l_discount) AS d FROM lineitem GROUP BY 1), a AS (SELECT k, q + (k % 7 = 0)::INT * k AS q, n, d FROM e)
+SELECT 'q' AS column, 'out_of_tolerance' AS status, max(abs(a.q - e.q))::DOUBLE AS max_abs, round(max(abs(a.q - e.q) / greatest(abs(e.q), 1e-6)), 9) AS max_rel, count(*) FILTER (abs(a.q - e.q) > 1e-6 + 1e-3 * abs(e.q)) AS n_failing FROM a JOIN e USING (k)
+UNION ALL SELECT 'd', 'missing_in_actual', NULL, NULL, NULL""")
+def feature_diff(spark, sf_dir):
+    expected = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"), F.avg("l_discount").alias("d"))
+    actual = expected.select("k", (F.col("q") + F.when(F.col("k") % 7 == 0, F.col("k")).otherwise(0)).alias("q"), "n")
+    return validate.feature_table_diff(actual, expected, key="k").withColumn("max_rel", F.round("max_rel", 9))
+
+
+@query("""WITH p AS (SELECT label AS a, (vec_id % 7) AS b, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1, 2), r AS (SELECT sum(n) AS n FROM p GROUP BY a), c AS (SELECT sum(n) AS n FROM p GROUP BY b),
+v AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM p) AS i, (SELECT sum(n * (n - 1) / 2) FROM r) AS ra, (SELECT sum(n * (n - 1) / 2) FROM c) AS rb, (SELECT sum(n) FROM p) AS t)
+SELECT round((i - ra * rb / (t * (t - 1) / 2)) / ((ra + rb) / 2 - ra * rb / (t * (t - 1) / 2)), 9) AS ari FROM v""")
+def ari(spark, sf_dir):
+    pairs = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 7).alias("other"))
+    return validate.cluster_assignment_ari(pairs, "label", "other").withColumn("ari", F.round("ari", 9))
+
+
+# Clustering, reduction, classification
+
+def features(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("features"))
+
+
+def _fixed_centres(spark, sf_dir) -> list[list[float]]:
+    return [r["features"] for r in features(spark, sf_dir).where("object_id < 5").orderBy("object_id").collect()]
+
+
+NEAREST = """WITH c AS (SELECT vec_id AS k, embedding AS e FROM embeddings WHERE vec_id < 5),
+d AS (SELECT v.vec_id, k::INT AS k, (SELECT sum((v.embedding[i]::DOUBLE - c.e[i]::DOUBLE) ** 2) FROM range(1, 65) t(i)) AS d2 FROM embeddings v, c),
+n AS (SELECT vec_id AS object_id, arg_min(k, d2) AS cluster, min(d2) AS d2 FROM d GROUP BY 1)"""
+
+
+@query(NEAREST + " SELECT object_id, cluster, round(d2, 6) AS d2 FROM n")
+def nearest_centre(spark, sf_dir):
+    return cluster.nearest_centre(features(spark, sf_dir), _fixed_centres(spark, sf_dir)).withColumn("d2", F.round("d2", 6))
+
+
+@query(NEAREST + """, s AS (SELECT cluster, count(*)::DOUBLE AS m, sum(d2) AS ssd FROM n GROUP BY 1), t AS (SELECT sum(m) AS n, greatest(sum(ssd) / greatest(sum(m) - 5, 1), 1e-10) AS var FROM s)
+SELECT round(sum(m * ln(m / n) - m * 64 / 2 * ln(2 * pi() * var) - (m - 1) / 2) - 5 * 65 / 2.0 * ln(any_value(n)), 4) AS bic FROM s, t""")
+def kmeans_bic(spark, sf_dir):
+    near = cluster.nearest_centre(features(spark, sf_dir), _fixed_centres(spark, sf_dir))
+    return cluster.kmeans_bic(near, 64, 5).withColumn("bic", F.round("bic", 4))
+
+
+@query()
+def kmeans(spark, sf_dir):
+    return cluster.kmeans(features(spark, sf_dir), 10, seed=0)
+
+
+@query()
+def gaussian_mixture(spark, sf_dir):
+    some = features(spark, sf_dir).withColumn("features", F.slice("features", 1, 8))
+    return cluster.gaussian_mixture(some, 5, seed=0, restarts=2)
+
+
+@query()
+def auto_k_kmeans(spark, sf_dir):
+    return cluster.auto_k_kmeans(features(spark, sf_dir), k_min=2, k_max=4, seed=0)[0]
+
+
+@query()
+def hierarchical_ward(spark, sf_dir):
+    return cluster.hierarchical(features(spark, sf_dir), 10)
+
+
+@query()
+def hierarchical_single(spark, sf_dir):
+    return cluster.hierarchical(features(spark, sf_dir), 10, linkage="single")
+
+
+@query()
+def hierarchical_complete(spark, sf_dir):
+    return cluster.hierarchical(features(spark, sf_dir), 10, linkage="complete")
+
+
+@query()
+def pca(spark, sf_dir):
+    return reduce.pca(features(spark, sf_dir), 3)
+
+
+@query("""WITH s AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS b, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS c FROM embeddings)
+SELECT 1 AS component, round(((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c)) / (a + b), 9) AS explained FROM s UNION ALL SELECT 2, 1.0""")
+def explained_variance_2d(spark, sf_dir):
+    two = features(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+    return spark.createDataFrame([(k + 1, round(v, 9)) for k, v in enumerate(reduce.pca_explained_variance(two, 2))], "component int, explained double")
+
+
+@query()
+def isomap(spark, sf_dir):
+    return reduce.isomap(features(spark, sf_dir), 2)
+
+
+@query()
+def laplacian_eigenmap(spark, sf_dir):
+    return reduce.laplacian_eigenmap(features(spark, sf_dir), 2)
+
+
+@query()
+def tsne(spark, sf_dir):
+    return reduce.tsne(features(spark, sf_dir), 2, seed=0, landmarks=200)
+
+
+@query()
+def train_and_predict(spark, sf_dir):
+    """Crops around labelled squares, classed by their size, learned and predicted."""
+    labels, v = grid_labels(spark, sf_dir), voxels(spark, sf_dir)
+    sizes = labels.groupBy("label").agg((F.count("*") > 300).cast("long").alias("class_id"))
+    crops = classify.crops_around(labels, v, 8).join(sizes, F.col("object_id") == F.col("label")).drop("label")
+    model = classify.Cell3DClassifier(2)
+    classify.train_classifier(model, crops, epochs=3, lr=1e-2)
+    return classify.predict(model, crops)
+
+
+# Sources and sinks
+
+@query(f"{VOL_SMALL} SELECT 0 AS c, z, y, x, value FROM vol")
+def zarr_round_trip(spark, sf_dir):
+    v = volume(spark, sf_dir, SMALL).with_values(volume(spark, sf_dir, SMALL).df, "float32")
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}.zarr"
+    write_zarr(v, path, (1, 4, 32, 64))
+    return open_volume(spark, path).df
+
+
+@query(f"{VOL_SMALL} SELECT 0 AS c, z, y, x, value FROM vol")
+def tiff_round_trip(spark, sf_dir):
+    v = volume(spark, sf_dir, SMALL).with_values(volume(spark, sf_dir, SMALL).df, "uint16")
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}.tif"
+    write_tiff(v, path)
+    return open_volume(spark, path).df
+
+
+# SQL over measurement tables
+
+def _store(spark, sf_dir) -> MeasurementStore:
+    store = MeasurementStore(spark)
+    store.register("objects", table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("object_id")).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("event_type").alias("kind")))
+    store.register("clusters", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object_id"), (F.col("c_custkey") % 3).alias("cluster"), F.col("c_nationkey").alias("nation")))
+    return store
+
+
+OBJECTS = "WITH objects AS (SELECT user_id AS object_id, count(*) AS n, max(value) AS top, min(event_type) AS kind FROM events GROUP BY 1), clusters AS (SELECT c_custkey AS object_id, c_custkey % 3 AS cluster, c_nationkey AS nation FROM customer) "
+STORE_SQL = {
+    "store_select": "SELECT object_id, n, top FROM objects WHERE top > 100 ORDER BY object_id",
+    "store_filter_count": "SELECT kind, COUNT(*) AS many FROM objects WHERE n > 50 GROUP BY kind",
+    "store_join": "SELECT o.object_id, o.n, c.cluster FROM objects o JOIN clusters c ON o.object_id = c.object_id ORDER BY o.object_id",
+    "store_left_join": "SELECT c.object_id, coalesce(o.n, 0) AS n FROM clusters c LEFT JOIN objects o ON o.object_id = c.object_id",
+    "store_window": "SELECT object_id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY object_id) AS place, lag(nation) OVER (PARTITION BY cluster ORDER BY object_id) AS previous FROM clusters",
+    "store_setops": "SELECT object_id FROM clusters INTERSECT SELECT object_id FROM objects EXCEPT SELECT object_id FROM clusters WHERE cluster = 0",
+    "store_cube": "SELECT cluster, nation, count(*) AS n FROM clusters GROUP BY CUBE (cluster, nation)",
+    "store_rollup": "SELECT cluster, nation, count(*) AS n FROM clusters GROUP BY ROLLUP (cluster, nation)",
+    "store_distinct": "SELECT cluster, count(DISTINCT nation) AS nations, count(*) FILTER (WHERE nation > 10) AS far FROM clusters GROUP BY cluster",
+    "store_anti_join": "SELECT c.object_id FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.object_id = c.object_id)",
+    "store_top_k": "SELECT object_id, n FROM objects ORDER BY n DESC, object_id LIMIT 10",
+}
+
+
+def _store_query(name: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return _store(spark, sf_dir).query(sql)
+
+    run.__name__ = name
+    QUERIES[name], ORACLES[name] = run, OBJECTS + sql
+
+
+for _name, _sql in STORE_SQL.items():
+    _store_query(_name, _sql)

@@ -1 +1 @@
-
+"""Driver-side jobs that chain operators."""

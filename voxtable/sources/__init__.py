@@ -1 +1,24 @@
+"""Readers and writers of volumes; :func:`open_volume` picks one by the path."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from voxtable.model import VolumeFrame
+from voxtable.sources.tiff import read_tiff, write_tiff
+from voxtable.sources.zarr import read_zarr, small_file, write_zarr
+
+__all__ = ["open_volume", "read_tiff", "read_zarr", "write_tiff", "write_zarr"]
+
+#: Files that mark a folder as a chunk store.
+MARKERS = (".zarray", ".zgroup", "zarr.json")
+
+
+def open_volume(spark: SparkSession, path: str) -> VolumeFrame:
+    """A volume by its path: .tif or .tiff (a file or a folder of planes), .zarr, or a folder with a chunk store's marker."""
+    name = path.rstrip("/").lower()
+    if name.endswith((".tif", ".tiff")):
+        return read_tiff(spark, path)
+    if name.endswith(".zarr") or any(small_file(spark, f"{path.rstrip('/')}/{m}") is not None for m in MARKERS):
+        return read_zarr(spark, path)
+    raise ValueError(f"unrecognized volume format: {path}")
