@@ -269,10 +269,10 @@ def extract_measurements(spark, sf_dir):
     return measure.extract_measurements(grid_labels(spark, sf_dir), voxels(spark, sf_dir), SHAPE, SHAPE).withColumn("stddev", F.round("stddev", 6))
 
 
-@query(f"WITH j AS (SELECT user_id AS object_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events), m AS (SELECT object_id, {STATS} FROM j GROUP BY 1) SELECT object_id, count, round(mean, 3) AS mean, min, max, round(sum, 2) AS sum, round(stddev, 3) AS stddev, round(threshold_mean, 3) AS threshold_mean FROM m")
+@query(f"WITH j AS (SELECT user_id AS object_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events), m AS (SELECT object_id, {STATS} FROM j GROUP BY 1) SELECT object_id, count, round(mean, 9) AS mean, min, max, round(sum, 8) AS sum, round(stddev, 9) AS stddev, round(threshold_mean, 9) AS threshold_mean FROM m")
 def measure_events(spark, sf_dir):
     m = measure.measure(table(spark, sf_dir, "events").select(F.col("user_id").alias("object_id"), "value"))
-    return m.select("object_id", "count", F.round("mean", 3).alias("mean"), "min", "max", F.round("sum", 2).alias("sum"), F.round("stddev", 3).alias("stddev"), F.round("threshold_mean", 3).alias("threshold_mean"))
+    return m.select("object_id", "count", F.round("mean", 9).alias("mean"), "min", "max", F.round("sum", 8).alias("sum"), F.round("stddev", 9).alias("stddev"), F.round("threshold_mean", 9).alias("threshold_mean"))
 
 
 @query("WITH e AS (SELECT max(l_extendedprice) - (max(l_extendedprice) - min(l_extendedprice)) / 4 AS t, l_returnflag AS f FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(avg(l_extendedprice), 4) AS threshold_mean FROM lineitem JOIN e ON f = l_returnflag WHERE l_extendedprice >= t GROUP BY 1")

@@ -23,6 +23,7 @@ from voxtable.scratch import cut
 OTSU_BINS = 256
 #: Edge of the cubes that components are first found in.
 BLOCK = 64
+LINES = 16
 
 
 def otsu_value(volume: DataFrame, integers: bool = False) -> DataFrame:
@@ -171,7 +172,7 @@ def labels_from_points(points: DataFrame, shape: tuple[int, int, int], *, radius
 def distance_squared(mask: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """(z, y, x, d2) of the foreground: squared distance to the nearest background voxel of the volume.
 
-    One lower-envelope pass along each axis; a task holds one line at a time.
+    One lower-envelope pass along each axis; a group is a bundle of LINES by LINES lines.
     The volume's outside is not background. A line without background has null
     until an axis across it finds some.
     """
@@ -184,19 +185,26 @@ def distance_squared(mask: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
         others = [c for c in COORDS if c != axis]
         n = int(sizes[axis])
 
-        rows = rows.groupBy(*others).applyInPandas(_line(axis, n), "z int, y int, x int, d2 double")
+        bundle = [F.floor(F.col(c) / LINES).cast("int").alias("g" + c) for c in others]
+        rows = rows.groupBy(*bundle).applyInPandas(_lines(axis, others, n), "z int, y int, x int, d2 double")
     return rows
 
 
-def _line(axis: str, n: int):
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = np.zeros(n)
-        at = pdf[axis].to_numpy()
-        f[at] = pdf["d2"].to_numpy()
-        pdf["d2"] = _envelope(f)[at]
-        return pdf
+def _lines(axis: str, others: list[str], n: int):
+    """The pass along ``axis`` over a bundle of lines."""
 
-    return line
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(others, kind="stable")
+        a, b, at, d2 = (pdf[c].to_numpy() for c in (*others, axis, "d2"))
+        out = np.empty(len(d2))
+        edges = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(d2)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            f = np.zeros(n)
+            f[at[i:j]] = d2[i:j]
+            out[i:j] = _envelope(f)[at[i:j]]
+        return pdf.assign(d2=out)[["z", "y", "x", "d2"]]
+
+    return run
 
 
 def _envelope(f: np.ndarray) -> np.ndarray:
