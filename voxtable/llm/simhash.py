@@ -212,27 +212,62 @@ def chains_pass(x: np.ndarray, bits: int) -> np.ndarray:
     return ok.any(axis=0)
 
 
-def _alike(similarity: float):
-    """Rows sorted by (key, i, j): a spanning forest of each unit's texts of that similarity."""
+def similar_pairs(fps: np.ndarray, sketches: list[np.ndarray], similarity: float) -> np.ndarray:
+    """(n, n) booleans: pairs that pass the pigeonring, the Hamming check and the sketches' similarity.
+
+    The similarity of two sketches is that of the hashes up to the smaller end of
+    the two; a sketch that holds all of a text's hashes has no end. Of short texts
+    that is the similarity itself; estimates may fall short by a standard error.
+    """
+    n = len(fps)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= WIDE_BITS
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    keep = np.concatenate([chains_pass(fps[a[k : k + 65536]] ^ fps[b[k : k + 65536]], WIDE_BITS) for k in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
+    a, b = a[keep], b[keep]
+    out = np.zeros((n, n), bool)
+    if not len(a):
+        return out
+    whole = np.array([len(s) < SKETCH for s in sketches])
+    ends = np.array([np.iinfo(np.uint32).max if w else s[-1] for s, w in zip(sketches, whole)], np.uint32)
+    upto = np.stack([np.searchsorted(s, ends, side="right") for s in sketches])
+    common = np.zeros((n, n), np.float32)
+    values, at, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(n), [len(s) for s in sketches])
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[at]
+    rows, column = rows[column >= 0], column[column >= 0]
+    for k in range(0, len(shared), 4096):  # a bounded part of the hashes at a time
+        inside = (column >= k) & (column < k + 4096)
+        m = np.zeros((n, min(4096, len(shared) - k)), np.float32)
+        m[rows[inside], column[inside] - k] = 1
+        common += m @ m.T
+    i = common[a, b]
+    union = upto[a, b] + upto[b, a] - i
+    slack = np.where(whole[a] & whole[b], 0.0, (similarity * (1 - similarity) / SKETCH) ** 0.5)
+    good = i >= (similarity - slack) * union
+    out[a[good], b[good]] = out[b[good], a[good]] = True
+    return out
+
 
-    def alike(a: np.ndarray, b: np.ndarray) -> bool:
-        """Of short texts the similarity itself; else its estimate, less its standard error."""
-        cut_off = max(len(a), len(b)) >= SKETCH
-        both = np.union1d(a, b)[: SKETCH if cut_off else None]
-        common = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
-        return common.sum() >= (similarity - cut_off * (similarity * (1 - similarity) / SKETCH) ** 0.5) * len(both)
+def _alike(similarity: float):
+    """Rows sorted by (key, i, j): each unit's texts of that similarity, joined to the first of their group."""
 
     def unit(nodes: np.ndarray, fps: np.ndarray, sketches: list) -> list[tuple[int, int]]:
-        found, label = [], np.arange(len(nodes))
-        for i in range(len(nodes) - 1):
-            x = fps[i + 1 :] ^ fps[i]
-            near = i + 1 + np.flatnonzero((np.bitwise_count(x) <= WIDE_BITS) & (label[i + 1 :] != label[i]))
-            near = near[chains_pass(fps[near] ^ fps[i], WIDE_BITS)] if len(near) else near
-            for j in near.tolist():
-                if label[i] != label[j] and alike(sketches[i], sketches[j]):
-                    label[label == label[j]] = label[i]
-                    found.append((int(nodes[i]), int(nodes[j])))
-        return found
+        pairs = similar_pairs(fps, sketches, similarity)
+        label = np.arange(len(nodes))
+        if not pairs.any():
+            return []
+        np.fill_diagonal(pairs, True)
+        while True:
+            low = np.where(pairs, label[None], len(nodes)).min(axis=1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(label.tolist()) if k != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows, found = None, [], []
@@ -241,18 +276,20 @@ def _alike(similarity: float):
             if len(rows) > 1:
                 found.extend(unit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows]))
 
+        def batch():
+            src, dst = zip(*found) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
         for b in batches:
             for key, i, j, node, fp, sketch in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5)):
                 if (key, i, j) != own:
                     done()
                     own, rows = (key, i, j), []
                 rows.append((node, fp, sketch.values.to_numpy().view(np.uint32)))
-            src, dst = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-            found.clear()
+            yield batch()
         done()
-        src, dst = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        yield batch()
 
     return run
 
