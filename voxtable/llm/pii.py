@@ -251,6 +251,8 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
     the fit over all rows and for the rows themselves; texts are not shuffled.
     """
     columns = docs.columns
+    clash = {c: f"__own_{c}" for c in ("cands", "base_spans", "pii_spans") if c in columns}
+    docs, types = docs.withColumnsRenamed(clash), docs.schema
     model = fit_candidates(cut(with_candidates(docs.select(F.col(text).alias("text")), "text").select("cands"), "pii"))
     rows = with_spans(with_candidates(docs.withColumn("__body", F.coalesce(F.col(text).cast("string"), F.lit(""))), "__body"), model)
     ordered = "array_sort(transform(pii_spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"
@@ -264,5 +266,5 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
     new = f"concat(array_join({parts}, ''), substring(__body, element_at(__spans, -1).e + 1))"
     rows = rows.withColumn(text, F.expr(f"CASE WHEN size(__spans) > 0 THEN {new} ELSE `{text}` END"))
     if length:
-        rows = rows.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
-    return rows.select(*columns)
+        rows = rows.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(F.length(text).cast(types[length].dataType)))
+    return rows.drop(*clash).withColumnsRenamed({v: k for k, v in clash.items()}).select(*columns)
