@@ -60,7 +60,10 @@ CUE = {
 #: Largest value of each feature; so at most 4*5*5*3*3*2*2*2 = 7,200 vectors.
 FEATURES = {"kind": 3, "digits": 4, "seps": 4, "left": 2, "right": 2, "cue": 1, "shape": 1, "check": 1}
 CONTEXT = 32
-BLOCK = 256
+#: Characters of a candidate: no kind passes its check with fewer, but for e-mail addresses and IP numbers of at least 5 and 7.
+SHORTEST = 5
+#: Levels of eight of running sums: lists of 8 ** LEVELS entries.
+LEVELS = 9
 
 
 def _cased(exprs: dict[str, str], key: str) -> str:
@@ -78,6 +81,21 @@ def _q(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+def _running(rows: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Array columns as their running sums (+) or maxima (max), level by level: linear in their length but for LEVELS.
+
+    After level l an entry covers the 8 ** (l + 1) entries up to it; short arrays
+    stay as they are. Slices and grown lists would copy the array for each entry.
+    """
+    for level in range(LEVELS):
+        step = 8**level
+        terms = [f"get({{c}}, i - {j * step})" for j in range(1, 8)]
+        new = "x + " + " + ".join(f"coalesce({t}, 0)" for t in terms) if how == "+" else f"greatest(x, {', '.join(terms)})"
+        rest = [f"`{c}`" for c in rows.columns if c not in columns]
+        rows = rows.selectExpr(*rest, *[f"CASE WHEN size({c}) > {step} THEN transform({c}, (x, i) -> {new.format(c=c)}) ELSE {c} END AS {c}" for c in columns])
+    return rows
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """Adds ``cands`` to rows with column __t: array of (kind, base, s, e, m, before, after)."""
     names = [(f"{g}_{k}", p[k], i, g == "b") for g, p in (("b", BASE), ("l", LOOSE)) for i, k in enumerate(KINDS)]
@@ -86,18 +104,14 @@ def _candidates(rows: DataFrame) -> DataFrame:
     out = rows.selectExpr(*keep, *[f"__t RLIKE {_q(NEEDS[k])} AS n_{k}" for k in KINDS])
     out = out.selectExpr(*keep, *[f"CASE WHEN n_{KINDS[i]} THEN regexp_extract_all(__t, {_q(p)}, 0) ELSE {none} END AS m_{n}" for n, p, i, _ in names])
     out = out.selectExpr(*keep, *[f"m_{n}" for n, *_ in names], *[f"CASE WHEN size(m_{n}) > 0 THEN split(__t, {_q(p)}, -1) ELSE {none} END AS p_{n}" for n, p, *_ in names])
-    out = out.selectExpr(*keep, *[f"{c}_{n}" for n, *_ in names for c in "mp"], *[f"zip_with(m_{n}, slice(p_{n}, 1, size(m_{n})), (m, p) -> length(m) + length(p)) AS w_{n}" for n, *_ in names])
-
-    def total(w: str, first: str, n: str) -> str:
-        return f"aggregate(slice({w}, {first}, {n}), 0, (a, x) -> a + x)"
-
-    # Starts of blocks of matches, then of matches in their block: no list is copied for each match.
-    blocks = [f"CASE WHEN size(w_{n}) > {BLOCK} THEN aggregate(sequence(0, (size(w_{n}) - 1) div {BLOCK}), array(0), (a, k) -> concat(a, array(element_at(a, -1) + {total(f'w_{n}', f'CAST(k * {BLOCK} AS INT) + 1', str(BLOCK))}))) ELSE array(0) END AS s_{n}" for n, *_ in names]
-    out = out.selectExpr(*keep, *[f"{c}_{n}" for n, *_ in names for c in "mpw"], *blocks)
+    ends = [f"zip_with(m_{n}, slice(p_{n}, 1, size(m_{n})), (m, p) -> length(m) + length(p)) AS e_{n}" for n, *_ in names]
+    out = out.selectExpr(*keep, *[f"{c}_{n}" for n, *_ in names for c in "mp"], *ends)
+    out = _running(out, [f"e_{n}" for n, *_ in names], "+")
     lists = []
     for n, _, i, base in names:
-        start = f"get(s_{n}, CAST(k div {BLOCK} AS INT)) + {total(f'w_{n}', f'CAST(k div {BLOCK} AS INT) * {BLOCK} + 1', f'CAST(k % {BLOCK} AS INT)')} + length(get(p_{n}, k))"
-        lists.append(f"transform(m_{n}, (m, k) -> named_struct('kind', {i}, 'base', {str(base).lower()}, 's', {start}, 'n', length(m), 'm', m, 'before', right(get(p_{n}, k), {CONTEXT}), 'after', left(get(p_{n}, k + 1), 2)))")
+        one = f"named_struct('kind', {i}, 'base', {str(base).lower()}, 's', get(e_{n}, k) - length(m), 'n', length(m), 'm', m, 'before', right(get(p_{n}, k), {CONTEXT}), 'after', left(get(p_{n}, k + 1), 2))"
+        # Numbers of fewer than SHORTEST characters are no candidates, only texts between them.
+        lists.append(f"filter(transform(m_{n}, (m, k) -> CASE WHEN length(m) >= {SHORTEST} THEN {one} END), x -> x IS NOT NULL)")
     return out.selectExpr(*keep, f"concat({', '.join(lists)}) AS cands")
 
 
@@ -257,9 +271,10 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
     rows = with_spans(with_candidates(docs.withColumn("__body", F.coalesce(F.col(text).cast("string"), F.lit(""))), "__body"), model)
     ordered = "array_sort(transform(pii_spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"
     rows = rows.withColumn("__spans", F.expr(ordered))
-    merged = ("aggregate(__spans, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, kind: INT>>), (a, x) -> CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e"
-              " THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind))) ELSE concat(a, array(x)) END)")
-    rows = rows.withColumn("__spans", F.expr(f"CASE WHEN size(__spans) > 1 THEN {merged} ELSE __spans END"))
+    rows = _running(rows.withColumn("__ends", F.expr("transform(__spans, x -> x.e)")), ["__ends"], "max")
+    # Spans that meet are one: it begins where none before it reaches, and ends where the next begins to be clear.
+    rows = rows.withColumn("__first", F.expr("filter(sequence(0, size(__spans)), k -> k < size(__spans) AND get(__spans, k).s >= coalesce(get(__ends, k - 1), 0))"))
+    rows = rows.withColumn("__spans", F.expr("transform(__first, (k, g) -> named_struct('s', get(__spans, k).s, 'e', get(__ends, coalesce(get(__first, g + 1), size(__spans)) - 1), 'kind', get(__spans, k).kind))"))
     tag = "CASE x.kind " + " ".join(f"WHEN {i} THEN '[{k.upper()}]'" for i, k in enumerate(KINDS)) + " END"
     last = "coalesce(get(__spans, k - 1).e, 0)"
     parts = f"transform(__spans, (x, k) -> concat(substring(__body, {last} + 1, x.s - {last}), {tag}))"
