@@ -206,7 +206,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
             lists = todo.groupBy("id", "th").agg(F.collect_list(F.struct("p", "n", "d")).alias("runs"))  # of one text
             rows = cut(_with_lists(bodies, lists).select("id", "th", "body", "runs").mapInArrow(_next_pass(threshold, gram, size), CELLS), "cells")
         groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("sup").alias("a"), F.max("sup").alias("b")).where("rows > 1")
-        kept = cut(rows.join(groups.select("key", (F.col("a") == F.col("b")).alias("same")), "key"), "repeats")
+        # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+        groups = cut(groups.select("key", (F.col("a") == F.col("b")).alias("same")), "groups")
+        kept = cut(rows.join(groups, "key"), "repeats")
         found.append(kept.where("same").select("id", "th", "p", "n"))
         if size == 1:
             break
