@@ -112,7 +112,7 @@ class Scorer:
             own = [float(self.weights[bucket(t)]) for t in tokens(w)]
             s = max(own, key=abs)
             s = DRIFT if s == 0 else s
-            if len(self.known) < 500_000:
+            if len(self.known) < 200_000:
                 self.known[w] = s
         return s
 
