@@ -233,9 +233,10 @@ def _envelope(f: np.ndarray) -> np.ndarray:
 def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int) -> DataFrame:
     """(z, y, x, marker): local maxima at least ``min_distance`` apart by Chebyshev distance.
 
-    Candidates are maxima of their window. Of those in each other's window the
-    largest, then first in raster order, stays: rounds in which every candidate
-    that leads all its remaining neighbours is taken and removes them.
+    Of candidates in each other's window the largest stays, ties by a hash of
+    their place: rounds in which every candidate that leads all its remaining
+    neighbours is taken and removes them. The hash keeps rounds few on plateaus.
+    Markers are numbered by falling distance, then in raster order.
     """
     d = int(min_distance)
     side = max(1, d)
@@ -244,7 +245,8 @@ def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int) -
     for c, n in zip(COORDS, shape):
         if n > 2 * d:  # a band as wide as the window has no peaks
             rows = rows.where((F.col(c) >= d) & (F.col(c) < n - d))
-    rank = F.struct(F.col("d2"), (-((F.col("z") * F.lit(int(shape[1])) + F.col("y")) * F.lit(int(shape[2])) + F.col("x"))).cast("long").alias("r"))
+    raster = ((F.col("z") * F.lit(int(shape[1])) + F.col("y")) * F.lit(int(shape[2])) + F.col("x")).cast("long")
+    rank = F.struct(F.col("d2"), F.xxhash64(*COORDS).alias("h"), raster.alias("r"))
     pool = rows.select(*COORDS, "d2", rank.alias("rank"))
     # The best of each cell first: only these can be peaks, one for each cell of side min_distance.
     best = pool.groupBy(*[cell(c).alias("k" + c) for c in COORDS]).agg(F.max(F.struct("rank", *COORDS)).alias("m"))
@@ -267,7 +269,7 @@ def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int) -
     out = taken[0]
     for t in taken[1:]:
         out = out.unionByName(t)
-    key = F.struct((-F.col("rank.d2")).alias("a"), (-F.col("rank.r")).alias("b"))
+    key = F.struct((-F.col("rank.d2")).alias("a"), F.col("rank.r").alias("b"))
     keyed = cut(out.select(*COORDS, key.alias("key")), "peaks")
     return keyed.join(dense_index(keyed, "key", "marker"), "key").select(*COORDS, "marker")
 
