@@ -134,21 +134,29 @@ def test_image_round_trip(n):
     assert media.payload_of(image) == payload and media.rgb(image).shape == (image.height, image.width, 3)
 
 
-def test_image_slow_paths_agree(monkeypatch):
-    """The symbol-by-symbol reader finds what the array readers find."""
-    payload = media.pad(random.Random(5).randbytes(900))
-    data = media.encode(payload)
-    bits = media._Bits
-    fast = media.decode(data)
-    # One symbol more in the AC table changes nothing but that scans are no longer whole bytes for all codes.
-    monkeypatch.setattr(media.np, "packbits", np.packbits)
-    slow = media.Image(fast.width, fast.height, fast.sampling, fast.tables)
-    plane = slow.planes[1].reshape(-1, 64)
+def test_image_readers_agree():
+    """The symbol-by-symbol reader finds what the array reader finds; a byte more at the end calls for the former."""
+    raw = (np.frombuffer(random.Random(5).randbytes(4 * 63), np.uint8) >> 1).tobytes()
     table = media._huffman(bytes([1, 1] + [0] * 14), bytes([7, 0]))
-    raw = (np.frombuffer(payload, np.uint8).reshape(-1, 64)[:6] >> 1).tobytes()
-    reader = bits(raw)
-    first = reader.symbol(table.codes)
-    assert first == 7 and abs(reader.signed(7)) >= 64 and plane.shape[1] == 64
+    planes = []
+    for data in (raw, raw + b"\xff"):
+        image = media.Image(16, 16, [(1, 1)], [0])
+        media._scan(image, [0], [None], [table], 1, 63, 0, 1, data)
+        planes.append(image.planes[0])
+    assert (planes[0] == planes[1]).all() and (np.abs(planes[0][:, :, 1:]) >= 128).all()
+    with pytest.raises(ValueError):
+        media._scan(media.Image(16, 16, [(1, 1)], [0]), [0], [None], [table], 1, 63, 0, 1, raw[:50])
+
+
+def test_refinement_finds_new_coefficients():
+    """A refinement that sets a coefficient beyond zeros, corrects another, and ends the band (T.81, G.1.2.3)."""
+    image = media.Image(8, 8, [(1, 1)], [0])
+    image.planes[0][0, 0, 2] = 4
+    table = media._huffman(bytes([0, 2] + [0] * 14), bytes([0x11, 0x00]))
+    # run 1 and size 1, positive; a correction bit 1 for place 2 on the way; end of band.
+    bits = [0, 0, 1, 1, 0, 1]
+    media._refine(image.planes[0].reshape(-1, 64), np.array([0]), table.codes, 1, 63, 1, np.packbits(bits).tobytes())
+    assert image.planes[0][0, 0, :5].tolist() == [0, 0, 6, 2, 0]
 
 
 def test_inverse_transform():
