@@ -388,6 +388,17 @@ def test_similar_groups_find_edited_copies(spark):
     assert all(got[i] == g for i, g in truth.items()) and all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+@pytest.mark.parametrize("unit", [512, 4])
+def test_similar_groups_of_a_common_passage(spark, monkeypatch, unit):
+    """Texts that are alike only by a passage of many texts are found, and texts of other sizes around it are left alone."""
+    monkeypatch.setattr(simhash, "UNIT", unit)
+    passage = prose(50, 240)
+    alike = [(k, f"{passage} {prose(700 + k, 6)}") for k in range(12)]
+    apart = [(100 + k, f"{passage} {prose(800 + k, 200 + 40 * k)}") for k in range(12)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(alike + apart, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i, _ in alike} | {i: i for i, _ in apart}
+
+
 def test_keep_one(spark, edge):
     kept = sorted((r["doc_id"] for r in simhash.keep_one(edge).collect()), key=lambda i: (i is None, i))
     assert kept == [1, 2, 5, 7, 8, 9, 10, None, None]

@@ -33,13 +33,13 @@ without any; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voxtable.operators.graph import connected_components
 from voxtable.scratch import cut
@@ -55,6 +55,8 @@ SKETCH = 256
 SEGMENTS = 16
 #: Fingerprints of one chain that a block holds; bounds a task's memory and time.
 BLOCK = 2048
+#: The same of texts with their sketches that share a shingle hash.
+UNIT = 512
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = SEED) -> np.ndarray:
@@ -164,10 +166,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(True)
 
 
+def crowded(filed: DataFrame, *keys: str) -> DataFrame:
+    """``filed`` with n, the number of rows of its key, where that is more than one.
+
+    Counts are aggregated in part before their shuffle and joined back from a
+    written table, so the rows of a common key are never gathered in one task.
+    """
+    counts = cut(filed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    return filed.join(counts, list(keys))
+
+
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst): a subset of the links of distinct fingerprints ``fps`` (fp) that joins the same groups."""
     chains = F.array(*[_chain(h, s) for h in (0, 1) for s in range(8)])
-    filed = fps.select("fp", F.explode(chains).alias("chain")).withColumn("n", F.count("*").over(Window.partitionBy("chain"))).where("n > 1")
+    filed = crowded(fps.select("fp", F.explode(chains).alias("chain")), "chain")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     filed = filed.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     dealt = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -176,20 +188,22 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _describe(shingle: int):
-    """Fingerprint, a hash of all words, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
+    """Fingerprint, a hash of all words, the number of different shingles, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, words, filed, sketches = [], [], [], []
+            fps, words, sizes, filed, sketches = [], [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py() or "", shingle)
                 fps.append(majority(h))
                 words.append(hash_of(h))
-                least = np.unique(h)[:SKETCH]
+                own = np.unique(h)
+                sizes.append(len(own))
+                least = own[:SKETCH].copy()  # not a view that keeps a long text's hashes
                 filed.append(least[:FILED].view(np.int64))
                 sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in the same order
             fp, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, words))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, word, pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "fp", "node", "filed", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, word, pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "fp", "node", "size", "filed", "sketch"])
 
     return run
 
@@ -253,7 +267,7 @@ def similar_pairs(fps: np.ndarray, sketches: list[np.ndarray], similarity: float
 
 
 def _alike(similarity: float):
-    """Rows sorted by (key, i, j): each unit's texts of that similarity, joined to the first of their group."""
+    """Rows sorted by (key, band, i, j): each unit's texts of that similarity, joined to the first of their group."""
 
     def unit(nodes: np.ndarray, fps: np.ndarray, sketches: list) -> list[tuple[int, int]]:
         pairs = similar_pairs(fps, sketches, similarity)
@@ -282,10 +296,10 @@ def _alike(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
         for b in batches:
-            for key, i, j, node, fp, sketch in zip(*(b.column(k).to_pylist() for k in range(5)), b.column(5)):
-                if (key, i, j) != own:
+            for *unit_of, node, fp, sketch in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6)):
+                if unit_of != own:
                     done()
-                    own, rows = (key, i, j), []
+                    own, rows = unit_of, []
                 rows.append((node, fp, sketch.values.to_numpy().view(np.uint32)))
             yield batch()
         done()
@@ -294,26 +308,32 @@ def _alike(similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, similarity: float, block: int = 512) -> DataFrame:
-    """(src, dst): links of ``texts`` (node, fp, filed, sketch) that join the groups of that similarity.
+def similar_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links of ``texts`` (node, fp, size, filed, sketch) that join the groups of that similarity.
 
     A pair of similarity 0.8 shares one of its FILED smallest hashes but for a
-    chance of 0.2 ** FILED. A key of more than 16 blocks, as a passage of very
-    many documents has, is left to texts with fewer than three less common keys.
+    chance of 0.2 ** FILED. Texts of a key are compared in units of two blocks of
+    UNIT texts. A key of more texts than a block is split by their sizes first:
+    the sizes of a pair differ by a factor of 1 / similarity at most, so bands of
+    that width hold each pair together if a text is filed in its own band and the
+    next. Nothing is left out, however common the key is.
     """
-    filed = texts.select("node", F.explode("filed").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    filed = filed.withColumn("other", F.count_if(F.col("n") <= 16 * block).over(Window.partitionBy("node")))
-    filed = filed.where(f"n > 1 AND (n <= {16 * block} OR other < 3)").withColumn("m", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    band = F.floor(F.ln("size") / F.lit(-1.0001 * math.log(similarity))).cast("int")  # a little wider, for rounding
+    filed = crowded(texts.select("node", "size", F.explode("filed").alias("key")), "key")
+    few = filed.where(F.col("n") <= UNIT).select("node", "key", F.lit(-1).alias("band"), "n")
+    many = crowded(filed.where(F.col("n") > UNIT).select("node", "key", F.explode(F.array(band, band + 1)).alias("band")), "key", "band")
+    filed = few.unionByName(many.select(*few.columns)).withColumn("m", F.ceil(F.col("n") / F.lit(UNIT)).cast("int"))
     filed = filed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = filed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(texts.select("node", "fp", "sketch"), "node")
-    return rows.select("key", "i", "j", "node", "fp", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_alike(similarity), "src long, dst long")
+    rows = filed.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(texts.select("node", "fp", "sketch"), "node")
+    rows = rows.select("key", "band", "i", "j", "node", "fp", "sketch").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    return rows.mapInArrow(_alike(similarity), "src long, dst long")
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, fp long, node long, filed array<long>, sketch array<int>"), "sketches")
-    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
+    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, fp long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
     texts = cut(texts, "texts")
     fps = texts.groupBy("fp").agg(F.min("node").alias("one"))
     close = links(fps.select("fp"))
