@@ -399,6 +399,31 @@ def test_similar_groups_of_a_common_passage(spark, monkeypatch, unit):
     assert got == {i: 0 for i, _ in alike} | {i: i for i, _ in apart}
 
 
+def planted_pair(seed, n, shared):
+    """Texts of n different five-word shingles each, of which about ``shared`` are in both: the ends differ."""
+    w = [f"w{seed}x{k}" for k in range(n + 4)]
+    return " ".join(w), " ".join(w[: shared + 4] + [f"v{seed}x{k}" for k in range(n - shared)])
+
+
+def jaccard(a, b):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    """Pairs at 0.79, 0.80 and 0.81 on texts of 360 and 720 shingles, where a sketch cannot tell them apart."""
+    rows, truth = [], {}
+    for k in range(120):
+        n = 360 * (1 + k % 2)
+        shared = {0: round(n * 0.8827), 1: n * 8 // 9, 2: round(n * 0.895)}[k % 3]  # 2 J / (1 + J) of the shingles
+        a, b = planted_pair(k, n, shared)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        truth[2 * k + 1] = 2 * k + (jaccard(a, b) < 0.8)
+    assert sum(i != g for i, g in truth.items()) == 80
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in truth} == truth and all(got[2 * k] == 2 * k for k in range(120))
+
+
 def test_keep_one(spark, edge):
     kept = sorted((r["doc_id"] for r in simhash.keep_one(edge).collect()), key=lambda i: (i is None, i))
     assert kept == [1, 2, 5, 7, 8, 9, 10, None, None]

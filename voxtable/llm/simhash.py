@@ -22,8 +22,10 @@ Word edits that leave a Jaccard similarity of 0.8 change about 10 of the 64 bits
 far beyond any chain that could be looked up: at a radius of 18 bits the longest
 clean chain is 3 bits. With ``similarity`` set, groups also join texts of that
 similarity: candidates then share one of their smallest shingle hashes, the
-pigeonring test at the wide radius and the Hamming check prune them, and
-sketches of the smallest hashes confirm the similarity.
+pigeonring test at the wide radius and the Hamming check prune them. Texts with
+fewer shingles than a sketch holds are decided by their sketches, which are their
+whole sets. Of longer ones the sketch only prunes; the pairs it leaves are
+confirmed on the whole sets, made again from the texts of those pairs alone.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero
 and link like any other; texts shorter than a shingle are one shingle; repeated
@@ -51,6 +53,8 @@ BITS = 3
 WIDE_BITS = 18
 FILED = 6
 SKETCH = 256
+#: Standard errors below the similarity at which an estimate still leaves a pair to the exact check.
+SLACK = 5
 #: Chains of this many segments are tested by the pigeonring at the wide radius.
 SEGMENTS = 16
 #: Fingerprints of one chain that a block holds; bounds a task's memory and time.
@@ -203,7 +207,7 @@ def _describe(shingle: int):
                 filed.append(least[:FILED].view(np.int64))
                 sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in the same order
             fp, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, words))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, word, pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "fp", "node", "size", "filed", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, word, pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "row", "fp", "node", "size", "filed", "sketch"])
 
     return run
 
@@ -226,12 +230,24 @@ def chains_pass(x: np.ndarray, bits: int) -> np.ndarray:
     return ok.any(axis=0)
 
 
-def similar_pairs(fps: np.ndarray, sketches: list[np.ndarray], similarity: float) -> np.ndarray:
-    """(n, n) booleans: pairs that pass the pigeonring, the Hamming check and the sketches' similarity.
+def least_shared(filed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest hash that rows a and b of ``filed`` share; rows are filled up with their first hash."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for x in range(filed.shape[1]):
+        for y in range(filed.shape[1]):
+            v = filed[a, x]
+            np.minimum(out, v, out=out, where=v == filed[b, y])
+    return out
+
 
-    The similarity of two sketches is that of the hashes up to the smaller end of
-    the two; a sketch that holds all of a text's hashes has no end. Of short texts
-    that is the similarity itself; estimates may fall short by a standard error.
+def similar_pairs(key: int, fps: np.ndarray, filed: np.ndarray, sketches: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure), a < b: pairs that pass the pigeonring, the Hamming check and the sketches' similarity.
+
+    A pair belongs to the smallest hash that files both, so that it is looked at
+    once. The similarity of two sketches is that of the hashes up to the smaller
+    end of the two; a sketch that holds all of a text's hashes has no end. Of two
+    such texts that is the similarity itself, and the pair is sure; an estimate may
+    fall short by SLACK standard errors, and its pair has still to be confirmed.
     """
     n = len(fps)
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= WIDE_BITS
@@ -239,9 +255,10 @@ def similar_pairs(fps: np.ndarray, sketches: list[np.ndarray], similarity: float
     a, b = np.nonzero(np.triu(near))
     keep = np.concatenate([chains_pass(fps[a[k : k + 65536]] ^ fps[b[k : k + 65536]], WIDE_BITS) for k in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
     a, b = a[keep], b[keep]
-    out = np.zeros((n, n), bool)
+    own = least_shared(filed, a, b) == key
+    a, b = a[own], b[own]
     if not len(a):
-        return out
+        return a, b, np.empty(0, bool)
     whole = np.array([len(s) < SKETCH for s in sketches])
     ends = np.array([np.iinfo(np.uint32).max if w else s[-1] for s, w in zip(sketches, whole)], np.uint32)
     upto = np.stack([np.searchsorted(s, ends, side="right") for s in sketches])
@@ -260,47 +277,100 @@ def similar_pairs(fps: np.ndarray, sketches: list[np.ndarray], similarity: float
         common += m @ m.T
     i = common[a, b]
     union = upto[a, b] + upto[b, a] - i
-    slack = np.where(whole[a] & whole[b], 0.0, (similarity * (1 - similarity) / SKETCH) ** 0.5)
-    good = i >= (similarity - slack) * union
-    out[a[good], b[good]] = out[b[good], a[good]] = True
+    sure = whole[a] & whole[b]
+    slack = np.where(sure, 0.0, SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5)
+    good = i >= (similarity - slack) * union - 1e-9
+    return a[good], b[good], sure[good]
+
+
+def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of those pairs a < b whose whole sets of sorted hashes have the similarity."""
+    label = np.arange(len(sets))
+    out = []
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    bounds = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else []
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        x, others = a[start], b[start:end]
+        others = others[label[others] != label[x]]  # pairs that links already join need no check
+        sizes = np.array([len(sets[y]) for y in others], np.int64)
+        most = len(sets[x])
+        near = np.minimum(sizes, most) >= similarity * np.maximum(sizes, most) - 1e-9
+        for y in others[near].tolist():
+            if label[y] == label[x]:
+                continue
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if common >= similarity * (most + len(sets[y]) - common) - 1e-9:
+                out.append((int(x), y))
+                label[label == label[y]] = label[x]
     return out
 
 
+UNITS = "key long, band int, i int, j int"
+
+
 def _alike(similarity: float):
-    """Rows sorted by (key, band, i, j): each unit's texts of that similarity, joined to the first of their group."""
+    """Rows sorted by (key, band, i, j): each unit's sure links, joined to the first of their group, and with a null dst the texts of its pairs to confirm."""
 
-    def unit(nodes: np.ndarray, fps: np.ndarray, sketches: list) -> list[tuple[int, int]]:
-        pairs = similar_pairs(fps, sketches, similarity)
+    def unit(key: int, rows: list[tuple]) -> list[tuple]:
+        nodes = [r[0] for r in rows]
+        filed = np.array([np.resize(r[2], FILED) for r in rows])
+        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, [r[3] for r in rows], similarity)
         label = np.arange(len(nodes))
-        if not pairs.any():
-            return []
-        np.fill_diagonal(pairs, True)
-        while True:
-            low = np.where(pairs, label[None], len(nodes)).min(axis=1)
+        while True:  # along the sure links to the first of each group
+            low = label.copy()
+            np.minimum.at(low, a[sure], label[b[sure]])
+            np.minimum.at(low, b[sure], label[a[sure]])
             low = low[low]
             if (low == label).all():
                 break
             label = low
-        return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(label.tolist()) if k != r]
+        open_ = np.unique(np.concatenate([a[~sure], b[~sure]]))
+        return [(nodes[k], nodes[r]) for k, r in enumerate(label.tolist()) if k != r] + [(nodes[k], None) for k in open_.tolist()]
+
+    def of(b: pa.RecordBatch, k: int) -> tuple:
+        return (b.column(4)[k].as_py(), b.column(5)[k].as_py(), b.column(6)[k].values.to_numpy(), b.column(7)[k].values.to_numpy().view(np.uint32))
+
+    return _by_unit(unit, of)
+
+
+def _confirm(similarity: float):
+    """The same of the texts to confirm, with their whole sets: a forest of each unit's links."""
+
+    def unit(key: int, rows: list[tuple]) -> list[tuple]:
+        sets = [r[2] for r in rows]
+        filed = np.array([np.resize(s[:FILED].view(np.int64), FILED) for s in sets])
+        sketches = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32) for s in sets]
+        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, sketches, similarity)
+        return [(rows[x][0], rows[y][0]) for x, y in confirmed(sets, a[~sure], b[~sure], similarity)]
+
+    def of(b: pa.RecordBatch, k: int) -> tuple:
+        return (b.column(4)[k].as_py(), b.column(5)[k].as_py(), b.column(6)[k].values.to_numpy().view(np.uint64))
+
+    return _by_unit(unit, of)
+
+
+def _by_unit(unit, of):
+    """Applies ``unit`` to the key and the rows, read by ``of``, of each run of equal (key, band, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows, found = None, [], []
 
         def done():
             if len(rows) > 1:
-                found.extend(unit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64).view(np.uint64), [r[2] for r in rows]))
+                found.extend((*own, *pair) for pair in unit(own[0], rows))
 
         def batch():
-            src, dst = zip(*found) if found else ((), ())
+            cols = list(zip(*found)) or [()] * 6
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["key", "band", "i", "j", "src", "dst"])
 
         for b in batches:
-            for *unit_of, node, fp, sketch in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6)):
+            for k, unit_of in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
                 if unit_of != own:
                     done()
                     own, rows = unit_of, []
-                rows.append((node, fp, sketch.values.to_numpy().view(np.uint32)))
+                rows.append(of(b, k))
             yield batch()
         done()
         yield batch()
@@ -308,8 +378,29 @@ def _alike(similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): links of ``texts`` (node, fp, size, filed, sketch) that join the groups of that similarity.
+def _sets(shingle: int):
+    """The whole set of sorted shingle hashes of each text whose hash of all words is its node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                nodes, fps, sets = [], [], []
+                for node, fp, t in zip(*(b.column(c)[at : at + 500] for c in range(3))):
+                    h = shingle_hashes(t.as_py() or "", shingle)
+                    if hash_of(h) == node.as_py() & 0xFFFFFFFFFFFFFFFF:
+                        nodes.append(node.as_py())
+                        fps.append(fp.as_py())
+                        sets.append(np.unique(h).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "fp", "shingles"])
+
+    return run
+
+
+def similar_links(texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): links of ``texts`` (node, row, fp, size, filed, sketch) that join the groups of that similarity.
+
+    ``rows`` (row, text) has each node's text under its row; only texts with pairs
+    to confirm are turned into whole sets.
 
     A pair of similarity 0.8 shares one of its FILED smallest hashes but for a
     chance of 0.2 ** FILED. Texts of a key are compared in units of two blocks of
@@ -324,22 +415,33 @@ def similar_links(texts: DataFrame, similarity: float) -> DataFrame:
     many = crowded(filed.where(F.col("n") > UNIT).select("node", "key", F.explode(F.array(band, band + 1)).alias("band")), "key", "band")
     filed = few.unionByName(many.select(*few.columns)).withColumn("m", F.ceil(F.col("n") / F.lit(UNIT)).cast("int"))
     filed = filed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = filed.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(texts.select("node", "fp", "sketch"), "node")
-    rows = rows.select("key", "band", "i", "j", "node", "fp", "sketch").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    return rows.mapInArrow(_alike(similarity), "src long, dst long")
+    unit = ["key", "band", "i", "j"]
+
+    def compared(members: DataFrame, about: DataFrame, run) -> DataFrame:
+        units = members.join(about, "node").select(*unit, *about.columns).repartition(*unit).sortWithinPartitions(*unit)
+        return units.mapInArrow(run, UNITS + ", src long, dst long")
+
+    members = filed.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    found = cut(compared(members, texts.select("node", "fp", "filed", "sketch"), _alike(similarity)), "candidates")
+    unsure = found.where("dst is null").select(*unit, F.col("src").alias("node"))
+    wanted = cut(texts.join(unsure.select("node").distinct(), "node", "left_semi").select("row", "node", "fp"), "wanted")
+    sets = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "fp", "text").mapInArrow(_sets(shingle), "node long, fp long, shingles array<long>")
+    exact = compared(unsure, cut(sets, "sets"), _confirm(similarity))
+    return found.where("dst is not null").select("src", "dst").unionByName(exact.select("src", "dst"))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, fp long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
-    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, row long, fp long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
     texts = cut(texts, "texts")
     fps = texts.groupBy("fp").agg(F.min("node").alias("one"))
     close = links(fps.select("fp"))
     by_bits = (close.join(fps.select(F.col("fp").alias("src"), F.col("one").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("one").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
                .unionByName(texts.select("node", "fp").join(fps, "fp").where("node <> one").select(F.col("node").alias("src"), F.col("one").alias("dst"))))
-    edges = cut(similar_links(texts, similarity).unionByName(by_bits).distinct(), "links")
+    edges = cut(similar_links(texts, rows.select("row", "text"), shingle, similarity).unionByName(by_bits).distinct(), "links")
     return _named(table.select("doc_id", "fp", "node"), texts.select("node", "least"), connected_components(edges), "node")
 
 
