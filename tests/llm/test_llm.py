@@ -424,6 +424,17 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert {i: got[i] for i in truth} == truth and all(got[2 * k] == 2 * k for k in range(120))
 
 
+def test_similar_groups_of_a_repeated_line(spark):
+    """A line repeated many times leaves the set of shingles, and so the similarity, almost as it was."""
+    rows = []
+    for k in range(40):
+        text = f"{prose(3000 + k, 200)}\n"
+        line = " ".join(text.split()[20:32])
+        rows += [(2 * k, text), (2 * k + 1, text + f"{line}\n" * 30)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_keep_one(spark, edge):
     kept = sorted((r["doc_id"] for r in simhash.keep_one(edge).collect()), key=lambda i: (i is None, i))
     assert kept == [1, 2, 5, 7, 8, 9, 10, None, None]

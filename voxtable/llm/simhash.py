@@ -19,10 +19,11 @@ its own; a unit compares its fingerprints but emits no pairs, only a spanning
 forest of its links, which joins the same groups.
 
 Word edits that leave a Jaccard similarity of 0.8 change about 10 of the 64 bits,
-far beyond any chain that could be looked up: at a radius of 18 bits the longest
-clean chain is 3 bits. With ``similarity`` set, groups also join texts of that
-similarity: candidates then share one of their smallest shingle hashes, the
-pigeonring test at the wide radius and the Hamming check prune them. Texts with
+far beyond any chain that could be looked up. With ``similarity`` set, groups also join texts of that
+similarity: candidates then share one of their smallest shingle hashes, and the
+pigeonring test and the Hamming check at the wide radius prune them. These two
+are on a second fingerprint, of the different shingles, since the similarity too
+is of sets: a line repeated many times moves the first fingerprint far away. Texts with
 fewer shingles than a sketch holds are decided by their sketches, which are their
 whole sets. Of longer ones the sketch only prunes; the pairs it leaves are
 confirmed on the whole sets, made again from the texts of those pairs alone.
@@ -48,9 +49,9 @@ from voxtable.scratch import cut
 
 SEED = 42
 BITS = 3
-#: For a wished similarity: differing bits that candidates may have (3 deviations above the mean at 0.8),
-#: smallest hashes that file a text, and smallest hashes that estimate the similarity.
-WIDE_BITS = 18
+#: For a wished similarity: differing bits that candidates may have (more at 0.8 has a chance of 2e-7, in texts of
+#: 4 or 5 shingles of 1e-5), smallest hashes that file a text, and smallest hashes that estimate the similarity.
+WIDE_BITS = 26
 FILED = 6
 SKETCH = 256
 #: Standard errors below the similarity at which an estimate still leaves a pair to the exact check.
@@ -192,22 +193,23 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _describe(shingle: int):
-    """Fingerprint, a hash of all words, the number of different shingles, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
+    """Fingerprint, fingerprint of the different shingles, a hash of all words, the number of different shingles, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, words, sizes, filed, sketches = [], [], [], [], []
+            fps, wide, words, sizes, filed, sketches = [], [], [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py() or "", shingle)
                 fps.append(majority(h))
                 words.append(hash_of(h))
                 own = np.unique(h)
+                wide.append(majority(own) if len(own) < len(h) else fps[-1])
                 sizes.append(len(own))
                 least = own[:SKETCH].copy()  # not a view that keeps a long text's hashes
                 filed.append(least[:FILED].view(np.int64))
                 sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in the same order
-            fp, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, words))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, word, pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "row", "fp", "node", "size", "filed", "sketch"])
+            fp, wide, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, wide, words))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, wide, word, pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "row", "fp", "wide", "node", "size", "filed", "sketch"])
 
     return run
 
@@ -391,13 +393,13 @@ def _sets(shingle: int):
                         nodes.append(node.as_py())
                         fps.append(fp.as_py())
                         sets.append(np.unique(h).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "wide", "shingles"])
 
     return run
 
 
 def similar_links(texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(src, dst): links of ``texts`` (node, row, fp, size, filed, sketch) that join the groups of that similarity.
+    """(src, dst): links of ``texts`` (node, row, wide, size, filed, sketch) that join the groups of that similarity.
 
     ``rows`` (row, text) has each node's text under its row; only texts with pairs
     to confirm are turned into whole sets.
@@ -422,10 +424,10 @@ def similar_links(texts: DataFrame, rows: DataFrame, shingle: int, similarity: f
         return units.mapInArrow(run, UNITS + ", src long, dst long")
 
     members = filed.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    found = cut(compared(members, texts.select("node", "fp", "filed", "sketch"), _alike(similarity)), "candidates")
+    found = cut(compared(members, texts.select("node", "wide", "filed", "sketch"), _alike(similarity)), "candidates")
     unsure = found.where("dst is null").select(*unit, F.col("src").alias("node"))
-    wanted = cut(texts.join(unsure.select("node").distinct(), "node", "left_semi").select("row", "node", "fp"), "wanted")
-    sets = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "fp", "text").mapInArrow(_sets(shingle), "node long, fp long, shingles array<long>")
+    wanted = cut(texts.join(unsure.select("node").distinct(), "node", "left_semi").select("row", "node", "wide"), "wanted")
+    sets = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "wide", "text").mapInArrow(_sets(shingle), "node long, wide long, shingles array<long>")
     exact = compared(unsure, cut(sets, "sets"), _confirm(similarity))
     return found.where("dst is not null").select("src", "dst").unionByName(exact.select("src", "dst"))
 
@@ -434,8 +436,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, row long, fp long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
-    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
+    table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, row long, fp long, wide long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
     texts = cut(texts, "texts")
     fps = texts.groupBy("fp").agg(F.min("node").alias("one"))
     close = links(fps.select("fp"))
