@@ -483,6 +483,21 @@ def test_token_ids_equal_the_other_library():
         assert encode(t) == other.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_the_other_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [d[1] or "" for d in EDGE] + ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y<|endoftext", "<<|endoftext|>|>", "don't 123,456"]
+    encode = packing.token_ids()
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    want = [other.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [encode(t) for t in texts] == want
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("piece = 0 and length < 1024 and start = 0").collect()
+    short = {k: np.array([*w, packing.END_ID], "<u4") for k, w in enumerate(want) if len(w) < 1023}
+    assert {k: (len(w), zlib.crc32(w)) for k, w in short.items()}.items() <= {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got}.items()
+
+
 def check_packing(out, texts, capacity=packing.CAPACITY):
     encode = packing.encoder()
     want = collections.Counter()

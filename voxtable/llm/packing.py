@@ -11,6 +11,7 @@ documents are exchanged between partitions by another hash and packed anew; the
 new packing is taken when it needs fewer bins in total.
 
 Defined cases: a null text is empty and gives one piece that holds only id 2;
+strings of the vocabulary's added tokens are those tokens, as in its JSON file;
 repeated rows are separate documents and each is packed; an empty table gives an
 empty result; ties in length are broken by id and piece, so the packing does not
 depend on the order in which rows arrive; ids may be null.
@@ -19,6 +20,9 @@ depend on the order in which rows arrive; ids may be null.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -39,7 +43,7 @@ PER_TASK = 40_000
 
 
 def encoder(path: str | None = None):
-    """text -> token ids by the byte-level vocabulary of 50,257 ids; strings of special tokens are ordinary text.
+    """text -> token ids by the merges of the byte-level vocabulary; strings of added tokens are ordinary text here.
 
     ``path`` is the vocabulary as ranks; they are the ids of the JSON file of
     the same vocabulary (tests compare the two), and encoding by them is three
@@ -57,6 +61,39 @@ def encoder(path: str | None = None):
     return kept[path].encode_ordinary
 
 
+def token_ids(path: str | None = None):
+    """text -> token ids as the JSON file of the vocabulary gives them: its added tokens are ids of their own, the rest is encoded by :func:`encoder`.
+
+    The JSON file stands beside the ranks of ``path``, under the same name.
+    """
+    import public_tokenizers
+
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode = encoder(path)
+    kept = sys.__dict__.setdefault("_voxtable_added", {})
+    if path not in kept:
+        with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens are read only where their strings stand as they are")
+        longest_first = sorted((t["content"] for t in added), key=len, reverse=True)
+        kept[path] = {t["content"]: t["id"] for t in added}, re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+    ids, pattern = kept[path]
+
+    def run(text: str) -> list[int]:
+        if pattern is None or not pattern.search(text):
+            return encode(text)
+        out: list[int] = []
+        for k, part in enumerate(pattern.split(text)):
+            if k % 2:
+                out.append(ids[part])
+            else:
+                out += encode(part)
+        return out
+
+    return run
+
+
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of each piece of a document of ``n`` tokens; only the first may be short."""
     if n <= capacity:
@@ -69,7 +106,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     """(doc_id, piece, start, length, ids_crc32) for each piece of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = token_ids(tokenizer)
         for b in batches:
             rows: list[tuple] = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
