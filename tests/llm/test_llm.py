@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from voxtable import scratch
 from voxtable.llm import html_text, media, mixing, packing, pii, quality, queries, simhash, suffix_dedup, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -188,6 +189,23 @@ def test_images_of_edge_texts(spark, edge):
             media.decode(bad)
 
 
+def test_tensors_are_stored(spark, edge, monkeypatch):
+    """Every row's file and tensor are written, and the features are those of the stored tensors."""
+    kept = {}
+    monkeypatch.setattr(media, "cut", lambda df, label: kept.setdefault(label, scratch.cut(df, label)))
+    monkeypatch.setattr(media, "BATCH", 4000)
+    got = media.round_trip(edge).collect()
+    files, stored = kept["media"].collect(), kept["tensors"].collect()
+    assert len(files) == len(stored) == len(got) == len(EDGE)
+    want = collections.Counter()
+    for f in files:
+        t = media.rgb(media.decode(bytes(f["media"])))
+        want[(f["doc_id"], f["n_bytes"], t.shape[0], t.shape[1], t.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["height"], r["width"], bytes(r["rgb"])) for r in stored) == want
+    shown = [(r["media_sha256"], media.feature(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3))) for r in stored]
+    assert sorted(shown) == sorted((r["media_sha256"], r["feature"]) for r in got)
+
+
 # 4: personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

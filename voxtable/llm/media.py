@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxtable.scratch import cut
+
 BLOCK = 64
 
 
@@ -475,32 +477,58 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *MEDIA.fields]))
 
 
+DIGESTS = T.StructType(FEATURES.fields[1:-1])
+TENSOR = T.StructType().add("height", T.IntegerType()).add("width", T.IntegerType()).add("rgb", T.BinaryType())
+#: Bytes of tensors that go to one batch, but for the last of them.
+BATCH = 1 << 23
+
+
 def tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, height, width, rgb): the full-resolution RGB tensor of each file, as bytes in rows."""
+    """(doc_id, n_bytes, digests of the file and of the payload read back from it, height, width, rgb): the full-resolution RGB tensor of each file, as bytes in rows; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+
+        def batch(b: pa.RecordBatch, start: int, rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_bytes", *DIGESTS.names, *TENSOR.names])
+
         for b in batches:
-            for key, m in zip(b.column(0), b.column(1)):
-                t = rgb(decode(m.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], b.schema.field(0).type), pa.array([t.shape[0]], pa.int32()), pa.array([t.shape[1]], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
+            rows, start, size = [], 0, 0
+            for n, m in zip(b.column(1), b.column(2)):
+                data = m.as_py()
+                image = decode(data)
+                got, tensor = payload_of(image), rgb(image)
+                rows.append((n.as_py(), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), *tensor.shape[:2], tensor.tobytes()))
+                size += tensor.nbytes
+                if size >= BATCH:
+                    yield batch(b, start, rows)
+                    rows, start, size = [], start + len(rows), 0
+            yield batch(b, start, rows)
 
-    rows = media.select("doc_id", "media")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("height", T.IntegerType()).add("width", T.IntegerType()).add("rgb", T.BinaryType()))
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["n_bytes"], *DIGESTS.fields, *TENSOR.fields]))
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """Digests of the payload read back from each file, and a feature of its tensor; no shuffle."""
+def features(stored: DataFrame) -> DataFrame:
+    """The table of :func:`tensors` with a feature of each tensor in its place; no shuffle."""
+    rest = [c for c in stored.columns if c not in TENSOR.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for n, m in zip(b.column(1).to_pylist(), b.column(2)):
-                data = m.as_py()
-                image = decode(data)
-                got = payload_of(image)
-                rows.append((n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(rgb(image))))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]], ["doc_id", *FEATURES.names])
+            shapes = zip(*(b.column(len(rest) + k) for k in range(3)))
+            out = [feature(np.frombuffer(t.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3)) for h, w, t in shapes]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(out, pa.string())], [*rest, "feature"])
 
-    rows = media.select("doc_id", "n_bytes", "media")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *FEATURES.fields]))
+    rows = stored.select(*rest, *TENSOR.names)
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in rest), FEATURES["feature"]]))
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """Digests of the payload read back from each file, and a feature of its tensor as stored in the shared folder and reread."""
+    return features(cut(tensors(media), "tensors"))
+
+
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the media table to the shared folder, reads it back, and the same with its tensors."""
+    return read_back(cut(store(docs, doc_id, text), "media"))
