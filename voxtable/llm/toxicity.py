@@ -7,8 +7,9 @@ against clean documents under a Dirichlet prior, and its standard error; a word'
 its most significant token, or a small penalty if none is significant. A
 linear-time scan (Ruzzo and Tompa 1999) finds every maximal-scoring segment.
 The best segment's score is held against the Gumbel law of the best segments of
-clean documents of that length, and a logistic curve turns the excess and the
-sum of the significant segments into a probability.
+clean documents of that length, and a logistic curve turns the excess into a
+probability. Only the best segment counts: several weaker ones do not add up, and
+the passages listed are those that alone reach the threshold.
 
 The fit uses at most ``MAX_LABELS`` labelled rows (the bound is a parameter);
 rows are taken in the order of a hash of their ids. The counts have BUCKETS
@@ -146,7 +147,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def _summaries(weights: np.ndarray):
-    """(y, words, best, rest) of each labelled row, for the calibration."""
+    """(y, words, best) of each labelled row, for the calibration."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
