@@ -26,14 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local["dir"]
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
     The result has no lineage behind the files, so a lost executor costs no
     recomputation, and its size is known to the planner, which broadcasts it
     in a join only if it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    ``codec`` is the files' compression, the session's own if it is not given.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxtable/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
