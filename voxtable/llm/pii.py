@@ -3,14 +3,24 @@
 High-recall patterns propose spans, which may overlap: the base patterns of each
 kind, and looser ones (spelled-out addresses, local phone numbers, card numbers
 with other separators, IPv6). Every candidate gets a vector of small numbers for
-its format (digits, separators, shape, checksum) and its context (what it touches
-and whether a cue word stands before it). Boosted trees of depth 2 learn from
-weak labels: base candidates that pass their kind's check against those that
-fail it, and looser ones glued to other text. Trees are fitted on the counts of
-vectors over all candidates of all rows, a table bounded by the product of the
-bins, and scored as SQL. Each kind's threshold is the lowest score at which the
-counts give the wished precision. Base spans stay; looser ones are added when
-their score reaches it and they touch no base span.
+its format (digits, separators, how at and dot are written) and its context (what
+it touches and whether a cue word stands before it).
+
+Labels come from what the vector does not hold: checksums of cards, ranges of IP
+numbers and digit counts, top-level domains, and certified base spans (a looser
+candidate inside one of its own kind is personal, one that overlaps another kind is
+not). Candidates without such evidence have no label. A few fixed examples are added
+(``SEEDS``), so that a corpus without spelled-out addresses, or without prose that
+looks like one, still has both. Boosted trees of depth 3 learn from the counts of
+vectors over all candidates of all rows, a table bounded by the product of the bins,
+and score as SQL.
+
+A label by a check is right by chance for some junk (a tenth of all numbers pass
+Luhn's). With chance c, of candidates that pass among those of probability p a
+share (p - c) / ((1 - c) p) is personal. A kind's threshold is the lowest score of
+its looser candidates at which that share, by the model and by the counts from
+there up, reaches the wished precision. Base spans stay; looser ones are added when
+they pass their check, their score reaches the threshold and they touch no base span.
 
 Patterns have possessive repeats and may start a match only at the head of a run
 or at the end of the previous match, which finds the same matches as the plain
@@ -19,8 +29,8 @@ matches, in code points.
 
 Defined cases: a null text is empty; texts without candidates have zero counts
 and empty span lists; repeated rows are treated alike; an empty table gives an
-empty result; with no candidates of both labels nothing is added to the base
-spans; columns named like the added ones are replaced.
+empty result; a corpus without labelled candidates is scored by the fixed examples
+alone; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -44,22 +54,29 @@ BASE = {
 }
 #: Looser generators by kind.
 LOOSE = {
-    "email": _EMAIL_HEAD + r"\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)+",
+    "email": _EMAIL_HEAD + r"\x20?(?:@|[(\[{](?:at|AT)[)\]}]|(?<=\x20)(?:at|AT)(?=\x20))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[{](?:dot|DOT)[)\]}]|(?<=\x20)(?:dot|DOT)(?=\x20))\x20?[A-Za-z0-9-]++)+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 #: Texts without a match of these have no candidate of the kind.
-NEEDS = {"email": r"@|(?:[(\[]at[)\]])|\x20at\x20", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]", "phone": r"[0-9]"}
+NEEDS = {"email": r"@|[(\[{](?:at|AT)[)\]}]|\x20(?:at|AT)\x20", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]", "phone": r"[0-9]"}
 CUE = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\W*(?:\w+\W+){0,2}$",
     "ip": r"(?i)(?:\bip\b|address|host|server|addr)\W*(?:\w+\W+){0,2}$",
     "card": r"(?i)(?:card|visa|credit|carte|karte|tarjeta|pay)\W*(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|t[ée]l[ée]fono|telefon)\W*(?:\w+\W+){0,2}$",
 }
-#: Largest value of each feature; so at most 4*5*5*3*3*2*2*2 = 7,200 vectors.
-FEATURES = {"kind": 3, "digits": 4, "seps": 4, "left": 2, "right": 2, "cue": 1, "shape": 1, "check": 1}
+#: Largest value of each feature; so at most 4*2*5*5*3*3*2*3*3 = 32,400 vectors, of which few occur.
+#: dot: 0 plain, 1 spelled out, 2 with a blank beside it. at: 0 the sign, 1 in brackets, 2 the word.
+FEATURES = {"kind": 3, "loose": 1, "digits": 4, "seps": 4, "left": 2, "right": 2, "cue": 1, "dot": 2, "at": 2}
+#: Chance that junk passes its kind's label.
+CHANCE = (0.02, 0.02, 0.1, 0.02)
+# Top-level domains that are no common words of prose.
+DOMAINS = "com org net edu gov mil int info biz io uk de fr nl ch pl se dk fi cz pt jp cn kr br mx ru eu dev app example test invalid".split()
 CONTEXT = 32
+#: Of the boosted trees.
+DEPTH = 3
 #: Characters of a candidate: no kind passes its check with fewer, but for e-mail addresses and IP numbers of at least 5 and 7.
 SHORTEST = 5
 #: Levels of eight of running sums: lists of 8 ** LEVELS entries.
@@ -117,32 +134,42 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``cands``: every candidate with its span, check, features and weak label."""
-    rows = docs.drop("cands", "__t").withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.drop("cands", "__t", "__sure").withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = _candidates(rows)
     digits = "regexp_replace(c.m, '[^0-9]', '')"
     out = out.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('c', c, 'd', {digits}))"))
     part = "get(split(c.m, '[.]'), {})"
     octets = " AND ".join(f"length(ltrim('0', {part.format(k)})) <= 3 AND CAST(concat('0', right({part.format(k)}, 3)) AS INT) <= 255" for k in range(4))
+    last = "lower(regexp_extract(c.m, '([A-Za-z0-9-]+)$', 1))"
+    prose = "c.m RLIKE '[.] | [.]'"
     checks = {
-        "email": "c.m RLIKE '^[A-Za-z0-9._%+-]+ ?.{1,4} ?[A-Za-z0-9-]+'",
+        "email": f"c.base OR ({last} IN ({', '.join(map(repr, DOMAINS))}) AND NOT c.m RLIKE '[.] [A-Z]')",
         "ip": f"CASE WHEN c.m LIKE '%:%' THEN true ELSE {octets} END",
         "card": f"CASE WHEN length(d) BETWEEN 16 AND 19 THEN {_luhn('d')} ELSE false END",
         "phone": "length(d) BETWEEN 8 AND 15",
     }
+    spelled = "c.m RLIKE '(?i)[(\\\\[{]dot[)\\\\]}]| dot '"
     features = {
         "kind": "c.kind",
+        "loose": "CAST(NOT c.base AS INT)",
         "digits": "CASE WHEN length(d) = 0 THEN 0 WHEN length(d) < 8 THEN 1 WHEN length(d) < 12 THEN 2 WHEN length(d) < 16 THEN 3 ELSE 4 END",
         "seps": "least(4, length(regexp_replace(c.m, '[A-Za-z0-9]', '')))",
         "left": "CASE WHEN c.before RLIKE '[\\\\p{L}\\\\p{N}_]$' THEN 2 WHEN c.before RLIKE '[^\\\\s(\\\\[,;:]$' THEN 1 ELSE 0 END",
         "right": "CASE WHEN c.after RLIKE '^[\\\\p{L}\\\\p{N}_]' THEN 2 WHEN c.after RLIKE '^[^\\\\s)\\\\],;:.!?]' THEN 1 ELSE 0 END",
         "cue": f"CAST({_cased({k: f'c.before RLIKE {_q(v)}' for k, v in CUE.items()}, 'c.kind')} AS INT)",
-        "shape": "CAST(" + _cased({"email": "c.m RLIKE '[A-Za-z]{2,}$'", "ip": "true", "card": "c.m RLIKE '^[3-6]'", "phone": r"c.m RLIKE '[0-9]{3}[^0-9]+[0-9]{4}$'"}, "c.kind") + " AS INT)",
-        "check": f"CAST(coalesce({_cased(checks, 'c.kind')}, false) AS INT)",
+        "dot": f"CASE WHEN c.kind > 0 THEN 0 WHEN {prose} THEN 2 WHEN {spelled} THEN 1 ELSE 0 END",
+        "at": "CASE WHEN c.kind > 0 OR c.m LIKE '%@%' THEN 0 WHEN c.m RLIKE '(?i)[(\\\\[{]at[)\\\\]}]' THEN 1 ELSE 2 END",
     }
     body = ", ".join(f"'{k}', {v}" for k, v in features.items())
-    out = out.withColumn("cands", F.expr(f"transform(cands, x -> transform(array(x), y -> named_struct('c', y.c, 'f', named_struct({_inner(body)})))[0])"))
-    label = "CASE WHEN x.c.base THEN CAST(x.f.check = 1 AS INT) WHEN x.f.left > 0 OR x.f.right > 0 THEN 0 END"
-    return out.withColumn("cands", F.expr(f"transform(cands, x -> named_struct('kind', x.c.kind, 'base', x.c.base, 's', x.c.s, 'e', x.c.s + x.c.n, 'f', x.f, 'y', {label}))")).drop("__t")
+    ok = f"coalesce({_cased(checks, 'c.kind')}, false)"
+    out = out.withColumn("cands", F.expr(f"transform(cands, x -> transform(array(x), y -> named_struct('c', y.c, 'f', named_struct({_inner(body)}), 'ok', {_inner(ok)}))[0])"))
+    sure = "filter(cands, b -> b.c.base AND b.ok)"
+    # Evidence on a looser candidate: certified spans that it meets, else what its own characters prove. Digit counts and hexadecimal groups prove nothing.
+    meets = "b.c.s < x.c.s + x.c.n AND x.c.s < b.c.s + b.c.n"
+    label = f"""CASE WHEN x.c.base THEN CAST(x.ok AS INT) WHEN exists(__sure, b -> {meets} AND b.c.kind <> x.c.kind) THEN 0 WHEN exists(__sure, b -> {meets}) THEN 1
+        WHEN x.c.kind = 0 OR x.c.kind = 2 THEN CAST(x.ok AS INT) END"""
+    out = out.withColumn("__sure", F.expr(sure))
+    return out.withColumn("cands", F.expr(f"transform(cands, x -> named_struct('kind', x.c.kind, 'base', x.c.base, 's', x.c.s, 'e', x.c.s + x.c.n, 'f', x.f, 'ok', x.ok, 'y', {label}))")).drop("__t", "__sure")
 
 
 def _inner(sql: str) -> str:
@@ -153,7 +180,7 @@ def _inner(sql: str) -> str:
 
 
 class Model:
-    """Boosted trees of depth 2 over FEATURES, and a threshold for each kind."""
+    """Boosted trees over FEATURES, and a threshold for each kind."""
 
     def __init__(self, bias: float, trees: list[tuple], thresholds: list[float]):
         self.bias, self.trees, self.thresholds = bias, trees, thresholds
@@ -194,8 +221,24 @@ def _grow(rows: list[tuple[dict, float, float]], depth: int):
     return (name, cut_at, _grow([r for r in rows if r[0][name] <= cut_at], depth - 1), _grow([r for r in rows if r[0][name] > cut_at], depth - 1))
 
 
-def fit(table: list[tuple[dict[str, int], int, int]], rounds: int = 12, precision: float = 0.98) -> Model:
-    """Trees on (vector, rows labelled 0, rows labelled 1); thresholds by the precision on these counts."""
+def _vector(**values: int) -> dict[str, int]:
+    return {k: 0 for k in FEATURES} | values
+
+
+#: Fixed examples (vector, clean, personal): spelled-out addresses and sentence ends, numbers that stand alone and numbers inside others.
+SEEDS = [
+    *[(_vector(kind=0, loose=1, seps=4, at=at, dot=dot, cue=cue), 0, 4) for at in (0, 1) for dot in (0, 1) for cue in (0, 1)],
+    *[(_vector(kind=0, loose=1, seps=4, at=2, dot=1, cue=cue), 0, 8) for cue in (0, 1)],
+    *[(_vector(kind=0, loose=1, seps=seps, at=2, dot=2), 40, 0) for seps in (3, 4)],
+    (_vector(kind=0, loose=1, seps=3, at=2, dot=0), 10, 0),
+    *[(_vector(kind=k, loose=1, digits=d, seps=seps), 0, 8) for k, d, seps in ((1, 4, 4), (1, 3, 4), (2, 4, 3), (3, 2, 2), (3, 2, 4), (3, 3, 4))],
+    *[(_vector(kind=k, loose=1, digits=d, seps=seps, **side), 10, 0) for k, d, seps in ((1, 4, 4), (1, 3, 4), (2, 4, 3), (3, 2, 2), (3, 2, 4), (3, 3, 4)) for side in ({"left": 2}, {"right": 2}, {"left": 1}, {"right": 1})],
+]
+
+
+def fit(table: list[tuple[dict[str, int], int, int]], rounds: int = 40, precision: float = 0.98, seeds: list[tuple] = SEEDS) -> Model:
+    """Trees on (vector, rows labelled 0, rows labelled 1); each kind's threshold by the precision of its looser candidates."""
+    table = [*table, *seeds]
     clean, personal = sum(t[1] for t in table), sum(t[2] for t in table)
     if not clean or not personal:
         return Model(0.0, [], [math.inf] * len(KINDS))
@@ -206,22 +249,23 @@ def fit(table: list[tuple[dict[str, int], int, int]], rounds: int = 12, precisio
         for (v, a, b), s in zip(table, score):
             p = 1 / (1 + math.exp(-s))
             rows.append((v, b - (a + b) * p, (a + b) * p * (1 - p)))
-        trees.append(_grow(rows, 2))
+        trees.append(_grow(rows, DEPTH))
         score = [s + _leaf(trees[-1], v) for s, (v, _, _) in zip(score, table)]
     thresholds = []
-    for k in range(len(KINDS)):
-        own = sorted(((s, a, b) for s, (v, a, b) in zip(score, table) if v["kind"] == k), reverse=True)
+    for k, chance in enumerate(CHANCE):
+        least = chance / (1 - precision * (1 - chance))  # the probability at which the share of personal ones is ``precision``
+        own = sorted(((s, a, b) for s, (v, a, b) in zip(score, table) if v["kind"] == k and v["loose"]), reverse=True)
         best, right, all_ = math.inf, 0, 0
         for i, (s, a, b) in enumerate(own):
             right, all_ = right + b, all_ + a + b
-            if right >= precision * all_ and (i + 1 == len(own) or own[i + 1][0] < s):
+            if right >= least * all_ and (i + 1 == len(own) or own[i + 1][0] < s):
                 best = s
-        thresholds.append(max(best, math.log(9)))  # and a probability of 0.9 at least
+        thresholds.append(max(best, math.log(least / (1 - least))))
     return Model(bias, trees, thresholds)
 
 
 def fit_candidates(found: DataFrame) -> Model:
-    """The model of all rows' candidates; at most the product of the bins, 7,200 rows, comes to the driver."""
+    """The model of all rows' candidates; at most the product of the bins, 32,400 rows, comes to the driver."""
     each = found.select(F.explode("cands").alias("x")).where("x.y IS NOT NULL")
     counts = each.groupBy(*[F.col(f"x.f.{k}").alias(k) for k in FEATURES]).agg(F.sum(1 - F.col("x.y")).alias("a"), F.sum("x.y").alias("b"))
     rows = [({k: r[k] for k in FEATURES}, r["a"], r["b"]) for r in counts.collect()]
@@ -231,10 +275,10 @@ def fit_candidates(found: DataFrame) -> Model:
 def with_spans(found: DataFrame, model: Model) -> DataFrame:
     """Rows of :func:`with_candidates` with base_spans and pii_spans (kind, s, e) in place of the candidates."""
     strip = "x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e)"
-    out = found.withColumn("base_spans", F.expr(f"array_sort(transform(filter(cands, x -> x.base AND x.f.check = 1), {strip}))"))
+    out = found.withColumn("base_spans", F.expr(f"array_sort(transform(filter(cands, x -> x.base AND x.ok), {strip}))"))
     if model.trees:
         least = "CASE x.kind " + " ".join(f"WHEN {k} THEN {'1e300D' if math.isinf(t) else f'CAST({t!r} AS DOUBLE)'}" for k, t in enumerate(model.thresholds)) + " END"
-        more = f"filter(cands, x -> NOT x.base AND x.f.check = 1 AND x.f.left < 2 AND x.f.right < 2 AND ({model.sql('x.f')}) >= {least} AND NOT exists(base_spans, b -> b.s < x.e AND x.s < b.e))"
+        more = f"filter(cands, x -> NOT x.base AND x.ok AND ({model.sql('x.f')}) >= {least} AND NOT exists(base_spans, b -> b.s < x.e AND x.s < b.e))"
         out = out.withColumn("pii_spans", F.expr(f"array_sort(concat(base_spans, transform({more}, {strip})))"))
     else:
         out = out.withColumn("pii_spans", F.col("base_spans"))
@@ -247,14 +291,14 @@ def _listed(spans: str) -> str:
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each row of ``docs``; n_spans counts all spans, overlapping ones each.
 
     Candidates are written once, as a narrow table, and read for the fit and the result.
     """
     found = cut(with_candidates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "cands"), "pii")
     out = with_spans(found, fit_candidates(found))
     counts = [F.expr(f"CAST(size(filter(base_spans, x -> x.kind = {i})) AS BIGINT) AS n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.expr(f"sha2({_listed('base_spans')}, 256) AS base_sha256"), F.expr(f"{_listed('pii_spans')} AS spans"))
+    return out.select("doc_id", *counts, F.expr(f"sha2({_listed('base_spans')}, 256) AS base_sha256"), F.expr(f"{_listed('pii_spans')} AS spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
