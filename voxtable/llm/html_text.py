@@ -2,15 +2,22 @@
 
 The standard library's HTML parser streams events; a page becomes lines, one for
 each block-level run of text, with the number of tags met in it and the block
-that contains it. Lines inside menus, headers, footers, side columns, notices,
-adverts, forms and reader comments, told by tag, role or the words of their
-class and id, are set aside. The others' ratio of text to tags, where link text
-counts as tags, is smoothed along the page by a Gaussian and split in two
-clusters; lines of the upper cluster mark content, and a region, the nearest
-article, main or other containing block, is content when lines of the upper
-cluster hold at least half of its text. All lines of a content region are kept,
-whatever their own ratio, so that short paragraphs and headings stay. A page
-with article or main regions takes its content from these alone.
+that contains it. Lines in elements whose tag or role is of the page's frame by
+definition (menus, footers, side columns, forms) are set aside. The others' ratio of
+text to tags, where link text counts as tags, is weighted by hints: more inside
+article or main, less inside elements with frame words in their class or id. The
+weighted ratios are smoothed along the page by a Gaussian and split in two clusters,
+and a region, the nearest article, main or other containing block, is content when
+lines of the upper cluster hold at least half of its text. All lines of a content
+region are kept, whatever their own ratio, so that short paragraphs and headings
+stay; a small region inside a kept one follows it, and a single line of the upper
+cluster is kept outside any.
+
+A class or id word alone does not remove an element: one that holds all articles
+and main parts of the page, and its top headings or half of its text, is the page and
+not its frame. On a page without any it is one that holds all top headings and a quarter of the text, and without these half
+of the text. Other elements with such words are frames, as comments are whatever
+their length.
 
 Character references are decoded, white space inside a line becomes one space,
 lines are trimmed and joined by line feeds in page order.
@@ -61,53 +68,84 @@ WORDS = re.compile(r"[a-z]+")
 SIGMA = 1.0
 
 
-def _frame(tag: str, attrs: list) -> bool:
-    if tag in FRAME:
-        return True
+#: Weight of a line's ratio inside article or main; a line elsewhere has 1.
+CONTENT_WEIGHT = 6.0
+#: The first of them marks the page's main part.
+TITLES = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _frame(tag: str, attrs: list, inside: bool) -> tuple[bool, bool]:
+    """(the element is a frame by its tag or attributes, its class or id has frame words); ``inside``: of an article or main, whose header holds its title."""
+    if tag in FRAME and not (tag == "header" and inside):
+        return True, False
+    words = False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if value and (name in ("class", "id") and tag not in ("html", "body") and not FRAME_WORDS.isdisjoint(WORDS.findall(value.lower())) or name == "role" and value.lower() in FRAME_ROLES):
-            return True
-    return False
+            return True, False
+        if value and name == "role" and value.lower() in FRAME_ROLES:
+            return True, False
+        if value and name in ("class", "id") and tag not in ("html", "body"):
+            words = words or not FRAME_WORDS.isdisjoint(WORDS.findall(value.lower()))
+    return False, words
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, region, in a frame) of each line."""
+    """Collects (text, tags, link characters, region, suspect, title) of each line outside frames.
+
+    Regions know the one around them and the article or main they are in; suspects,
+    elements with frame words, know the one around them and the main parts and top
+    headings in them. Open elements are found by their tag's and the
+    blocks' own stacks, so a page takes linear time however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, silent, frame, region
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, silent, frame, region, suspect
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
+        self.blocks: list[int] = []  # places of open blocks
+        self.firm: list[int] = []  # and of those that are no paragraphs
         self.kinds = ["page"]  # of each region
         self.above = [0]
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.article = [0]
+        self.suspects = [0]  # the suspect around each
+        self.parts = [0]  # articles and main parts in each, inner suspects left out
+        self.heads = [0]  # and top headings
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> tuple[bool, bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0, 0)
 
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, frame, region = self.state()
-            self.lines.append((text, self.tags, self.linked, region, frame))
+            _, frame, region, suspect = self.state()
+            if not frame:
+                self.lines.append((text, self.tags, self.linked, region, suspect, any(self.last(t) >= 0 for t in TITLES)))
         self.text, self.tags, self.linked = [], 0, 0
 
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else -1
+
     def pop(self, at: int) -> None:
-        if any(x[0] in BLOCKS for x in self.open[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self.end_line()
+        for tag, *_ in reversed(self.open[at:]):
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        while self.firm and self.firm[-1] >= at:
+            self.firm.pop()
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         closes = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
         if closes:
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in closes:
-                    self.pop(at)
-                    break
-                if self.open[at][0] in BLOCKS and self.open[at][0] != "p":
-                    break
+            at = max(map(self.last, closes))
+            if at >= 0 and (not self.firm or self.firm[-1] <= at):
+                self.pop(at)
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
@@ -115,12 +153,28 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        silent, frame, region = self.state()
+        silent, frame, region, suspect = self.state()
+        hard, words = _frame(tag, attrs, bool(self.article[region]))
+        frame = frame or hard
         if tag in REGIONS:
             self.kinds.append(tag)
             self.above.append(region)
+            self.article.append(len(self.kinds) - 1 if tag in CONTENT and not words and not self.article[region] else self.article[region])
             region = len(self.kinds) - 1
-        self.open.append((tag, silent or tag in SILENT, frame or _frame(tag, attrs), region))
+        if words and not frame:
+            for column, value in ((self.suspects, suspect), (self.parts, 0), (self.heads, 0)):
+                column.append(value)
+            suspect = len(self.suspects) - 1
+        elif not frame and not silent:
+            self.parts[suspect] += tag in CONTENT
+            self.heads[suspect] += tag == TITLES[0]
+        place = len(self.open)
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+            if tag != "p":
+                self.firm.append(place)
+        self.open.append((tag, silent or tag in SILENT, frame, region, suspect))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,13 +183,11 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+        at = self.last(tag)
+        if at >= 0:
+            if tag in BLOCKS or not self.blocks or self.blocks[-1] < at:  # an inline end tag does not reach out of its block
                 self.pop(at)
-                return
-            if tag not in BLOCKS and self.open[at][0] in BLOCKS:
-                return  # an inline end tag does not reach out of its block
-        if tag == "p":
+        elif tag == "p":
             self.end_line()
 
     def handle_data(self, data: str) -> None:
@@ -148,6 +200,25 @@ class Lines(HTMLParser):
         super().close()
         self.end_line()
 
+    def frames(self) -> list[bool]:
+        """Which suspects, or those around them, are frames after all."""
+        own, parts, heads = [0] * len(self.suspects), self.parts[:], self.heads[:]
+        for text, _, linked, _, suspect, _ in self.lines:
+            own[suspect] += max(0, len(text) - linked)
+        for k in range(len(own) - 1, 0, -1):  # inner ones come later
+            for column in (own, parts, heads):
+                column[self.suspects[k]] += column[k]
+
+        def spared(k: int) -> bool:
+            if parts[0]:
+                return parts[k] == parts[0] and (heads[k] == heads[0] or 2 * own[k] >= own[0])
+            return heads[k] == heads[0] and 4 * own[k] >= own[0] if heads[0] else 2 * own[k] >= own[0]
+
+        out = [False]
+        for k in range(1, len(own)):
+            out.append(out[self.suspects[k]] or not spared(k))
+        return out
+
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """The ratios under a Gaussian of three sigma to either side, weights renormalised at the ends."""
@@ -178,34 +249,39 @@ def extract(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[4]]
+    frames = parser.frames()
+    lines = [x for x in parser.lines if not frames[x[4]]]
     if not lines:
         return ""
-    # The region of a line: the nearest article or main; without any on the page, its own block.
-    kinds, above = parser.kinds, parser.above
-
-    def content(region: int) -> int:
-        while region and kinds[region] not in CONTENT:
-            region = above[region]
-        return region
-
-    own = [content(x[3]) for x in lines]
-    if any(own):
-        lines, own = [x for x, r in zip(lines, own) if r], [r for r in own if r]
-    else:
-        own = [x[3] for x in lines]
-    ratios = np.array([max(0, len(t) - linked) / (1 + tags + linked / 20) for t, tags, linked, _, _ in lines])
+    kinds, article = parser.kinds, parser.article
+    own = [article[x[3]] or x[3] for x in lines]
+    ratios = np.array([(CONTENT_WEIGHT if article[r] else 1.0) * max(0, len(t) - linked) / (1 + tags + linked / 20) for t, tags, linked, r, _, _ in lines])
     smoothed = smooth(ratios)
-    upper = smoothed >= threshold(smoothed)
+    split = threshold(smoothed)
+    # A box beside long text is lifted by it alone; a title may be.
+    upper = (smoothed >= split) & ((ratios >= split / 4) | np.array([x[5] or article[x[3]] > 0 for x in lines]))
     total: dict[int, int] = {}
     good: dict[int, int] = {}
     for (t, *_), r, u in zip(lines, own, upper):
         total[r] = total.get(r, 0) + len(t)
         good[r] = good.get(r, 0) + len(t) * bool(u)
-    kept = {r for r in total if 2 * good[r] >= total[r]} or {max(total, key=total.get)}
-    if any(kinds[r] in CONTENT for r in total):
-        kept |= {max(total, key=total.get)}
-    return "\n".join(t for (t, *_), r, u in zip(lines, own, upper) if r in kept or u and kinds[r] not in CONTENT)
+    largest = max(total, key=lambda r: (article[r] > 0, total[r]))
+    kept = {r for r in total if 2 * good[r] >= total[r]} or {largest}
+    if article[largest]:  # short articles on pages of long lines
+        kept.add(largest)
+    # The kept region that each region is in; regions around others come first.
+    inside: list[int | None] = []
+    for r, around in enumerate(parser.above):
+        inside.append(r if r in kept else inside[around] if r else None)
+    linked: dict[int, int] = {}
+    for (_, _, n, *_), r in zip(lines, own):
+        linked[r] = linked.get(r, 0) + n
+
+    def stays(r: int, u: bool) -> bool:
+        q = inside[r]
+        return r in kept or u and not article[r] or q is not None and 10 * total[r] <= total[q] and 2 * linked[r] < total[r]
+
+    return "\n".join(t for (t, *_), r, u in zip(lines, own, upper) if stays(r, bool(u)))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
