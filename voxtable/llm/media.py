@@ -6,6 +6,9 @@ an 8 x 8 block: byte b is b - 128 in the DC place and, in an AC place, b from
 magnitude bits are the byte. Blocks fill a YCbCr image of 16 x 16 pixel units
 (four luma blocks, one of each chroma), and a comment segment gives the number of
 payload blocks. Coefficients are the format's unit, so the store is lossless.
+A payload of more than ``SPAN`` bytes is stored as several images of equal width,
+file after file, so memory beyond the text and its tensor does not grow with it and
+no image reaches the format's largest height; its tensor is theirs, one below the other.
 
 The file is a standard progressive JPEG (ITU T.81): DC and AC scans by spectral
 selection, each first without its lowest bit and then refined by successive
@@ -15,7 +18,8 @@ the same number of bits, as the encoder's are, are read as arrays. Tensors are
 inverse-transformed in numpy, chroma upsampled to full resolution, and converted
 to RGB.
 
-Defined cases: a null text is empty; an empty payload is one zero block; equal
+Defined cases: a null text is empty; an empty payload is one zero block; a very long
+text is several images, up to the 2 GB that a cell of Spark's tables holds; equal
 texts give equal images; repeated rows give repeated rows; an empty table gives
 an empty result; an image that is not a progressive JPEG raises ValueError.
 """
@@ -35,6 +39,10 @@ from pyspark.sql import types as T
 from voxtable.scratch import cut
 
 BLOCK = 64
+#: Units of 384 payload bytes across an image, but for those of fewer in all.
+WIDE = 64
+#: Payload bytes of one image at most: 680 whole rows of units, about 17 MB.
+SPAN = 680 * WIDE * 6 * BLOCK
 
 
 # The zigzag order of T.81, from its rule: diagonals in alternating direction.
@@ -98,15 +106,23 @@ def _dc_first(dc: np.ndarray, comps: np.ndarray) -> bytes:
     return _stuffed(_number_bits((size << size) | low, size + 4))
 
 
-def encode(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 64 bytes as a progressive JPEG file."""
+def encode(payload: bytes, span: int | None = None) -> bytes:
+    """A payload of a positive multiple of 64 bytes as progressive JPEG files, one after another; mostly one."""
+    span = span or SPAN
+    if len(payload) <= span:
+        return _image(payload, 1)
+    return b"".join(_image(payload[k : k + span], WIDE) for k in range(0, len(payload), span))
+
+
+def _image(payload: bytes, least: int) -> bytes:
+    """One file; its width is ``least`` units at least."""
     blocks = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
     units = -(-len(blocks) // 6)
     full = np.full((units * 6, BLOCK), 128, np.uint8)
     full[: len(blocks)] = blocks
     mcu = full.reshape(units, 6, BLOCK)
-    # Units in rows of at most 64; the last row is filled with neutral blocks.
-    wide = min(units, 64)
+    # Units in rows of at most WIDE; the last row is filled with neutral blocks.
+    wide = max(least, min(units, WIDE))
     high = -(-units // wide)
     if high * wide > units:
         mcu = np.concatenate([mcu, np.full((high * wide - units, 6, BLOCK), 128, np.uint8)])
@@ -358,9 +374,22 @@ def _refine(plane: np.ndarray, idx: np.ndarray, codes: dict, first: int, last: i
 
 def decode(data: bytes) -> Image:
     """The coefficients of a progressive JPEG without restart intervals."""
-    if data[:2] != b"\xff\xd8":
+    return _decode(data, 0)[0]
+
+
+def decode_all(data: bytes) -> Iterator[Image]:
+    """The images of a row of files."""
+    at = 0
+    while at < len(data) or not at:
+        image, at = _decode(data, at)
+        yield image
+
+
+def _decode(data: bytes, start: int) -> tuple[Image, int]:
+    """The image that begins at ``start``, and the place behind it."""
+    if data[start : start + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, image, comment, quant = 2, None, b"", {}
+    at, image, comment, quant = start + 2, None, b"", {}
     dc: dict[int, _Table] = {}
     ac: dict[int, _Table] = {}
     ids: list[int] = []
@@ -407,7 +436,7 @@ def decode(data: bytes) -> Image:
     if image is None:
         raise ValueError("not a progressive JPEG")
     image.comment, image.quant = comment, quant
-    return image
+    return image, at + 2
 
 
 def payload_of(image: Image) -> bytes:
@@ -460,46 +489,62 @@ def feature(tensor: np.ndarray) -> str:
 
 
 MEDIA = T.StructType().add("n_bytes", T.LongType()).add("media", T.BinaryType())
-FEATURES = T.StructType().add("n_bytes", T.LongType()).add("payload_bytes", T.LongType()).add("payload_sha256", T.StringType()).add("tail_crc32", T.LongType()).add("media_bytes", T.LongType()).add("media_sha256", T.StringType()).add("feature", T.StringType())
+DIGESTS = T.StructType().add("payload_bytes", T.LongType()).add("payload_sha256", T.StringType()).add("tail_crc32", T.LongType()).add("media_bytes", T.LongType()).add("media_sha256", T.StringType()).add("feature", T.StringType())
+TENSOR = T.StructType().add("height", T.IntegerType()).add("width", T.IntegerType()).add("rgb", T.BinaryType())
+#: Bytes of tensors, and of texts, that go to one batch, but for the last of them.
+BATCH = 1 << 23
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's payload as a JPEG file; no shuffle."""
+    """(doc_id, n_bytes, media): each text's payload as JPEG files; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(b: pa.RecordBatch, start: int, sizes: list[int], files: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0).slice(start, len(files)), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+            sizes, files, start, held = [], [], 0, 0
+            for t in b.column(1):
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                sizes.append(len(raw))
+                files.append(encode(pad(raw)))
+                held += len(files[-1])
+                if held >= BATCH:
+                    yield batch(b, start, sizes, files)
+                    sizes, files, start, held = [], [], start + len(files), 0
+            yield batch(b, start, sizes, files)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *MEDIA.fields]))
 
 
-DIGESTS = T.StructType(FEATURES.fields[1:-1])
-TENSOR = T.StructType().add("height", T.IntegerType()).add("width", T.IntegerType()).add("rgb", T.BinaryType())
-#: Bytes of tensors that go to one batch, but for the last of them.
-BATCH = 1 << 23
-
-
 def tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, digests of the file and of the payload read back from it, height, width, rgb): the full-resolution RGB tensor of each file, as bytes in rows; no shuffle."""
+    """(doc_id, n_bytes, digests of the files and of the payload read back from them, feature, height, width, rgb); no shuffle.
+
+    ``rgb`` is the full-resolution tensor of each row's files, as bytes in rows,
+    and ``feature`` describes it.
+    """
+    names = ["n_bytes", *DIGESTS.names, *TENSOR.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
 
         def batch(b: pa.RecordBatch, start: int, rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) or [()] * len(types)
-            return pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_bytes", *DIGESTS.names, *TENSOR.names])
+            return pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", *names])
 
         for b in batches:
             rows, start, size = [], 0, 0
             for n, m in zip(b.column(1), b.column(2)):
                 data = m.as_py()
-                image = decode(data)
-                got, tensor = payload_of(image), rgb(image)
-                rows.append((n.as_py(), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(data), hashlib.sha256(data).hexdigest(), *tensor.shape[:2], tensor.tobytes()))
+                digest, tail, got, parts = hashlib.sha256(), b"", 0, []
+                for image in decode_all(data):
+                    payload = payload_of(image)
+                    digest.update(payload)
+                    got, tail = got + len(payload), payload[-64:]
+                    parts.append(rgb(image))
+                tensor = parts[0] if len(parts) == 1 else np.concatenate(parts)
+                rows.append((n.as_py(), got, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature(tensor), *tensor.shape[:2], tensor.tobytes()))
                 size += tensor.nbytes
                 if size >= BATCH:
                     yield batch(b, start, rows)
@@ -510,25 +555,6 @@ def tensors(media: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["n_bytes"], *DIGESTS.fields, *TENSOR.fields]))
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """The table of :func:`tensors` with a feature of each tensor in its place; no shuffle."""
-    rest = [c for c in stored.columns if c not in TENSOR.names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shapes = zip(*(b.column(len(rest) + k) for k in range(3)))
-            out = [feature(np.frombuffer(t.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3)) for h, w, t in shapes]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(out, pa.string())], [*rest, "feature"])
-
-    rows = stored.select(*rest, *TENSOR.names)
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in rest), FEATURES["feature"]]))
-
-
-def read_back(media: DataFrame) -> DataFrame:
-    """Digests of the payload read back from each file, and a feature of its tensor as stored in the shared folder and reread."""
-    return features(cut(tensors(media), "tensors"))
-
-
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the media table to the shared folder, reads it back, and the same with its tensors."""
-    return read_back(cut(store(docs, doc_id, text), "media"))
+    """Writes the media table to the shared folder, rereads it, and returns each row's digests, feature and RGB tensor, which are for the caller to store."""
+    return tensors(cut(store(docs, doc_id, text), "media", "zstd"))
