@@ -13,8 +13,8 @@ new packing is taken when it needs fewer bins in total.
 Defined cases: a null text is empty and gives one piece that holds only id 2;
 strings of the vocabulary's added tokens are those tokens, as in its JSON file;
 repeated rows are separate documents and each is packed; an empty table gives an
-empty result; ties in length are broken by id and piece, so the packing does not
-depend on the order in which rows arrive; ids may be null.
+empty result; ties in length are broken by id, piece and row; rows are dealt by a
+number of their own, so that a share of null or equal ids makes no task large.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def _pack(capacity: int, round_: int):
         got = [b for b in batches if b.num_rows]  # narrow rows, about PER_TASK of them
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         where, at, free = best_fit_decreasing(t["length"].to_numpy(), capacity)
         bound = lower_bound(t["length"].to_numpy(), capacity)
         gap = len(free) - bound
@@ -193,14 +193,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, r
     Runs a job for the first packing and up to ``rounds`` exchanges; their
     results are narrow tables in the shared folder. Only counts reach the driver.
     """
-    items = cut(items, "pieces")
     columns = items.columns
+    items = cut(items.withColumn("row", F.monotonically_increasing_id()), "pieces")  # so that rows of equal or null ids are dealt apart
     full = items.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    schema = PIECES + ", sequence_id long, offset long, open boolean, gap long"
+    full = full.select(*columns, "sequence_id", "offset")
+    schema = PIECES + ", row long, sequence_id long, offset long, open boolean, gap long"
 
     def packed(rows: DataFrame, n: int, k: int) -> DataFrame:
         parts = max(1, -(-n // per_task))
-        dealt = rows.repartition(parts, F.xxhash64(F.lit(k), "doc_id", "piece"))
+        dealt = rows.repartition(parts, F.xxhash64(F.lit(k), "row"))
         return cut(dealt.mapInArrow(_pack(capacity, k), schema), "packed")
 
     short = items.where(F.col("length") < capacity)
@@ -209,7 +210,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, r
         s = state.agg(F.sum("gap").alias("gap"), F.count_if("open").alias("n"), F.count_distinct(F.when(F.col("open"), F.col("sequence_id"))).alias("bins")).first()
         if not s["gap"] or not s["n"]:
             break
-        fresh = packed(state.where("open").select(*columns), s["n"], k)
+        fresh = packed(state.where("open").select(*columns, "row"), s["n"], k)
         if fresh.select("sequence_id").distinct().count() >= s["bins"]:
             break
         done.append(state.where(~F.col("open")).select(*columns, "sequence_id", "offset"))

@@ -24,8 +24,8 @@ weights; with the first digit two runs are compared by over 100 bits.
 
 Defined cases: a null text is empty; texts shorter than the threshold keep
 everything; repeated rows are separate documents, so each is repeated as a
-whole; rows with equal or null ids are told apart by their texts; an empty
-table gives an empty result; other columns are not read.
+whole; rows are told apart by a number of their own, whatever their ids, which may
+be null or equal; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ GRAM = 64
 PASSES = (64, 8, 1)
 #: Windows that are hashed at a time.
 SEGMENT = 1 << 20
-#: Ids that are broadcast at most (about 64 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Row numbers that are broadcast at most (about 8 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15
-CELLS = "key long, sup long, id long, th int, p int, n int, d int"
+CELLS = "key long, sup long, row long, p int, n int, d int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -123,18 +123,18 @@ def cells(spans: Spans, p: np.ndarray, n: np.ndarray, d: np.ndarray, size: int,
     return key.view(np.int64), sup.view(np.int64), anchor - d2, d2 - d1 + 1, d2
 
 
-def _batch(ids, ths, parts: list[tuple[int, tuple]]) -> pa.RecordBatch:
+def _batch(rows, parts: list[tuple[int, tuple]]) -> pa.RecordBatch:
     which = np.concatenate([np.full(len(c[0]), i, np.int64) for i, c in parts]) if parts else np.empty(0, np.int64)
     cols = [np.concatenate([c[k] for _, c in parts]) if parts else np.empty(0, np.int64) for k in range(5)]
     take = pa.array(which)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), ids.take(take), ths.take(take), *[pa.array(c.astype(np.int32)) for c in cols[2:]]], ["key", "sup", "id", "th", "p", "n", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), rows.take(take), *[pa.array(c.astype(np.int32)) for c in cols[2:]]], ["key", "sup", "row", "p", "n", "d"])
 
 
 def _first_pass(threshold: int, gram: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, held = [], 0
-            for i, t in enumerate(b.column(2)):
+            for i, t in enumerate(b.column(1)):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
                 for s in range(0, len(data) - threshold + 1, SEGMENT):
                     x = data[s : s + SEGMENT + threshold - 1]
@@ -143,9 +143,9 @@ def _first_pass(threshold: int, gram: int, size: int):
                     parts.append((i, (key, sup, p + s, n, d)))
                     held += len(key)
                     if held > 200_000:
-                        yield _batch(b.column(0), b.column(1), parts)
+                        yield _batch(b.column(0), parts)
                         parts, held = [], 0
-            yield _batch(b.column(0), b.column(1), parts)
+            yield _batch(b.column(0), parts)
 
     return run
 
@@ -154,7 +154,7 @@ def _next_pass(threshold: int, gram: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, held = [], 0
-            for i, (t, runs) in enumerate(zip(b.column(2), b.column(3))):
+            for i, (t, runs) in enumerate(zip(b.column(1), b.column(2))):
                 data = np.frombuffer(t.as_buffer(), np.uint8)
                 own = runs.values
                 p, n, d = (own.field(k).to_numpy().astype(np.int64) for k in range(3))
@@ -170,51 +170,50 @@ def _next_pass(threshold: int, gram: int, size: int):
                     held += len(key)
                     a = e
                     if held > 200_000:
-                        yield _batch(b.column(0), b.column(1), parts)
+                        yield _batch(b.column(0), parts)
                         parts, held = [], 0
-            yield _batch(b.column(0), b.column(1), parts)
+            yield _batch(b.column(0), parts)
 
     return run
 
 
 def _with_lists(bodies: DataFrame, lists: DataFrame) -> DataFrame:
-    """``bodies`` (id, th, body) of the rows that ``lists`` (id, th, ...) has, with its columns.
+    """``bodies`` (row, body, ...) of the rows that ``lists`` (row, ...), a written table, has, with its columns.
 
-    The ids go ahead as a filter where they are few, so that other texts are not shuffled.
+    The row numbers go ahead as a filter where they are few, so that other texts are not shuffled.
     """
-    lists = cut(lists, "lists")
-    if lists.count() <= BROADCAST_IDS:
-        bodies = bodies.join(F.broadcast(lists.select("id", "th")), ["id", "th"], "left_semi")
-    return bodies.join(lists, ["id", "th"])
+    if lists.count() <= BROADCAST_ROWS:
+        bodies = bodies.join(F.broadcast(lists.select("row")), "row", "left_semi")
+    return bodies.join(lists, "row")
 
 
 def bodies_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, th, doc_id, body): th tells rows of one id (0 for null) apart by their texts."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.hash(F.col(doc_id).isNull(), t).alias("th"), F.col(doc_id).alias("doc_id"), F.encode(t, "UTF-8").alias("body"))
+    """(row, doc_id, body), written once, so that each row keeps its number."""
+    body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), body.alias("body")), "bodies", "zstd")
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """(id, th, p, n): runs of n windows from p on that occur elsewhere too, for rows of :func:`bodies_of`."""
-    bodies = bodies_of(docs, doc_id, text).select("id", "th", "body")
+def repeated_runs(bodies: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """(row, p, n): runs of n windows from p on that occur elsewhere too, for the rows of :func:`bodies_of`."""
+    bodies = bodies.select("row", "body")
     found: list[DataFrame] = []
     todo: DataFrame | None = None
     for size in PASSES:
         if todo is None:
             rows = bodies.where(F.length("body") >= threshold).mapInArrow(_first_pass(threshold, gram, size), CELLS)
         else:
-            lists = todo.groupBy("id", "th").agg(F.collect_list(F.struct("p", "n", "d")).alias("runs"))  # of one text
-            rows = cut(_with_lists(bodies, lists).select("id", "th", "body", "runs").mapInArrow(_next_pass(threshold, gram, size), CELLS), "cells")
+            lists = cut(todo.groupBy("row").agg(F.collect_list(F.struct("p", "n", "d")).alias("runs")), "lists")  # of one text
+            rows = cut(_with_lists(bodies, lists).select("row", "body", "runs").mapInArrow(_next_pass(threshold, gram, size), CELLS), "cells")
         groups = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("sup").alias("a"), F.max("sup").alias("b")).where("rows > 1")
         # Written first, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
         groups = cut(groups.select("key", (F.col("a") == F.col("b")).alias("same")), "groups")
         kept = cut(rows.join(groups, "key"), "repeats")
-        found.append(kept.where("same").select("id", "th", "p", "n"))
+        found.append(kept.where("same").select("row", "p", "n"))
         if size == 1:
             break
         mixed = kept.where("NOT same")
-        classes = cut(mixed.groupBy("key", "sup").agg(F.count("*").alias("rows"), F.min(F.struct("id", "th", "p", "n", "d")).alias("one")), "classes")
-        found.append(mixed.join(classes.where("rows > 1").select("key", "sup"), ["key", "sup"]).select("id", "th", "p", "n"))
+        classes = cut(mixed.groupBy("key", "sup").agg(F.count("*").alias("rows"), F.min(F.struct("row", "p", "n", "d")).alias("one")), "classes")
+        found.append(mixed.join(classes.where("rows > 1").select("key", "sup"), ["key", "sup"]).select("row", "p", "n"))
         todo = classes.select("one.*")  # one of each class meets the others in the next pass
     out = found[0]
     for f in found[1:]:
@@ -249,11 +248,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``with_kept``); removal can split a character, so they are bytes.
     """
     bodies = bodies_of(docs, doc_id, text)
-    runs = repeated_runs(docs, doc_id, text, threshold, gram)
-    lists = cut(runs.groupBy("id", "th").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
+    runs = repeated_runs(bodies, threshold, gram)
+    lists = cut(runs.groupBy("row").agg(F.collect_list(F.struct("p", "n")).alias("runs")), "runs")
     hit = _with_lists(bodies, lists).select("doc_id", "body", "runs")
     changed = hit.mapInArrow(_remove(threshold, with_kept), T.StructType([bodies.schema["doc_id"], *RESULT.fields]))
-    ids = lists.select("id", "th")
-    other = bodies.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["id", "th"], "left_anti")
+    rows = lists.select("row")
+    other = bodies.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_anti")
     same = other.select("doc_id", F.length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), (F.col("body") if with_kept else F.lit(None).cast("binary")).alias("kept"))
     return changed.unionByName(same)
