@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ class VolumeFrame:
     Absent voxels have the value ``fill``, so sparse volumes stay sparse.
     ``dtype`` is the sample type of the source, which Spark's types cannot tell
     (it has no unsigned ones); ``chunked`` tells whether it is read lazily from
-    chunk files.
+    chunk files, and ``read`` then gives the voxels of ranges ({axis: (first, end)})
+    from the chunks that hold them, without loading the others.
     """
 
     df: DataFrame
@@ -29,6 +32,7 @@ class VolumeFrame:
     dtype: str = "float64"
     fill: float = 0.0
     chunked: bool = False
+    read: Callable[[dict[str, tuple[int, int]]], DataFrame] | None = None
 
     def __post_init__(self):
         if len(self.shape) != 4:
@@ -50,9 +54,25 @@ class VolumeFrame:
         """By metadata alone: never runs a job."""
         return self.nbytes <= max_bytes
 
+    def within(self, ranges: dict[str, tuple[int, int]]) -> DataFrame:
+        """(c, z, y, x, value) inside half-open ranges; a filter that reaches the scan, or the choice of chunks."""
+        if self.read is not None:
+            return self.read(ranges)
+        return reduce(lambda d, r: d.where((F.col(r[0]) >= r[1][0]) & (F.col(r[0]) < r[1][1])), ranges.items(), self.df)
+
     def channel(self, index: int) -> DataFrame:
-        """(z, y, x, value) of one channel; a filter that reaches the scan."""
-        return self.df.where(F.col("c") == self._index(index, 0)).select(*COORDS, "value")
+        """(z, y, x, value) of one channel."""
+        c = self._index(index, 0)
+        return self.within({"c": (c, c + 1)}).select(*COORDS, "value")
+
+    def to_numpy(self, *, max_bytes: int = DEFAULT_MAX_BYTES) -> np.ndarray:
+        """The dense array (C, Z, Y, X) on the driver; raises MemoryError, before any job, if it is larger than ``max_bytes``."""
+        if not self.fits_in_memory(max_bytes):
+            raise MemoryError(f"a volume of {self.nbytes} bytes is over the budget of {max_bytes}")
+        out = np.full(self.shape, self.fill, self.dtype)
+        got = self.df.select("c", *COORDS, F.col("value").cast("double").alias("value")).toArrow()  # bounded by the budget
+        out[tuple(got.column(k).to_numpy() for k in range(4))] = got.column(4).to_numpy()
+        return out
 
     def _index(self, i: int, axis: int) -> int:
         n = self.shape[axis]
@@ -63,18 +83,17 @@ class VolumeFrame:
     def voxel(self, c: int, z: int, y: int, x: int) -> float:
         """One voxel's value; negative indexes count from the end."""
         at = [self._index(i, k) for k, i in enumerate((c, z, y, x))]
-        row = self.df.where(reduce(Column.__and__, (F.col(n) == v for n, v in zip(("c", *COORDS), at)))).select("value").first()
+        row = self.within({n: (v, v + 1) for n, v in zip(("c", *COORDS), at)}).select("value").first()
         return self.fill if row is None else float(row[0])
 
     def subvolume(self, c: int, z0: int, y0: int, x0: int, depth: int, height: int, width: int) -> DataFrame:
         """(z, y, x, value) of a box, counted from its corner; the box is clipped at the volume's edges."""
-        out = self.channel(c)
-        for name, first, n in zip(COORDS, (z0, y0, x0), (depth, height, width)):
-            out = out.where((F.col(name) >= first) & (F.col(name) < first + n))
+        k = self._index(c, 0)
+        out = self.within({"c": (k, k + 1)} | {name: (first, first + n) for name, first, n in zip(COORDS, (z0, y0, x0), (depth, height, width))})
         return out.select(*[(F.col(n) - F.lit(first)).cast("int").alias(n) for n, first in zip(COORDS, (z0, y0, x0))], "value")
 
     def with_values(self, df: DataFrame, dtype: str | None = None) -> VolumeFrame:
-        return replace(self, df=df, dtype=dtype or self.dtype)
+        return replace(self, df=df, dtype=dtype or self.dtype, read=None)
 
 
 def check_shapes(a: tuple, b: tuple) -> None:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from voxtable.model import VolumeFrame
+from voxtable.sources.files import small_file
 from voxtable.sources.tiff import read_tiff, write_tiff
-from voxtable.sources.zarr import read_zarr, small_file, write_zarr
+from voxtable.sources.zarr import read_zarr, write_zarr
 
 __all__ = ["open_volume", "read_tiff", "read_zarr", "write_tiff", "write_zarr"]
 
@@ -21,4 +22,4 @@ def open_volume(spark: SparkSession, path: str) -> VolumeFrame:
         return read_tiff(spark, path)
     if name.endswith(".zarr") or any(small_file(spark, f"{path.rstrip('/')}/{m}") is not None for m in MARKERS):
         return read_zarr(spark, path)
-    raise ValueError(f"unrecognized volume format: {path}")
+    raise ValueError(f"no reader knows a volume of this name: {path}")

@@ -10,10 +10,8 @@ its channels as pages, in a task of its own.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +20,9 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from voxtable.functions.rank import dense_index
 from voxtable.model import VolumeFrame
+from voxtable.sources.files import write_folder
 
 #: Sizes of TIFF field types by their number.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 12: 8, 16: 8}
@@ -137,41 +137,72 @@ def _head(files) -> tuple[int, int, str, str, int]:
     return files.select("path", "content").mapInPandas(run, "path string, w int, h int, dtype string, text string, pages int")
 
 
-def _channels(text: str, pages: int) -> tuple[int, int]:
-    """Channels and planes of a file from its description, else all pages are planes."""
-    if "TimePoint" in text or (m := re.search(r'SizeT="(\d+)"|frames=(\d+)', text)) and int(m[1] or m[2]) > 1:
-        raise NotImplementedError("time series are not volumes")
-    c = re.search(r'SizeC="(\d+)"|channels=(\d+)', text)
-    n = int(c[1] or c[2]) if c else 1
-    if pages % n:
-        raise ValueError(f"{pages} pages are not a whole number of {n} channels")
-    return n, pages // n
+def page_axes(text: str, pages: int) -> tuple[str, list[int]]:
+    """The axes that a file's pages run through, slowest first, and their sizes, from its description.
+
+    An OME description names its own order (fastest first); a stack's description
+    by channels, slices and frames has channels fastest, then planes. Without
+    either, pages are planes. Sizes that do not fit the pages are refused, but for
+    planes that are not stated: they take what is left.
+    """
+    if "<OME" in text or "DimensionOrder" in text:
+        if text.count("<Image ") + text.count("<Image>") > 1:
+            raise NotImplementedError("a file of several series is not one volume")
+        sizes = {k: int(v) for k, v in re.findall(r'Size([CZT])="(\d+)"', text)}
+        order = (re.search(r'DimensionOrder="XY([CZT]{3})"', text) or ["", "CZT"])[1][::-1]
+        sizes = [sizes.get(a, 1) for a in order]
+    else:
+        stated = {k: int(v) for k, v in re.findall(r"(?m)^(channels|slices|frames)=(\d+)", text)}
+        order, channels, frames = "TZC", stated.get("channels", 1), stated.get("frames", 1)
+        rest = channels * frames
+        sizes = [frames, stated.get("slices", max(1, pages // rest)), channels]
+    if int(np.prod(sizes)) != pages:
+        raise ValueError(f"{pages} pages are not the {'x'.join(map(str, sizes))} of the axes {order}")
+    return order, sizes
+
+
+def page_place(order: str, sizes: list[int]) -> tuple[list[tuple[str, int | None]], int, int]:
+    """Where C and Z stand in the pages' axes, checked by :func:`to_czyx`, and the channels and planes of a file."""
+    places = to_czyx(order + "YX", [*sizes, 1, 1])
+    by = dict(zip(order, sizes))
+    return places, by.get("C", 1), by.get("Z", 1)
 
 
 def read_tiff(spark: SparkSession, path: str) -> VolumeFrame:
-    """A TIFF file, or a folder of plane files, as voxels; pages run through channels first, then planes."""
+    """A TIFF file, or a folder of plane files in the order of their names, as voxels.
+
+    The first file's description says how pages run through channels and planes;
+    the others are held to its size. Files are numbered by a sort of their names
+    in Spark; a row of the reader is one whole file, as for all of Spark's binary files.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(path)
-    heads = _head(files).orderBy("path").select("path", "w", "h", "dtype", "text", "pages")
-    first = heads.first()
-    if first is None:
+    head = files.agg(F.min("path")).first()[0]  # names only
+    if head is None:
         raise ValueError(f"no TIFF file in {path}")
-    # The places of plane files: a row for each file, numbered by name.
-    names = [r["path"] for r in heads.select("path").collect()]
-    channels, planes = _channels(first["text"], first["pages"])
-    base = {n: k * planes for k, n in enumerate(names)}
-    table = spark.createDataFrame(sorted(base.items()), "path string, z0 int")
+    first = _head(files.where(F.col("path") == head)).first()
+    order, sizes = page_axes(first["text"], first["pages"])
+    _, channels, planes = page_place(order, sizes)
+    names = files.select(F.col("path").alias("name"))
+    n = names.count()
+    numbered = dense_index(names, "name", "number") if n > 1 else names.withColumn("number", F.lit(1))
+    pages_of, h, w = first["pages"], first["h"], first["w"]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for z0, content in pdf.itertuples(index=False):
-                order, dirs = directories(content)
+            for number, content in pdf.itertuples(index=False):
+                marks, dirs = directories(content)
+                if len(dirs) != pages_of:
+                    raise ValueError(f"a file of {len(dirs)} pages among files of {pages_of}")
                 for k, at in enumerate(dirs):
-                    p = page(content, at, order)
+                    where = dict(zip(order, np.unravel_index(k, sizes)))
+                    p = page(content, at, marks)
+                    if p.shape != (h, w):
+                        raise ValueError(f"a page of {p.shape} among pages of {(h, w)}")
                     y, x = np.nonzero(p)
-                    yield pd.DataFrame({"c": np.int32(k % channels), "z": np.int32(z0 + k // channels), "y": y.astype(np.int32), "x": x.astype(np.int32), "value": p[y, x].astype(float)})
+                    yield pd.DataFrame({"c": np.int32(where.get("C", 0)), "z": np.int32((number - 1) * planes + where.get("Z", 0)), "y": y.astype(np.int32), "x": x.astype(np.int32), "value": p[y, x].astype(float)})
 
-    voxels = files.join(F.broadcast(table), "path").select("z0", "content").mapInPandas(split, "c int, z int, y int, x int, value double")
-    return VolumeFrame(voxels, (channels, planes * len(names), first["h"], first["w"]), first["dtype"])
+    voxels = files.join(numbered, F.col("path") == F.col("name")).select("number", "content").mapInPandas(split, "c int, z int, y int, x int, value double")
+    return VolumeFrame(voxels, (channels, planes * n, h, w), first["dtype"])
 
 
 def _plane_file(planes: list[np.ndarray], text: str) -> bytes:
@@ -202,11 +233,6 @@ def _plane_file(planes: list[np.ndarray], text: str) -> bytes:
 
 def write_tiff(volume: VolumeFrame, path: str) -> None:
     """A folder of one file for each plane; channels are its pages."""
-    local = path.removeprefix("file://").rstrip("/")
-    if "://" in local:
-        raise ValueError("planes are written to mounted folders only")
-    fresh = f"{local}.{uuid.uuid4().hex}"
-    os.makedirs(fresh)
     channels, depth, height, width = volume.shape
     dtype, fill = np.dtype(volume.dtype), volume.fill
     planes = volume.df.sparkSession.range(depth).select(F.col("id").cast("int").alias("z"))
@@ -216,14 +242,7 @@ def write_tiff(volume: VolumeFrame, path: str) -> None:
         dense = np.full((channels, height, width), fill, dtype)
         some = pdf.dropna(subset=["c"])
         dense[tuple(some[n].to_numpy().astype(int) for n in ("c", "y", "x"))] = some["value"].to_numpy().astype(dtype)
-        name = f"{fresh}/z{int(pdf['z'].iloc[0]):06d}.tif"
-        part = f"{name}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(_plane_file(list(dense), f"ImageJ=1.11a\nimages={channels}\nchannels={channels}\n"))
-        os.replace(part, name)
-        return pd.DataFrame({"n": [1]})
-
-    rows.groupBy("z").applyInPandas(write, "n long").agg(F.sum("n")).collect()
-    if os.path.exists(local):
-        os.replace(local, f"{fresh}.old")
-    os.replace(fresh, local)
+        text = f"ImageJ=1.11a\nimages={channels}\nchannels={channels}\n"
+        return pd.DataFrame({"name": [f"z{int(pdf['z'].iloc[0]):06d}.tif"], "content": [_plane_file(list(dense), text)]})
+
+    write_folder(rows.groupBy("z").applyInPandas(write, "name string, content binary"), path)

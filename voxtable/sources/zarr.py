@@ -2,18 +2,15 @@
 
 Reading lists and loads chunk files with Spark's own reader, so any store that
 Spark reads will do, and a range read drops the other chunks by their names
-before their bytes are decoded. Writing makes one file for each chunk in a task
-of its own and the array's metadata last; it needs a folder that executors see
-as a path (a mounted share).
+before their bytes are loaded. Writing makes one file for each chunk, in tasks, and
+the array's metadata last.
 """
 
 from __future__ import annotations
 
 import gzip
 import json
-import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.model import VolumeFrame
+from voxtable.sources.files import small_file, write_folder
 
 VOXELS = "c int, z int, y int, x int, value double"
 AXES = ("c", "z", "y", "x")
@@ -30,20 +28,6 @@ AXES = ("c", "z", "y", "x")
 AUTO = (1, 64, 256, 256)
 
 
-def small_file(spark: SparkSession, path: str) -> str | None:
-    """The text of a metadata file, None if there is none; Spark's readers skip names that begin with a dot."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(conf)
-    if not fs.exists(place):
-        return None
-    stream = fs.open(place)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def _metadata(spark: SparkSession, path: str) -> dict:
     text = small_file(spark, f"{path}/.zarray")
     if text is None:
@@ -75,12 +59,16 @@ def read_zarr(spark: SparkSession, path: str, ranges: dict[str, tuple[int, int]]
     separator = meta.get("dimension_separator", ".")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*").load(path)
     pattern = re.escape(separator).join(["([0-9]+)"] * 4) + "$"
-    at = [F.regexp_extract("path", pattern, k + 1).cast("int") for k in range(4)]
-    rows = files.where(F.col("path").rlike(pattern)).select(*[a.alias("k" + n) for a, n in zip(at, AXES)], "content")
-    for k, n in enumerate(AXES):
-        if ranges and n in ranges:
-            first, end = ranges[n]
-            rows = rows.where((F.col("k" + n) * chunks[k] < end) & ((F.col("k" + n) + 1) * chunks[k] > first))
+
+    def rows_of(ranges: dict[str, tuple[int, int]] | None) -> DataFrame:
+        """The chunks that overlap the ranges, by their names alone: a file's content is loaded only where its row passes."""
+        keys = [F.regexp_extract("path", pattern, k + 1).cast("int") for k in range(4)]
+        inside = F.col("path").rlike(pattern)
+        for k, n in enumerate(AXES):
+            if ranges and n in ranges:
+                first, end = ranges[n]
+                inside &= (keys[k] * chunks[k] < end) & ((keys[k] + 1) * chunks[k] > first)
+        return files.where(inside).select(*[a.alias("k" + n) for a, n in zip(keys, AXES)], "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,23 +80,23 @@ def read_zarr(spark: SparkSession, path: str, ranges: dict[str, tuple[int, int]]
                 where = np.nonzero(block != fill)
                 yield pd.DataFrame({n: (w + k * c).astype(np.int32) for n, w, k, c in zip(AXES, where, keys, chunks)} | {"value": block[where].astype(float)})
 
-    voxels = rows.mapInPandas(decode, VOXELS)
-    for n, (first, end) in (ranges or {}).items():
-        voxels = voxels.where((F.col(n) >= first) & (F.col(n) < end))
-    return VolumeFrame(voxels, tuple(shape), str(dtype) if str(dtype) in ("uint8", "uint16", "int16", "int32", "float32", "float64") else "float64", fill, chunked=True)
+    def read(ranges: dict[str, tuple[int, int]] | None) -> DataFrame:
+        voxels = rows_of(ranges).mapInPandas(decode, VOXELS)
+        for n, (first, end) in (ranges or {}).items():
+            voxels = voxels.where((F.col(n) >= first) & (F.col(n) < end))
+        return voxels
+
+    within = lambda more: read((ranges or {}) | {n: (max(a, (ranges or {}).get(n, (a, b))[0]), min(b, (ranges or {}).get(n, (a, b))[1])) for n, (a, b) in more.items()})
+    kind = str(dtype) if str(dtype) in ("uint8", "uint16", "int16", "int32", "float32", "float64") else "float64"
+    return VolumeFrame(read(ranges), tuple(shape), kind, fill, chunked=True, read=within)
 
 
 def write_zarr(volume: VolumeFrame, path: str, chunks: tuple[int, int, int, int] | None = None, compressor: str | None = "zlib") -> None:
     """Writes a version 2 array, in place of what was there once all chunks are written."""
     if compressor not in (None, "zlib", "gzip"):
         raise ValueError(f"compressor {compressor!r} is not available")
-    local = path.removeprefix("file://").rstrip("/")
-    if "://" in local:
-        raise ValueError("arrays are written to mounted folders only")
     sizes = tuple(min(c, s) for c, s in zip(chunks or AUTO, volume.shape))
     shape, dtype, fill = volume.shape, np.dtype(volume.dtype), volume.fill
-    fresh = f"{local}.{uuid.uuid4().hex}"
-    os.makedirs(fresh)
     keyed = volume.df.select(*AXES, F.col("value").cast("double").alias("value"), *[F.floor(F.col(n) / c).cast("int").alias("k" + n) for n, c in zip(AXES, sizes)])
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,18 +105,9 @@ def write_zarr(volume: VolumeFrame, path: str, chunks: tuple[int, int, int, int]
         block[tuple(pdf[n].to_numpy() - k * c for n, k, c in zip(AXES, keys, sizes))] = pdf["value"].to_numpy().astype(dtype)
         raw = block.tobytes()
         raw = zlib.compress(raw, 1) if compressor == "zlib" else gzip.compress(raw, 1, mtime=0) if compressor == "gzip" else raw
-        name = f"{fresh}/{'.'.join(map(str, keys))}"
-        part = f"{name}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(raw)
-        os.replace(part, name)  # a task that runs twice leaves one whole file
-        return pd.DataFrame({"n": [len(raw)]})
-
-    keyed.groupBy(*["k" + n for n in AXES]).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+        return pd.DataFrame({"name": [".".join(map(str, keys))], "content": [raw]})
+
+    files = keyed.groupBy(*["k" + n for n in AXES]).applyInPandas(write, "name string, content binary")
     meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(sizes), "dtype": dtype.str, "order": "C", "fill_value": fill if dtype.kind == "f" else int(fill), "filters": None,
             "compressor": {"id": compressor, "level": 1} if compressor else None}
-    with open(f"{fresh}/.zarray", "w") as f:
-        json.dump(meta, f)
-    if os.path.exists(local):
-        os.replace(local, f"{fresh}.old")
-    os.replace(fresh, local)
+    write_folder(files, path, (".zarray", json.dumps(meta)))
