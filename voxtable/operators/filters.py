@@ -40,30 +40,24 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integers: bool = False) -> DataFrame:
-    """Separable Gaussian with mirrored edges, an axis at a time; an axis of sigma 0 or one voxel is skipped.
+def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integers: bool = False, fill: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Separable Gaussian with mirrored edges; an axis of sigma 0 or one voxel is skipped.
 
-    Rows within reach of the given ones come out; everything else is 0. With
+    One shuffle: a task holds a cube with its border and blurs it an axis at a
+    time. The cube's edge grows with the reach, so that a voxel is sent to few
+    cubes. Cubes that no row reaches are ``fill`` throughout and are left out. With
     ``integers`` results are truncated, as integer samples are.
     """
-    out = volume.select(*COORDS, F.col("value").cast("double").alias("value"))
-    for axis, n, s in zip(COORDS, shape, _per_axis(sigma)):
-        if s == 0 or n == 1:
-            continue
-        w = gaussian_weights(float(s))
-        r = len(w) // 2
-        # The target t gets w[k] of the mirrored source at t + k. A source i is met from i - k and from its mirror images.
-        reach = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("w")) for k, x in zip(range(-r, r + 1), w)])).alias("o")
-        images = [F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis)]
-        if n <= r:  # a short axis is met by further mirror images
-            images = [img + F.lit(2 * n * m) for m in range(-(r // n) - 1, r // n + 2) for img in (F.col(axis), -1 - F.col(axis))]
-        others = [c for c in COORDS if c != axis]
-        sent = out.select(*others, "value", F.explode(F.array(*images)).alias("at")).where((F.col("at") >= -r) & (F.col("at") < n + r)).select(*others, "value", "at", reach)
-        sent = sent.select(*others, (F.col("at") - F.col("o.k")).cast("int").alias(axis), (F.col("value") * F.col("o.w")).alias("value")).where((F.col(axis) >= 0) & (F.col(axis) < n))
-        out = sent.groupBy(*COORDS).agg(F.sum("value").alias("value"))
-    if integers:
-        out = out.withColumn("value", F.when(F.col("value") < 0, F.ceil("value")).otherwise(F.floor("value")).cast("double"))
-    return out.select(*COORDS, "value")
+    weights = [[1.0] if s == 0 or n == 1 else gaussian_weights(float(s)) for n, s in zip(shape, _per_axis(sigma))]
+    reach = tuple(len(w) // 2 for w in weights)
+
+    def kernel(dense: np.ndarray) -> np.ndarray:
+        for axis, w in enumerate(weights):
+            n = dense.shape[axis] - len(w) + 1
+            dense = sum(x * dense[tuple(slice(k, k + n) if a == axis else slice(None) for a in range(3))] for k, x in enumerate(w))
+        return np.trunc(dense) if integers else dense
+
+    return on_blocks(volume, shape, reach, kernel, fill=fill, outside=None, block=max(block, 2 * max(reach)))
 
 
 def _images(c: str, n: int, r: int, mirror: bool) -> Column:
@@ -134,23 +128,36 @@ def subtract_background(volume: DataFrame, shape: tuple[int, int, int], *, radiu
     """Rolling ball: max(0, v - background), where the ball of ``radius`` touches the volume from below.
 
     The background is min over offsets o of v(p + o) + r - sqrt(r^2 - |o|^2);
-    what lies outside the volume is not touched.
+    what lies outside the volume is not touched. The offsets are taken as rows along
+    x: those of one |(z, y)| and x share a height, so planes that mirror each other
+    are joined by their minimum first. The cube's edge is the radius at least (but
+    64 at most), so that a voxel is sent to few cubes.
     """
     r = int(radius)
     reach = tuple(0 if n == 1 else min(r, int(n)) for n in shape)
-    offsets = [(z, y, x) for z in range(-reach[0], reach[0] + 1) for y in range(-reach[1], reach[1] + 1) for x in range(-reach[2], reach[2] + 1) if z * z + y * y + x * x <= radius * radius]
-    heights = [radius - math.sqrt(radius * radius - (z * z + y * y + x * x)) for z, y, x in offsets]
-
     def kernel(dense: np.ndarray) -> np.ndarray:
         inner = [n - 2 * r for n, r in zip(dense.shape, reach)]
         low = np.full(inner, np.inf)
-        for o, h in zip(offsets, heights):
-            part = dense[tuple(slice(r + k, r + k + n) for r, k, n in zip(reach, o, inner))]
-            np.minimum(low, part + h, out=low)
+
+        def mirrored(a: np.ndarray, axis: int, k: int) -> np.ndarray:
+            """Minimum of what stands k before and k behind, trimmed to the inner part of the axis."""
+            n, e = inner[axis], reach[axis]
+            cut = lambda s: a[tuple(slice(s, s + n) if d == axis else slice(None) for d in range(3))]
+            return cut(e) if not k else np.minimum(cut(e - k), cut(e + k))
+
+        for z in range(reach[0] + 1):
+            planes = mirrored(dense, 0, z)
+            for y in range(reach[1] + 1):
+                left = radius * radius - z * z - y * y
+                if left < 0:
+                    break
+                rows = mirrored(planes, 1, y)
+                for x in range(min(reach[2], math.isqrt(int(left))) + 1):
+                    np.minimum(low, mirrored(rows, 2, x) + (radius - math.sqrt(left - x * x)), out=low)
         own = dense[tuple(slice(r, r + n) for r, n in zip(reach, inner))]
         return np.maximum(own - low, 0.0)
 
-    return on_blocks(volume, shape, reach, kernel, fill=fill, outside=math.inf, block=block)
+    return on_blocks(volume, shape, reach, kernel, fill=fill, outside=math.inf, block=max(block, min(64, r)))
 
 
 def enhance_contrast(volume: DataFrame, shape: tuple[int, int, int] | None = None, *, method: str = "normalize", dtype: str = "float64", clip: float = 0.01, bins: int = 256, tiles: int = 8) -> DataFrame:
