@@ -52,10 +52,49 @@ def otsu_value(volume: DataFrame, integers: bool = False) -> DataFrame:
     return ranked.orderBy(F.desc("between"), "centre").limit(1).select(F.col("centre").alias("t"))
 
 
+def percentile_value(volume: DataFrame, percentile: float, bins: int = 4096) -> float | None:
+    """The percentile of the values by linear interpolation; None without values.
+
+    Exact, and no task holds the values: counts by equal bins say which bin holds
+    the two order statistics, and only that bin is counted again, until it has as
+    few different values as a sort of them takes. The driver sees ``bins`` counts.
+    """
+    values = volume.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("value").cast("double").alias("v"))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    place = percentile / 100 * (n - 1)
+    lower = math.floor(place + 1e-9)
+    share = max(0.0, place - lower)
+
+    def order_statistic(k: int) -> float:
+        """The k-th smallest value, from 0."""
+        a, b, before = low, high, 0
+        while a < b:
+            inside = values.where((F.col("v") >= a) & (F.col("v") <= b))
+            at = F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / F.lit(b - a) * bins))
+            counts = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect()
+            for c in counts:  # ``bins`` rows at most
+                if k < before + c["n"]:
+                    break
+                before += c["n"]
+            if (c["a"], c["b"]) == (a, b):  # neighbouring numbers
+                few = inside.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(bins).collect()
+                for v in few:
+                    if k < before + v["n"]:
+                        return v["v"]
+                    before += v["n"]
+            a, b = c["a"], c["b"]
+        return a
+
+    first = order_statistic(lower)
+    return first if not share else first + share * (order_statistic(min(lower + 1, n - 1)) - first)
+
+
 def threshold_mask(volume: DataFrame, *, method: str = "fixed", value: float | None = None, percentile: float | None = None, integers: bool = False) -> DataFrame:
     """``volume`` with ``mask`` in place of the value: at least the threshold; NaN and null are not.
 
-    The global thresholds are one-row tables that join by broadcast.
+    Otsu's threshold is a one-row table that joins by broadcast; a percentile is a number that its passes find first.
     """
     if method == "fixed":
         if value is None:
@@ -64,8 +103,7 @@ def threshold_mask(volume: DataFrame, *, method: str = "fixed", value: float | N
     elif method == "percentile":
         if percentile is None:
             raise ValueError("the percentile method needs a percentile")
-        one = volume.where(~F.isnan("value")).agg(F.percentile("value", F.lit(percentile / 100)).alias("__t"))
-        rows, t = volume.crossJoin(F.broadcast(one)), F.col("__t")
+        rows, t = volume, F.lit(percentile_value(volume, percentile))
     elif method == "otsu":
         rows, t = volume.crossJoin(F.broadcast(otsu_value(volume, integers).withColumnRenamed("t", "__t"))), F.col("__t")
     else:
