@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.model import COORDS, VolumeFrame, from_table
-from voxtable.operators import classify, cluster, filters, gates, measure, reduce, segment, validate
+from voxtable.operators import classify, cluster, filters, gates, joins, measure, reduce, segment, validate
 from voxtable.scratch import shared_dir
 from voxtable.sources import open_volume, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
@@ -207,7 +207,9 @@ class _Bright:
         return (plane > plane.mean()).astype("int32"), None, None
 
 
-@query()
+@query(f"""{VOL}, t AS (SELECT concat(y // 256, ':', x // 256) AS tile, z, y, x, value FROM vol),
+m AS (SELECT tile, sum(value) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)) AS mean FROM t GROUP BY 1)
+SELECT tile, z, y, x, 1::INT AS label FROM t JOIN m USING (tile) WHERE value > mean""")
 def model_segmentation(spark, sf_dir):
     tiles = voxels(spark, sf_dir).withColumn("tile", F.concat_ws(":", F.floor(F.col("y") / 256), F.floor(F.col("x") / 256)))
     return segment.apply_model(tiles, _Bright(), "tile string, z int, y int, x int, label int", do_3d=True)
@@ -226,7 +228,7 @@ def _gauss(axis: str, n: int, source: str, sigma: float) -> str:
 @query(f"{VOL}, a AS {_gauss('z', DEPTH, 'vol', 0.5)}, b AS {_gauss('y', WIDE, 'a', 0.5)}, c AS {_gauss('x', WIDE, 'b', 0.5)} SELECT z::INT AS z, y::INT AS y, x::INT AS x, round(value, 6) AS value FROM c")
 def gaussian_blur(spark, sf_dir):
     out = filters.gaussian_blur(voxels(spark, sf_dir), SHAPE, 0.5)
-    return out.withColumn("value", F.round("value", 6))
+    return out.where("value > 0").withColumn("value", F.round("value", 6))
 
 
 GRID = f"grid AS MATERIALIZED (SELECT g.z::INT AS z, h.y::INT AS y, i.x::INT AS x, coalesce(value, 0) AS value FROM range({DEPTH}) g(z) CROSS JOIN range({SMALL}) h(y) CROSS JOIN range({SMALL}) i(x) LEFT JOIN vol ON vol.z = g.z AND vol.y = h.y AND vol.x = i.x)"
@@ -243,8 +245,8 @@ def median_filter(spark, sf_dir):
 
 
 @query(f"""{VOL_SMALL}, {GRID}, o AS (SELECT a.d AS dz, b.d AS dy, c.d AS dx, 2 - sqrt(4 - (a.d * a.d + b.d * b.d + c.d * c.d)) AS h FROM range(-2, 3) a(d), range(-2, 3) b(d), range(-2, 3) c(d) WHERE a.d * a.d + b.d * b.d + c.d * c.d <= 4),
-m AS (SELECT p.z, p.y, p.x, any_value(p.value) AS v, min(q.value + h) AS bg FROM grid p, o JOIN grid q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)
-SELECT z, y, x, round(v - bg, 6) AS value FROM m WHERE v - bg > 0""")
+m AS MATERIALIZED (SELECT q.z - dz AS z, q.y - dy AS y, q.x - dx AS x, min(q.value + h) AS bg FROM grid q, o GROUP BY 1, 2, 3)
+SELECT z, y, x, round(value - bg, 6) AS value FROM grid JOIN m USING (z, y, x) WHERE value - bg > 0""")
 def subtract_background(spark, sf_dir):
     return filters.subtract_background(voxels(spark, sf_dir, SMALL), SHAPE_SMALL, radius=2).where("value > 0").withColumn("value", F.round("value", 6))
 
@@ -254,9 +256,23 @@ def normalize_contrast(spark, sf_dir):
     return filters.enhance_contrast(voxels(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
-@query()
+def _two_tiles(c: str, side: int, n: int) -> str:
+    """The two tiles whose centres enclose a place, with the share of each."""
+    at, low = f"(({c} + 0.5::DOUBLE) / {side} - 0.5::DOUBLE)", f"floor(({c} + 0.5::DOUBLE) / {side} - 0.5::DOUBLE)"
+    return f"[{{'t': greatest({low}, 0)::INT, 'w': 1 - ({at} - {low})}}, {{'t': least({low} + 1, {n - 1})::INT, 'w': {at} - {low}}}]"
+
+
+@query(f"""{VOL}, e AS (SELECT min(value) AS lo, max(value) AS hi FROM vol),
+r AS (SELECT z, y, x, least(255, floor((value - lo) / (hi - lo) * 256))::INT AS bin FROM vol, e),
+h AS (SELECT z AS tz, y // {WIDE // 8} AS ty, x // {WIDE // 8} AS tx, bin, count(*) AS n FROM r GROUP BY 1, 2, 3, 4),
+t AS (SELECT tz, ty, tx, sum(n)::DOUBLE AS every, greatest(1, ceil(0.01::DOUBLE * sum(n)::DOUBLE)) AS most FROM h GROUP BY 1, 2, 3),
+f AS (SELECT tz, ty, tx, every, most, b.bin::INT AS bin, coalesce(n, 0)::DOUBLE AS n FROM t CROSS JOIN range(256) b(bin) LEFT JOIN h USING (tz, ty, tx, bin)),
+s AS (SELECT *, sum(greatest(n - most, 0)) OVER (PARTITION BY tz, ty, tx) AS spare FROM f),
+c AS MATERIALIZED (SELECT tz, ty, tx, bin, sum(least(n, most) + spare / 256) OVER (PARTITION BY tz, ty, tx ORDER BY bin) / every AS level FROM s),
+o AS (SELECT z, y, x, bin, unnest({_two_tiles('y', WIDE // 8, 8)}) AS oy, {_two_tiles('x', WIDE // 8, 8)} AS xs FROM r), o2 AS (SELECT z, y, x, bin, oy, unnest(xs) AS ox FROM o)
+SELECT z, y, x, round(sum(oy.w * ox.w * level), 6) AS value FROM o2 JOIN c ON tz = z AND ty = oy.t AND tx = ox.t AND c.bin = o2.bin WHERE oy.w * ox.w > 0 GROUP BY 1, 2, 3""")
 def equalize_contrast(spark, sf_dir):
-    return filters.enhance_contrast(voxels(spark, sf_dir), SHAPE, method="equalize")
+    return filters.enhance_contrast(voxels(spark, sf_dir), SHAPE, method="equalize").withColumn("value", F.round("value", 6))
 
 
 # Measurements
@@ -403,6 +419,16 @@ def explained_variance_2d(spark, sf_dir):
     return spark.createDataFrame([(k + 1, round(v, 7)) for k, v in enumerate(reduce.pca_explained_variance(two, 2))], "component int, explained double")
 
 
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS object_id, l_quantity::DOUBLE AS a, l_extendedprice / 1000 AS b FROM lineitem),
+s AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM v),
+e AS (SELECT *, (va + vb) / 2 + sqrt(((va - vb) / 2) ** 2 + c * c) - vb AS p FROM s), u AS (SELECT *, p / sqrt(p * p + c * c) AS x, c / sqrt(p * p + c * c) AS y FROM e)
+SELECT object_id, round((a - ma) * x + (b - mb) * y, 4) AS c0, round(((b - mb) * x - (a - ma) * y) * (CASE WHEN abs(x) >= abs(y) THEN 1 ELSE -1 END), 4) AS c1 FROM v, u""")
+def pca_plane(spark, sf_dir):
+    two = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("object_id"), F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000).alias("features"))
+    out = reduce.pca(two, 2)
+    return out.select("object_id", F.round("c0", 4).alias("c0"), F.round("c1", 4).alias("c1"))
+
+
 @query()
 def isomap(spark, sf_dir):
     return reduce.isomap(features(spark, sf_dir), 2)
@@ -418,6 +444,46 @@ def tsne(spark, sf_dir):
     return reduce.tsne(features(spark, sf_dir), 2, seed=0)
 
 
+def _spread(spark, sf_dir, labelled: DataFrame) -> DataFrame:
+    """(n, clusters, misplaced) of k-means labels: rows nearer to another cluster's mean, by more than a thousandth."""
+    rows = features(spark, sf_dir).join(labelled, "object_id")
+    cells = rows.select("cluster", F.posexplode("features").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
+    means = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("e"))
+    means = [r["e"] for r in means.orderBy("cluster").collect()]  # ten rows
+    near = cluster.nearest_centre(features(spark, sf_dir), means).withColumnRenamed("cluster", "near")
+    place = F.element_at(F.array(*[F.array(*map(F.lit, e)) for e in means]), F.col("cluster") + 1)
+    own = F.aggregate(F.zip_with("features", place, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(near, "object_id").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), F.count_if(own > F.col("d2") * 1.001).alias("misplaced"))
+
+
+@query("SELECT count(*) AS n, 10 AS clusters, 0 AS misplaced FROM embeddings")
+def kmeans_fixed_point(spark, sf_dir):
+    """Whether k-means has ended where each row lies with the nearest mean."""
+    return _spread(spark, sf_dir, cluster.kmeans(features(spark, sf_dir), 10, seed=0))
+
+
+@query("SELECT m.name AS method, count(*) AS n, k AS clusters FROM embeddings, (VALUES ('ward', 10), ('single', 10), ('complete', 10)) m(name, k) GROUP BY ALL")
+def hierarchies(spark, sf_dir):
+    """Rows and clusters of each linkage."""
+    out = [cluster.hierarchical(features(spark, sf_dir), 10, linkage=k).agg(F.lit(k).alias("method"), F.count("*").alias("n"), F.count_distinct("cluster").cast("int").alias("clusters")) for k in cluster.LINKAGES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT m.name AS method, count(*) AS n, 0 AS odd FROM embeddings, (VALUES ('isomap'), ('laplacian'), ('tsne')) m(name) GROUP BY ALL")
+def manifolds(spark, sf_dir):
+    """Rows of each embedding, and those without two finite coordinates."""
+    rows = features(spark, sf_dir)
+    bad = F.count_if(F.isnan("c0") | F.isnan("c1") | F.col("c0").isNull() | F.col("c1").isNull() | (F.abs("c0") > 1e300) | (F.abs("c1") > 1e300)).cast("int")
+    out = [d.agg(F.lit(k).alias("method"), F.count("*").alias("n"), bad.alias("odd")) for k, d in (("isomap", reduce.isomap(rows, 2)), ("laplacian", reduce.laplacian_eigenmap(rows, 2)), ("tsne", reduce.tsne(rows, 2, seed=0)))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"{VOL}, {LAB} SELECT DISTINCT label::BIGINT AS object_id, true AS classed FROM lab")
+def predicted_objects(spark, sf_dir):
+    """Every labelled object gets one of the two classes."""
+    return train_and_predict(spark, sf_dir).select("object_id", F.col("class_id").isin(0, 1).alias("classed"))
+
+
 @query()
 def train_and_predict(spark, sf_dir):
     """Crops around labelled squares, classed by their size, learned and predicted."""
@@ -456,6 +522,15 @@ def _store(spark, sf_dir) -> MeasurementStore:
     return store
 
 
+@query("""SELECT o_orderkey, o.o_orderdate AS day, e.event_id, e.value FROM (SELECT o_orderkey, o_custkey % 150 AS who, o_orderdate FROM orders) o
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1, 2) e ON o.who = e.user_id AND o.o_orderdate >= e.ts""")
+def asof_join(spark, sf_dir):
+    """Each order with the last event of its user before it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderdate").alias("day"))
+    last = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    return joins.asof_join(orders, last, on="user_id", left_time="day", right_time="ts").select("o_orderkey", "day", "event_id", "value")
+
+
 OBJECTS = "WITH objects AS (SELECT user_id AS object_id, count(*) AS n, max(value) AS top, min(event_type) AS kind FROM events GROUP BY 1), clusters AS (SELECT c_custkey AS object_id, c_custkey % 3 AS cluster, c_nationkey AS nation FROM customer) "
 STORE_SQL = {
     "store_select": "SELECT object_id, n, top FROM objects WHERE top > 100 ORDER BY object_id",
