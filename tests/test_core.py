@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.rank import dense_index
 from voxtable.model import VolumeFrame
-from voxtable.operators import classify, cluster, filters, gates, measure, reduce, segment, validate
+from voxtable.operators import classify, cluster, filters, gates, graph, joins, measure, reduce, segment, validate
 from voxtable.operators.graph import connected_components
 from voxtable.sources import open_volume, read_zarr, write_tiff, write_zarr
-from voxtable.sources.tiff import _unpack_bits, to_czyx
+from voxtable.sources.tiff import _plane_file, _unpack_bits, page_axes, to_czyx
 from voxtable.store import MeasurementStore
 from voxtable.workflow import Pipeline, Step, available_steps, coerce_params, editable_parameters, get_step_function, summarize_params
 
@@ -381,3 +381,127 @@ def test_workflow(spark):
     assert coerce_params("segmentation", "threshold_mask", {"value": "3", "percentile": ""}) == {"value": 3.0, "percentile": None}
     assert summarize_params(Step("a", "b")) == "(default parameters)" and summarize_params(Step("a", "b", {"k": 1})) == "k=1"
     assert Step.from_json(p.steps[0].to_json()).params == {"value": 50}
+
+
+def test_percentile_is_exact(spark):
+    rng = np.random.default_rng(0)
+    for values in (rng.normal(0, 1, 5000), np.repeat([1.0, 2.0, 2.0, 9.0], 100), np.array([3.0]), np.array([0.1, 0.1 + 1e-17, 0.2]), rng.integers(0, 5, 999).astype(float), np.concatenate([rng.normal(0, 1e-9, 500), [1e12]])):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "value double")
+        for p in (0, 13.7, 50, 90, 100):
+            assert segment.percentile_value(frame, p) == pytest.approx(np.percentile(values, p), rel=1e-12, abs=1e-15)
+    assert segment.percentile_value(spark.createDataFrame([], "value double"), 50) is None
+
+
+def dense_rows(spark, array):
+    at = np.argwhere(array != 0)
+    return spark.createDataFrame([(*map(int, p), float(array[tuple(p)])) for p in at], "z int, y int, x int, value double")
+
+
+def to_dense(frame, shape):
+    out = np.zeros(shape)
+    for r in frame.collect():
+        out[r["z"], r["y"], r["x"]] = r["value"]
+    return out
+
+
+@pytest.mark.parametrize("sigma,block", [(1.0, 8), ((0, 2.5, 1), 8), (3.0, 4)])
+def test_gaussian_by_cubes(spark, sigma, block):
+    rng = np.random.default_rng(1)
+    array = rng.integers(0, 50, (5, 19, 23)) * (rng.random((5, 19, 23)) < 0.3)
+    want = array.astype(float)
+    for axis, s in enumerate((sigma,) * 3 if isinstance(sigma, float) else sigma):
+        if s:
+            w = filters.gaussian_weights(float(s))
+            r = len(w) // 2
+            padded = np.pad(want, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+            want = np.apply_along_axis(lambda v, w=w: np.convolve(v, w, "valid"), axis, padded)
+    got = to_dense(filters.gaussian_blur(dense_rows(spark, array), array.shape, sigma, block=block), array.shape)
+    assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("radius", [3, 7.5, 50])
+def test_background_of_any_radius(spark, radius):
+    rng = np.random.default_rng(2)
+    array = rng.integers(1, 99, (3, 20, 24))
+    r = int(radius)
+    low = np.full(array.shape, np.inf)
+    for z in range(-2, 3):
+        for y in range(-min(r, 19), min(r, 19) + 1):
+            for x in range(-min(r, 23), min(r, 23) + 1):
+                if (d := z * z + y * y + x * x) <= radius * radius:
+                    h = radius - (radius * radius - d) ** 0.5
+                    to = tuple(slice(max(0, -k), n - max(0, k)) for k, n in zip((z, y, x), array.shape))
+                    of = tuple(slice(max(0, k), n - max(0, -k)) for k, n in zip((z, y, x), array.shape))
+                    low[to] = np.minimum(low[to], array[of] + h)
+    got = to_dense(filters.subtract_background(dense_rows(spark, array), array.shape, radius=radius, block=16), array.shape)
+    assert np.allclose(got, np.maximum(array - low, 0), atol=1e-9)
+
+
+@pytest.mark.parametrize("span", [None, "month"])
+def test_asof_join(spark, span):
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    day = lambda k: dt.datetime(2020, 1, 1) + dt.timedelta(days=int(k))
+    left = [(i, int(rng.integers(0, 5)), day(rng.integers(0, 400))) for i in range(200)] + [(900, None, day(3)), (901, 1, None)]
+    times = {(int(rng.integers(0, 4)), int(rng.integers(0, 400))) for _ in range(60)}
+    right = [(u, day(k), 10 * k + u) for u, k in sorted(times)]
+    a, b = spark.createDataFrame(left, "id int, who int, at timestamp_ntz"), spark.createDataFrame(right, "who int, ts timestamp_ntz, v int")
+    got = {r["id"]: r["v"] for r in joins.asof_join(a, b, on="who", left_time="at", right_time="ts", span=span).collect()}
+    want = {i: max(((t, v) for u, t, v in right if u == who and when is not None and t <= when), default=(None, None))[1] for i, who, when in left}
+    assert got == want
+
+
+def test_to_numpy_keeps_to_its_budget(spark):
+    v = VolumeFrame(spark.createDataFrame([(0, 0, 1, 2, 5.0)], "c int, z int, y int, x int, value double"), (1, 1, 2, 3), "uint16", 7.0)
+    assert v.to_numpy().tolist() == [[[[7, 7, 7], [7, 7, 5]]]] and v.to_numpy().dtype == np.uint16
+    with pytest.raises(MemoryError):
+        v.to_numpy(max_bytes=11)
+
+
+def test_ranges_load_only_their_chunks(spark, tmp_path):
+    """Chunks outside a range are never decoded: they are damaged here."""
+    array = np.arange(1, 1 + 2 * 4 * 6 * 6).reshape(2, 4, 6, 6)
+    rows = [(*map(int, p), float(array[tuple(p)])) for p in np.argwhere(array)]
+    v = VolumeFrame(spark.createDataFrame(rows, "c int, z int, y int, x int, value double"), array.shape, "int32")
+    write_zarr(v, f"{tmp_path}/v.zarr", (1, 2, 3, 3))
+    for f in (tmp_path / "v.zarr").iterdir():
+        if f.name[0].isdigit() and f.name != "1.1.0.1":
+            f.write_bytes(b"damaged")
+    read = open_volume(spark, f"{tmp_path}/v.zarr")
+    assert to_dense(read.subvolume(1, 2, 0, 3, 2, 3, 3), (2, 3, 3)).tolist() == array[1, 2:4, 0:3, 3:6].tolist()
+    assert read.voxel(1, 3, 2, 5) == array[1, 3, 2, 5]
+    with pytest.raises(Exception):  # noqa: B017
+        read.channel(0).collect()
+
+
+@pytest.mark.parametrize("text,order", [('<OME><Image ID="a"><Pixels DimensionOrder="XYZCT" SizeC="2" SizeZ="3" SizeT="1"/></Image></OME>', "CZ"), ('<OME><Image ID="a"><Pixels DimensionOrder="XYCZT" SizeC="2" SizeZ="3" SizeT="1"/></Image></OME>', "ZC"), ("ImageJ=1.53\nimages=6\nchannels=2\nslices=3\n", "ZC"), ("", "Z")])
+def test_pages_run_as_their_description_says(spark, tmp_path, text, order):
+    array = np.random.default_rng(4).integers(1, 200, (2, 3, 4, 5)).astype(np.uint8)
+    pages = array.reshape(6, 4, 5) if order in ("CZ", "Z") else array.transpose(1, 0, 2, 3).reshape(6, 4, 5)
+    (tmp_path / "v.tif").write_bytes(_plane_file(list(pages), text))
+    v = open_volume(spark, f"{tmp_path}/v.tif")
+    want = array if order != "Z" else array.reshape(1, 6, 4, 5)
+    assert v.shape == want.shape and v.to_numpy().tolist() == want.tolist()
+
+
+def test_page_descriptions_are_checked():
+    assert page_axes("channels=2\n", 6) == ("TZC", [1, 3, 2]) and page_axes("", 4) == ("TZC", [1, 4, 1])
+    for text, pages in (("channels=4\n", 6), ('<OME><Image ID="1"><Pixels SizeC="2" SizeZ="2" SizeT="1"/></Image></OME>', 6)):
+        with pytest.raises(ValueError):
+            page_axes(text, pages)
+    with pytest.raises(NotImplementedError):
+        page_axes('<OME><Image ID="1"/><Image ID="2"/></OME>', 6)
+
+
+def test_time_series_are_refused(spark, tmp_path):
+    (tmp_path / "t.tif").write_bytes(_plane_file([np.ones((2, 2), np.uint8)] * 4, "ImageJ=1.53\nframes=2\nslices=2\n"))
+    with pytest.raises(NotImplementedError):
+        open_volume(spark, f"{tmp_path}/t.tif")
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MANY", 3)
+    edges = [(0, k) for k in range(1, 30)] + [(100, k) for k in range(25, 60)] + [(200, 201), (201, 202)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {k: 0 for k in [*range(60), 100]} | {200: 200, 201: 200, 202: 200}
