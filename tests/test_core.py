@@ -11,6 +11,7 @@ from voxtable.model import VolumeFrame
 from voxtable.operators import classify, cluster, filters, gates, graph, joins, measure, reduce, segment, validate
 from voxtable.operators.graph import connected_components
 from voxtable.sources import open_volume, read_zarr, write_tiff, write_zarr
+from voxtable.sources.golden import golden_mask, golden_metadata, golden_table
 from voxtable.sources.tiff import _plane_file, _unpack_bits, page_axes, to_czyx
 from voxtable.store import MeasurementStore
 from voxtable.workflow import Pipeline, Step, available_steps, coerce_params, editable_parameters, get_step_function, summarize_params
@@ -516,3 +517,17 @@ def test_single_linkage_of_many_rows_is_exact(spark):
     got = {r["object_id"]: r["cluster"] for r in cluster.single_linkage(rows, 6, block=40).collect()}
     pairs = {(got[f"r{k:03d}"], w) for k, w in enumerate(want)}
     assert len(pairs) == len(set(want)) == len(set(got.values())) == 6
+
+
+def test_expected_results_are_loaded(spark, tmp_path):
+    (tmp_path / "a_measurements.csv").write_text("object_id,mean,count,sum,stddev,min,max\n1,2.5,2,5,0.5,2,3\n")
+    (tmp_path / "a_segmentation_singlethreshold.tif").write_bytes(_plane_file([np.array([[0, 7], [7, 0]], np.uint16)], ""))
+    (tmp_path / "a_metadata.txt").write_text("threshold: 40\nobjects = 1\n")
+    (tmp_path / "synthetic_clustering_kmeans_k3.csv").write_text("point_id,cluster\n0,2\n")
+    folder = f"file://{tmp_path}"
+    assert [tuple(r) for r in golden_table(spark, folder, "measurements", "a").collect()] == [(1, 2, 2.5, 5.0, 0.5, 2.0, 3.0)]
+    assert sorted(tuple(r) for r in golden_mask(spark, folder, "a").collect()) == [(0, 0, 1, 7), (0, 1, 0, 7)]
+    assert golden_metadata(spark, folder, "a") == {"threshold": "40", "objects": "1"} and golden_table(spark, folder, "kmeans_k3").first()["cluster"] == 2
+    for load in (lambda: golden_table(spark, folder, "pca"), lambda: golden_mask(spark, folder, "b"), lambda: golden_metadata(spark, folder, "b")):
+        with pytest.raises(FileNotFoundError):
+            load()

@@ -18,6 +18,11 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(conf), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
+
+
 def small_file(spark: SparkSession, path: str) -> str | None:
     """The text of a metadata file, None if there is none; Spark's readers skip names that begin with a dot."""
     fs, place = _place(spark, path)
