@@ -36,10 +36,11 @@ def register_step(category: str, name: str | None = None) -> Callable:
 
 
 def get_step_function(category: str, name: str) -> Callable:
-    try:
-        return STEP_REGISTRY[category][name]
-    except KeyError:
-        raise KeyError(f"unknown step '{category}.{name}'") from None
+    found = STEP_REGISTRY.get(category, {}).get(name)
+    if found is None:
+        near = sorted(c for c, steps in STEP_REGISTRY.items() if name in steps)
+        raise KeyError(f"{category} has no step {name}" + (f"; {', '.join(near)} has one" if near else ""))
+    return found
 
 
 def available_steps(category: str | None = None) -> dict[str, list[str]] | list[str]:
@@ -71,10 +72,14 @@ class Step:
 
     def run(self, context: dict[str, Any]) -> Any:
         """The function's result; a parameter wins over an input of the same name."""
-        missing = sorted(k for k in self.input_keys.values() if k not in context)
-        if missing:
-            raise KeyError(f"missing context keys {missing}; available: {sorted(context)}")
-        return self.function(**{a: context[k] for a, k in self.input_keys.items()} | self.params)
+        call = dict(self.params)
+        for argument, key in self.input_keys.items():
+            if argument in call:
+                continue
+            if key not in context:
+                raise KeyError(f"{self.function_name} reads {key} for {argument}, which is missing from the results so far ({', '.join(sorted(context)) or 'none'})")
+            call[argument] = context[key]
+        return self.function(**call)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
