@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtable.model import COORDS, check_shapes
+from voxtable.scratch import cut
 
 
 def object_ids(labels: DataFrame) -> DataFrame:
@@ -47,14 +48,15 @@ def extract_measurements(labels: DataFrame, intensity: DataFrame, label_shape: t
     """One row for each object: object_id and STATISTICS, then the aggregates of ``extra``.
 
     Labelled voxels without an intensity row have the value ``fill``. One join on
-    the coordinates and one more shuffle by object: the extremes that the
-    threshold mean needs are aggregated in part before it and joined back, so a
-    huge object is never gathered in one task.
+    the coordinates, written once and read twice, and one more shuffle by object:
+    the extremes that the threshold mean needs are aggregated in part before it and
+    joined back, so a huge object is never gathered in one task.
     """
     if label_shape is not None and intensity_shape is not None:
         check_shapes(label_shape, intensity_shape)
     voxels = labels.where("label <> 0").select(*COORDS, F.col("label").alias("object_id")).join(intensity.select(*COORDS, F.col("value").cast("double").alias("value")), list(COORDS), "left")
-    return measure(voxels.select("object_id", F.coalesce("value", F.lit(float(fill))).alias("value"), *COORDS), extra)
+    values = voxels.select("object_id", F.coalesce("value", F.lit(float(fill))).alias("value"), *(COORDS if extra else ()))
+    return measure(cut(values, "values"), extra)
 
 
 def measure(values: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
