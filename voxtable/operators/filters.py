@@ -45,7 +45,7 @@ def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integer
 
     One shuffle: a task holds a cube with its border and blurs it an axis at a
     time. The cube's edge grows with the reach, so that a voxel is sent to few
-    cubes. Cubes that no row reaches are ``fill`` throughout and are left out. With
+    cubes. Voxels that no row reaches are ``fill`` and are left out. With
     ``integers`` results are truncated, as integer samples are.
     """
     weights = [[1.0] if s == 0 or n == 1 else gaussian_weights(float(s)) for n, s in zip(shape, _per_axis(sigma))]
@@ -57,7 +57,7 @@ def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integer
             dense = sum(x * dense[tuple(slice(k, k + n) if a == axis else slice(None) for a in range(3))] for k, x in enumerate(w))
         return np.trunc(dense) if integers else dense
 
-    return on_blocks(volume, shape, reach, kernel, fill=fill, outside=None, block=max(block, 2 * max(reach)))
+    return on_blocks(volume, shape, reach, kernel, fill=fill, outside=None, block=max(block, 2 * max(reach)), sparse=True)
 
 
 def _images(c: str, n: int, r: int, mirror: bool) -> Column:
@@ -68,12 +68,13 @@ def _images(c: str, n: int, r: int, mirror: bool) -> Column:
     return F.filter(F.array(*at), lambda p: (p >= -r) & (p < n + r))
 
 
-def on_blocks(volume: DataFrame, shape: tuple[int, int, int], reach: tuple[int, int, int], kernel: Callable[[np.ndarray], np.ndarray], *, fill: float, outside: float | None, block: int = BLOCK) -> DataFrame:
+def on_blocks(volume: DataFrame, shape: tuple[int, int, int], reach: tuple[int, int, int], kernel: Callable[[np.ndarray], np.ndarray], *, fill: float, outside: float | None, block: int = BLOCK, sparse: bool = False) -> DataFrame:
     """(z, y, x, value) of ``kernel`` over cubes with a border of ``reach`` voxels.
 
     ``kernel`` gets a dense cube with its border and returns the cube. Beyond the
     volume's edges stand mirror images, or ``outside`` if given. A row is
-    sent to the cubes whose border holds it.
+    sent to the cubes whose border holds it. With ``sparse`` voxels that equal
+    ``fill`` are left out.
     """
     rows = volume.select(*COORDS, F.col("value").cast("double").alias("value"))
     for c, n, r in zip(COORDS, shape, reach):
@@ -98,8 +99,8 @@ def on_blocks(volume: DataFrame, shape: tuple[int, int, int], reach: tuple[int,
                 dense[tuple(index)] = outside
         dense[tuple(pdf[c].to_numpy() - o + r for c, o, r in zip(COORDS, origin, reaches))] = pdf["value"].to_numpy()
         out = kernel(dense)
-        z, y, x = np.indices(out.shape)
-        return pd.DataFrame({"z": z.ravel() + origin[0], "y": y.ravel() + origin[1], "x": x.ravel() + origin[2], "value": out.ravel()})
+        z, y, x = np.nonzero(out != fill) if sparse else (i.ravel() for i in np.indices(out.shape))
+        return pd.DataFrame({"z": z + origin[0], "y": y + origin[1], "x": x + origin[2], "value": out[out != fill] if sparse else out.ravel()})
 
     return rows.groupBy(*["b" + c for c in COORDS]).applyInPandas(cube, "z int, y int, x int, value double")
 
