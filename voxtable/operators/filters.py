@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from voxtable.model import COORDS
 
 BLOCK = 32
+#: The same of a Gaussian, whose kernel holds one cube at a time.
+GAUSS_BLOCK = 64
 #: Sample types and the range that contrast is stretched to.
 RANGES = {"uint8": (0.0, 255.0), "uint16": (0.0, 65535.0), "int16": (-32768.0, 32767.0), "int32": (-2147483648.0, 2147483647.0)}
 
@@ -40,7 +42,7 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integers: bool = False, fill: float = 0.0, block: int = BLOCK) -> DataFrame:
+def gaussian_blur(volume: DataFrame, shape: tuple[int, int, int], sigma, integers: bool = False, fill: float = 0.0, block: int = GAUSS_BLOCK) -> DataFrame:
     """Separable Gaussian with mirrored edges; an axis of sigma 0 or one voxel is skipped.
 
     One shuffle: a task holds a cube with its border and blurs it an axis at a
