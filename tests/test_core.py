@@ -531,3 +531,13 @@ def test_expected_results_are_loaded(spark, tmp_path):
     for load in (lambda: golden_table(spark, folder, "pca"), lambda: golden_mask(spark, folder, "b"), lambda: golden_metadata(spark, folder, "b")):
         with pytest.raises(FileNotFoundError):
             load()
+
+
+def test_threshold_of_many_integer_values(spark):
+    """As many bins as different values, summed over several ranges."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.integers(0, 10**6, 400), rng.integers(4 * 10**6, 5 * 10**6, 200)]).astype(float)
+    x, n = np.unique(v, return_counts=True)
+    w, s = np.cumsum(n)[:-1], np.cumsum(n * x)[:-1]
+    want = x[np.argmax(w * (n.sum() - w) * (s / w - ((n * x).sum() - s) / (n.sum() - w)) ** 2)]
+    assert segment.otsu_value(spark.createDataFrame([(float(k),) for k in v], "value double").repartition(5), integers=True).first()["t"] == want

@@ -1,4 +1,4 @@
-"""Consecutive numbers in the order of a key, without a single-task window."""
+"""Consecutive numbers and running sums in the order of a key, without a single-task window."""
 
 from __future__ import annotations
 
@@ -24,3 +24,21 @@ def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, "__part int, __start long")  # one row for each partition
     own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
     return ranged.join(F.broadcast(offsets), "__part").select(key, (F.col("__start") + own).cast("int").alias(name))
+
+
+def running_sums(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """``df`` with up_COLUMN, the sum of the column up to the row's key, and the columns' sums over all rows; keys are distinct.
+
+    Ranges of the key are summed on their own and start where those before them
+    end, as in :func:`dense_index`.
+    """
+    ranged = cut(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = sorted(ranged.groupBy("__part").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in columns]).collect(), key=lambda r: r["__part"])
+    starts, total = [], [0.0] * len(columns)
+    for r in parts:
+        starts.append((r["__part"], *total))
+        total = [t + r[c] for t, c in zip(total, columns)]
+    offsets = df.sparkSession.createDataFrame(starts, ", ".join(["__part int", *[f"`__b_{c}` double" for c in columns]]))  # one row for each partition
+    own = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "__part").select(*df.columns, *[(F.col(f"__b_{c}") + F.sum(F.col(c).cast("double")).over(own)).alias(f"up_{c}") for c in columns])
+    return out, dict(zip(columns, total))

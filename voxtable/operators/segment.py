@@ -13,9 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from voxtable.functions.rank import dense_index
+from voxtable.functions.rank import dense_index, running_sums
 from voxtable.model import COORDS
 from voxtable.operators.graph import connected_components
 from voxtable.scratch import cut
@@ -41,13 +40,10 @@ def otsu_value(volume: DataFrame, integers: bool = False) -> DataFrame:
         width = (F.col("hi") - F.col("lo")) / OTSU_BINS
         at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(OTSU_BINS - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * OTSU_BINS))).otherwise(0)
         hist = v.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin"), "lo", "hi").agg(F.count("*").alias("n")).withColumn("centre", F.col("lo") + F.when(F.col("hi") > F.col("lo"), (F.col("bin") + 0.5) * width).otherwise(0.0))
-    # From here on a histogram: at most 256 rows, or one for each integer value.
-    up = Window.orderBy("centre").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = hist.select("centre", F.col("n").cast("double").alias("n")).select(
-        "centre", F.sum("n").over(up).alias("w1"), F.sum(F.col("n") * F.col("centre")).over(up).alias("s1"), F.sum("n").over(every).alias("wt"), F.sum(F.col("n") * F.col("centre")).over(every).alias("st"))
-    w2 = F.col("wt") - F.col("w1")
-    between = F.col("w1") * w2 * F.pow(F.col("s1") / F.col("w1") - F.try_divide(F.col("st") - F.col("s1"), w2), 2)
+    # A histogram of 256 rows, or one for each integer value, which may be many: its sums run by ranges.
+    h, total = running_sums(hist.select("centre", F.col("n").cast("double").alias("n"), (F.col("n") * F.col("centre")).alias("s")), "centre", ["n", "s"])
+    w1, s1, w2 = F.col("up_n"), F.col("up_s"), F.lit(total["n"]) - F.col("up_n")
+    between = w1 * w2 * F.pow(s1 / w1 - F.try_divide(F.lit(total["s"]) - s1, w2), 2)
     ranked = h.withColumn("between", F.when(w2 > 0, between).otherwise(F.lit(-1.0)))
     return ranked.orderBy(F.desc("between"), "centre").limit(1).select(F.col("centre").alias("t"))
 
