@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from voxtable.scratch import cut
 
 
+#: Neighbours above which a node's edges are joined apart from the others.
+MANY = 1000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -18,7 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Kiveris et al. 2014. A round costs two grouped minima and joins on the node,
     and rounds are logarithmic in practice. A node with many neighbours is never
     gathered: its minimum is aggregated in part before the shuffle and joined
-    back to the edges. Each round's edges are written to the shared folder.
+    back to the edges. Nodes of more than MANY neighbours are few (a share of
+    2 / MANY of the edges at most); their minima are a table of their own, which
+    Spark broadcasts while it is small, and only the other edges are shuffled by
+    their node. Each round's edges are written to the shared folder.
     Loops and null ends are ignored; an empty table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
@@ -26,8 +33,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     mark = _mark(state)
     while mark[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("x"), F.least("u", "w").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select(F.col("u").alias("x"), F.least("u", "w").alias("m"), "n"), "least")
+        hubs = cut(least.where(F.col("n") > MANY).select(F.col("x").alias("hub"), F.col("m").alias("hub_m")), "hubs")
+        up = both.where("v > u").join(hubs, F.col("u") == F.col("hub"), "left")
+        large = (up.where("hub IS NOT NULL").select(F.col("v").alias("u"), F.col("hub_m").alias("v"))
+                 .unionByName(up.where("hub IS NULL").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+                 .where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         state = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
