@@ -23,10 +23,11 @@ far beyond any chain that could be looked up. With ``similarity`` set, groups al
 similarity: candidates then share one of their smallest shingle hashes, and the
 pigeonring test and the Hamming check at the wide radius prune them. These two
 are on a second fingerprint, of the different shingles, since the similarity too
-is of sets: a line repeated many times moves the first fingerprint far away. Texts with
-fewer shingles than a sketch holds are decided by their sketches, which are their
-whole sets. Of longer ones the sketch only prunes; the pairs it leaves are
-confirmed on the whole sets, made again from the texts of those pairs alone.
+is of sets: a line repeated many times moves the first fingerprint far away. A
+short sketch of smallest hashes prunes further, so that only narrow rows are dealt to
+the keys. The pairs that are left are confirmed on the whole sets, made again from
+the texts of those pairs alone; texts with fewer shingles than the short sketch
+holds are decided by it.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero
 and link like any other; texts shorter than a shingle are one shingle; repeated
@@ -50,9 +51,11 @@ from voxtable.scratch import cut
 SEED = 42
 BITS = 3
 #: For a wished similarity: differing bits that candidates may have (more at 0.8 has a chance of 2e-7, in texts of
-#: 4 or 5 shingles of 1e-5), smallest hashes that file a text, and smallest hashes that estimate the similarity.
+#: 4 or 5 shingles of 1e-5), smallest hashes that file a text, and smallest hashes that estimate the similarity where
+#: texts are dealt out (a pair at 0.8 fails it with a chance of 3e-6) and where whole sets are at hand.
 WIDE_BITS = 26
 FILED = 6
+SHORT = 16
 SKETCH = 256
 #: Standard errors below the similarity at which an estimate still leaves a pair to the exact check.
 SLACK = 5
@@ -61,7 +64,7 @@ SEGMENTS = 16
 #: Fingerprints of one chain that a block holds; bounds a task's memory and time.
 BLOCK = 2048
 #: The same of texts with their sketches that share a shingle hash.
-UNIT = 512
+UNIT = 1024
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = SEED) -> np.ndarray:
@@ -193,7 +196,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _describe(shingle: int):
-    """Fingerprint, fingerprint of the different shingles, a hash of all words, the number of different shingles, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SKETCH)."""
+    """Fingerprint, fingerprint of the different shingles, a hash of all words, the number of different shingles, and the sorted smallest shingle hashes of each text (FILED of them, and the heads of SHORT)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +208,7 @@ def _describe(shingle: int):
                 own = np.unique(h)
                 wide.append(majority(own) if len(own) < len(h) else fps[-1])
                 sizes.append(len(own))
-                least = own[:SKETCH].copy()  # not a view that keeps a long text's hashes
+                least = own[:SHORT].copy()  # not a view that keeps a long text's hashes
                 filed.append(least[:FILED].view(np.int64))
                 sketches.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))  # in the same order
             fp, wide, word = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, wide, words))
@@ -242,8 +245,8 @@ def least_shared(filed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_pairs(key: int, fps: np.ndarray, filed: np.ndarray, sketches: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sure), a < b: pairs that pass the pigeonring, the Hamming check and the sketches' similarity.
+def similar_pairs(key: int, fps: np.ndarray, filed: np.ndarray, sketches: list[np.ndarray], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure), a < b: pairs that pass the pigeonring, the Hamming check and the similarity of sketches of ``most`` hashes.
 
     A pair belongs to the smallest hash that files both, so that it is looked at
     once. The similarity of two sketches is that of the hashes up to the smaller
@@ -252,16 +255,15 @@ def similar_pairs(key: int, fps: np.ndarray, filed: np.ndarray, sketches: list[n
     fall short by SLACK standard errors, and its pair has still to be confirmed.
     """
     n = len(fps)
-    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= WIDE_BITS
-    np.fill_diagonal(near, False)
-    a, b = np.nonzero(np.triu(near))
+    found = [np.nonzero(np.triu(np.bitwise_count(fps[k : k + 256, None] ^ fps[None, k:]) <= WIDE_BITS, 1)) for k in range(0, n, 256)]  # a bounded part at a time
+    a, b = (np.concatenate([(f[side] + 256 * k).astype(np.int32) for k, f in enumerate(found)]) for side in (0, 1))
     keep = np.concatenate([chains_pass(fps[a[k : k + 65536]] ^ fps[b[k : k + 65536]], WIDE_BITS) for k in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
     a, b = a[keep], b[keep]
     own = least_shared(filed, a, b) == key
     a, b = a[own], b[own]
     if not len(a):
         return a, b, np.empty(0, bool)
-    whole = np.array([len(s) < SKETCH for s in sketches])
+    whole = np.array([len(s) < most for s in sketches])
     ends = np.array([np.iinfo(np.uint32).max if w else s[-1] for s, w in zip(sketches, whole)], np.uint32)
     upto = np.stack([np.searchsorted(s, ends, side="right") for s in sketches])
     common = np.zeros((n, n), np.float32)
@@ -280,20 +282,24 @@ def similar_pairs(key: int, fps: np.ndarray, filed: np.ndarray, sketches: list[n
     i = common[a, b]
     union = upto[a, b] + upto[b, a] - i
     sure = whole[a] & whole[b]
-    slack = np.where(sure, 0.0, SLACK * (similarity * (1 - similarity) / SKETCH) ** 0.5)
+    slack = np.where(sure, 0.0, SLACK * (similarity * (1 - similarity) / most) ** 0.5)
     good = i >= (similarity - slack) * union - 1e-9
     return a[good], b[good], sure[good]
 
 
-def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of those pairs a < b whose whole sets of sorted hashes have the similarity."""
+def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, sure: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of those pairs a < b that are sure or whose whole sets of sorted hashes have the similarity."""
     label = np.arange(len(sets))
     out = []
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, sure = a[order], b[order], sure[order]
     bounds = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else []
     for start, end in zip(bounds[:-1], bounds[1:]):
         x, others = a[start], b[start:end]
+        for y in others[sure[start:end]].tolist():
+            if label[y] != label[x]:
+                out.append((int(x), y))
+                label[label == label[y]] = label[x]
         others = others[label[others] != label[x]]  # pairs that links already join need no check
         sizes = np.array([len(sets[y]) for y in others], np.int64)
         most = len(sets[x])
@@ -317,7 +323,7 @@ def _alike(similarity: float):
     def unit(key: int, rows: list[tuple]) -> list[tuple]:
         nodes = [r[0] for r in rows]
         filed = np.array([np.resize(r[2], FILED) for r in rows])
-        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, [r[3] for r in rows], similarity)
+        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, [r[3] for r in rows], similarity, SHORT)
         label = np.arange(len(nodes))
         while True:  # along the sure links to the first of each group
             low = label.copy()
@@ -337,14 +343,14 @@ def _alike(similarity: float):
 
 
 def _confirm(similarity: float):
-    """The same of the texts to confirm, with their whole sets: a forest of each unit's links."""
+    """The same of the texts to confirm, with their whole sets: a forest of each unit's links. A longer sketch of the sets goes ahead, and decides texts that it holds whole."""
 
     def unit(key: int, rows: list[tuple]) -> list[tuple]:
         sets = [r[2] for r in rows]
         filed = np.array([np.resize(s[:FILED].view(np.int64), FILED) for s in sets])
         sketches = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32) for s in sets]
-        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, sketches, similarity)
-        return [(rows[x][0], rows[y][0]) for x, y in confirmed(sets, a[~sure], b[~sure], similarity)]
+        a, b, sure = similar_pairs(key, np.array([r[1] for r in rows], np.int64).view(np.uint64), filed, sketches, similarity, SKETCH)
+        return [(rows[x][0], rows[y][0]) for x, y in confirmed(sets, a, b, sure, similarity)]
 
     def of(b: pa.RecordBatch, k: int) -> tuple:
         return (b.column(4)[k].as_py(), b.column(5)[k].as_py(), b.column(6)[k].values.to_numpy().view(np.uint64))
