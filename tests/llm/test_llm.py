@@ -54,7 +54,7 @@ def docs(spark):
 def test_every_operator_on_an_empty_table(spark, none):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (html_text.main_text(pages), warc.round_trip(pages), media.read_back(media.store(none)), pii.find(none), mixing.mix(none), suffix_dedup.remove_repeats(none),
+    for df in (html_text.main_text(pages), warc.round_trip(pages), media.tensors(media.store(none)), media.round_trip(none), pii.find(none), mixing.mix(none), suffix_dedup.remove_repeats(none),
                toxicity.score(none, toxicity.fit(none, labels)), simhash.groups(none), simhash.similar_groups(none), quality.judge(none), packing.pack_documents(none), pii.redact(none), simhash.keep_one(none), toxicity.drop_toxic(none, labels)):
         assert df.count() == 0
 
