@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import exact_dedup, html_text, lexical_search, media, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from voxtable.llm import conversation_repair, exact_dedup, html_text, lexical_search, media, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,9 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_media, op4_pii, op5_mixing, op6_suffixes, op7_toxicity, op8_simhash, op9_quality, op10_packing, op11_lexical_search, op12_exact_dedup)}
-ORACLES = {"op5_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_warc, op3_media, op4_pii, op5_mixing, op6_suffixes, op7_toxicity, op8_simhash, op9_quality, op10_packing, op11_lexical_search, op12_exact_dedup, op13_conversation_repair)}
+ORACLES = {"op5_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
