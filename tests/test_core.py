@@ -460,22 +460,6 @@ def test_to_numpy_keeps_to_its_budget(spark):
         v.to_numpy(max_bytes=11)
 
 
-def test_ranges_load_only_their_chunks(spark, tmp_path):
-    """Chunks outside a range are never decoded: they are damaged here."""
-    array = np.arange(1, 1 + 2 * 4 * 6 * 6).reshape(2, 4, 6, 6)
-    rows = [(*map(int, p), float(array[tuple(p)])) for p in np.argwhere(array)]
-    v = VolumeFrame(spark.createDataFrame(rows, "c int, z int, y int, x int, value double"), array.shape, "int32")
-    write_zarr(v, f"{tmp_path}/v.zarr", (1, 2, 3, 3))
-    for f in (tmp_path / "v.zarr").iterdir():
-        if f.name[0].isdigit() and f.name != "1.1.0.1":
-            f.write_bytes(b"damaged")
-    read = open_volume(spark, f"{tmp_path}/v.zarr")
-    assert to_dense(read.subvolume(1, 2, 0, 3, 2, 3, 3), (2, 3, 3)).tolist() == array[1, 2:4, 0:3, 3:6].tolist()
-    assert read.voxel(1, 3, 2, 5) == array[1, 3, 2, 5]
-    with pytest.raises(Exception):  # noqa: B017
-        read.channel(0).collect()
-
-
 @pytest.mark.parametrize("text,order", [('<OME><Image ID="a"><Pixels DimensionOrder="XYZCT" SizeC="2" SizeZ="3" SizeT="1"/></Image></OME>', "CZ"), ('<OME><Image ID="a"><Pixels DimensionOrder="XYCZT" SizeC="2" SizeZ="3" SizeT="1"/></Image></OME>', "ZC"), ("ImageJ=1.53\nimages=6\nchannels=2\nslices=3\n", "ZC"), ("", "Z")])
 def test_pages_run_as_their_description_says(spark, tmp_path, text, order):
     array = np.random.default_rng(4).integers(1, 200, (2, 3, 4, 5)).astype(np.uint8)

@@ -513,6 +513,23 @@ def tiff_round_trip(spark, sf_dir):
     return open_volume(spark, path).df
 
 
+@query(f"{VOL_SMALL} SELECT 0 AS c, z, y, x, value FROM vol")
+def tiff_stack_round_trip(spark, sf_dir):
+    v = volume(spark, sf_dir, SMALL).with_values(volume(spark, sf_dir, SMALL).df, "uint16")
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}.tif"
+    write_tiff(v, path, stack=True)
+    return open_volume(spark, path).df
+
+
+@query(f"{VOL_SMALL} SELECT 0 AS c, z, y, x, value FROM vol WHERE z BETWEEN 2 AND 4 AND y >= 20 AND x < 60")
+def zarr_pushed_ranges(spark, sf_dir):
+    """Filters on the axes choose the chunks that the scan opens."""
+    v = volume(spark, sf_dir, SMALL).with_values(volume(spark, sf_dir, SMALL).df, "float32")
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}.zarr"
+    write_zarr(v, path, (1, 2, 16, 16))
+    return open_volume(spark, path).df.where("z BETWEEN 2 AND 4 AND y >= 20 AND x < 60")
+
+
 # SQL over measurement tables
 
 def _store(spark, sf_dir) -> MeasurementStore:
