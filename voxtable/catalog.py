@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.model import COORDS, VolumeFrame, from_table
-from voxtable.operators import classify, cluster, filters, gates, joins, measure, reduce, segment, validate
+from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, reduce, segment, validate
 from voxtable.scratch import shared_dir
 from voxtable.sources import open_volume, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
@@ -190,15 +190,37 @@ def watershed_split(spark, sf_dir):
     return segment.watershed_split(None, mask, SHAPE_SMALL, min_distance=2)
 
 
-@query(f"""{VOL_SMALL}, d0 AS (SELECT g.z::INT AS z, h.y::INT AS y, i.x::INT AS x, CASE WHEN value >= 20 THEN NULL ELSE 0 END AS d FROM range({DEPTH}) g(z) CROSS JOIN range({SMALL}) h(y) CROSS JOIN range({SMALL}) i(x) LEFT JOIN vol ON vol.z = g.z AND vol.y = h.y AND vol.x = i.x),
+DISTANCES = f"""d0 AS (SELECT g.z::INT AS z, h.y::INT AS y, i.x::INT AS x, CASE WHEN value >= 20 THEN NULL ELSE 0 END AS d FROM range({DEPTH}) g(z) CROSS JOIN range({SMALL}) h(y) CROSS JOIN range({SMALL}) i(x) LEFT JOIN vol ON vol.z = g.z AND vol.y = h.y AND vol.x = i.x),
 d1 AS MATERIALIZED (SELECT z, y, p.x::INT AS x, min(d + (d0.x - p.x) ** 2) AS d FROM d0, range({SMALL}) p(x) WHERE d IS NOT NULL GROUP BY 1, 2, 3),
 d2 AS MATERIALIZED (SELECT z, p.y::INT AS y, x, min(d + (d1.y - p.y) ** 2) AS d FROM d1, range({SMALL}) p(y) GROUP BY 1, 2, 3),
-d3 AS (SELECT p.z::INT AS z, y, x, min(d + (d2.z - p.z) ** 2) AS d FROM d2, range({DEPTH}) p(z) GROUP BY 1, 2, 3)
-SELECT z, y, x, d::DOUBLE AS d2 FROM d3 WHERE d > 0""")
+d3 AS (SELECT p.z::INT AS z, y, x, min(d + (d2.z - p.z) ** 2) AS d FROM d2, range({DEPTH}) p(z) GROUP BY 1, 2, 3)"""
+
+
+@query(f"{VOL_SMALL}, {DISTANCES} SELECT z, y, x, d::DOUBLE AS d2 FROM d3 WHERE d > 0")
 def distance_transform(spark, sf_dir):
     return segment.distance_squared(segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20), SHAPE_SMALL)
 
 
+@query(f"""{VOL_SMALL}, {DISTANCES},
+v AS MATERIALIZED (SELECT z, y, x, (z * {SMALL} + y) * {SMALL} + x AS r, d FROM d3 WHERE d > 0),
+m AS (SELECT max({{'d': d, 'r': -r}}).r AS neg, (1 + y // 16 * 8 + x // 16)::INT AS marker FROM v GROUP BY y // 16, x // 16),
+half AS (SELECT a.r AS u, b.r AS w, least(a.d, b.d) AS lo, greatest(a.d, b.d) AS hi, -(a.r * 3 + o.axis) AS t
+  FROM v a, (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) o(axis, dz, dy, dx) JOIN v b ON b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+e AS MATERIALIZED (SELECT * FROM half UNION ALL SELECT w, u, lo, hi, t FROM half),
+s AS (SELECT 0 AS k, r, coalesce(-marker, r)::BIGINT AS c FROM v LEFT JOIN m ON neg = -r
+  UNION ALL
+  (WITH h AS (SELECT a.c, max({{'lo': lo, 'hi': hi, 't': t, 'c': b.c}}).c AS to FROM e JOIN s a ON a.r = u JOIN s b ON b.r = w WHERE a.c <> b.c AND a.c >= 0 GROUP BY 1),
+   n AS (SELECT h.c, CASE WHEN g.to = h.c THEN least(h.c, h.to) ELSE h.to END AS to FROM h LEFT JOIN h g ON g.c = h.to)
+   SELECT k + 1, r, coalesce(n.to, s.c) FROM s LEFT JOIN n ON n.c = s.c WHERE (SELECT count(*) FROM h) > 0))
+SELECT z, y, x, (-c)::INT AS label FROM s JOIN v USING (r) WHERE k = (SELECT max(k) FROM s) AND c < 0""")
+def marker_flood(spark, sf_dir):
+    """The distance map flooded from its highest voxel in each square of 16."""
+    dist = segment.distance_squared(segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20), SHAPE_SMALL)
+    raster = ((F.col("z") * SMALL + F.col("y")) * SMALL + F.col("x")).cast("long")
+    best = dist.groupBy(F.floor(F.col("y") / 16).alias("j"), F.floor(F.col("x") / 16).alias("i")).agg(F.max(F.struct("d2", (-raster).alias("neg"), "z", "y", "x")).alias("m"))
+    return flood.flood(dist, best.select("m.z", "m.y", "m.x", (1 + F.col("j") * 8 + F.col("i")).cast("int").alias("marker")), SHAPE_SMALL)
+
+
 class _Bright:
     """Stands in for a segmentation model: labels what is above the tile's mean."""
 

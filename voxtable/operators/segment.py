@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.rank import dense_index, running_sums
 from voxtable.model import COORDS
+from voxtable.operators.flood import flood
 from voxtable.operators.graph import connected_components
 from voxtable.scratch import cut
 
@@ -311,30 +312,12 @@ def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int) -
 def watershed_split(intensity: DataFrame | None, mask: DataFrame, shape: tuple[int, int, int], *, min_distance: int = 5) -> DataFrame:
     """(z, y, x, label): touching objects split at the necks of the mask's distance map.
 
-    ``intensity`` is not read. Each foreground voxel goes to the marker from
-    which it is reached first when the map is flooded from its heights down:
-    rounds in which unlabelled voxels take the label of their highest labelled
-    face neighbour, level by level of the distance. The rounds are joins; a
-    round costs one shuffle and there are as many as the longest flooding path.
-    Components without a marker stay unlabelled.
+    ``intensity`` is not read. The map's peaks are the markers, from which it is
+    flooded downwards (:mod:`voxtable.operators.flood`). Components without a
+    marker stay unlabelled.
     """
     dist = cut(distance_squared(mask, shape), "distance")
-    marks = peaks(dist, shape, min_distance)
-    state = cut(dist.join(marks, list(COORDS), "left").select(*COORDS, "d2", F.col("marker").cast("int").alias("label"), F.when(F.col("marker").isNotNull(), F.col("d2")).alias("pass")), "flood")
-    both = [o for o in _offsets(1, 3)]
-    steps = F.array(*[F.struct(*[F.lit(s * v).alias("d" + c) for v, c in zip(o, COORDS)]) for o in both for s in (1, -1)])
-    front = cut(state.where("label IS NOT NULL").select(*COORDS, "label", "pass"), "front")
-    while front.limit(1).count():
-        moved = front.select(*[F.col(c).alias("s" + c) for c in COORDS], "label", "pass", F.explode(steps).alias("o"))
-        sent = moved.select(*[(F.col("s" + c) + F.col(f"o.d{c}")).cast("int").alias(c) for c in COORDS], F.col("label").alias("new"), "pass")
-        sent = sent.groupBy(*COORDS).agg(F.max(F.struct("pass", (-F.col("new")).alias("neg"))).alias("m"))  # the highest way, then the first marker
-        met = state.join(sent, list(COORDS), "left")
-        way = F.least("d2", F.col("m.pass"))
-        better = F.col("m").isNotNull() & (F.col("label").isNull() | (way > F.col("pass")))
-        fresh = cut(met.select(*COORDS, "d2", F.when(better, -F.col("m.neg")).otherwise(F.col("label")).cast("int").alias("label"), F.when(better, way).otherwise(F.col("pass")).alias("pass"), better.alias("changed")), "flood")
-        front = fresh.where("changed").select(*COORDS, "label", "pass")
-        state = fresh.drop("changed")
-    return state.where("label IS NOT NULL").select(*COORDS, "label")
+    return flood(dist, peaks(dist, shape, min_distance), shape)
 
 
 def apply_model(volumes: DataFrame, model, schema: str, *, do_3d: bool = False, diameter: float | None = None, flow_threshold: float = 0.4, cellprob_threshold: float = 0.0) -> DataFrame:
