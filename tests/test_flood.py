@@ -87,3 +87,16 @@ def test_blobs_split_at_their_neck(spark):
     got = {(r["z"], r["y"], r["x"]): r["label"] for r in segment.watershed_split(None, spark.createDataFrame(rows, "z int, y int, x int, mask boolean"), (3, 20, 40), min_distance=5).collect()}
     assert len(got) == int(mask.sum()) and got[1, 10, 10] != got[1, 10, 30]
     assert not {got[p] for p in got if p[2] < 17} & {got[p] for p in got if p[2] >= 23}
+
+
+@pytest.mark.parametrize("gap", [1, 3])
+def test_peaks_in_rounds_and_in_one_task(spark, gap):
+    d2 = np.random.default_rng(gap).integers(0, 6, (5, 20, 20))
+    rows = spark.createDataFrame([(*map(int, p), float(d2[tuple(p)])) for p in np.argwhere(d2)], VOXELS)
+    found = [sorted(tuple(r) for r in segment.peaks(rows, d2.shape, gap, small).collect()) for small in (0, 30, 10**6)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
+    places = [r[:3] for r in found[0]]
+    assert all(d2[p] == d2[tuple(slice(max(0, v - gap), v + gap + 1) for v in p)].max() for p in places)
+    tops = [tuple(map(int, p)) for p in np.argwhere(d2) if d2[tuple(p)] == d2[tuple(slice(max(0, v - gap), v + gap + 1) for v in p)].max() and all(gap <= v < n - gap or n <= 2 * gap for v, n in zip(p, d2.shape))]
+    assert all(p in places or any(max(abs(a - b) for a, b in zip(p, q)) <= gap for q in places) for p in tops)
+    assert all(max(abs(a - b) for a, b in zip(p, q)) > gap for k, p in enumerate(places) for q in places[:k])

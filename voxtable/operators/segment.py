@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.rank import dense_index, running_sums
 from voxtable.model import COORDS
+from voxtable.operators.filters import on_blocks
 from voxtable.operators.flood import flood
 from voxtable.operators.graph import connected_components
 from voxtable.scratch import cut
@@ -24,6 +26,8 @@ OTSU_BINS = 256
 #: Edge of the cubes that components are first found in.
 BLOCK = 64
 LINES = 16
+#: Candidates for peaks that one task decides.
+FEW = 100_000
 
 
 def otsu_value(volume: DataFrame, integers: bool = False) -> DataFrame:
@@ -265,39 +269,70 @@ def _envelope(f: np.ndarray) -> np.ndarray:
     return (np.arange(n) - nearest) ** 2.0 + f[nearest]
 
 
-def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int) -> DataFrame:
-    """(z, y, x, marker): local maxima at least ``min_distance`` apart by Chebyshev distance.
+def _leaders(d: int):
+    """All candidates at once, from the largest down: those without a taken one in their window."""
 
-    Of candidates in each other's window the largest stays, ties by a hash of
-    their place: rounds in which every candidate that leads all its remaining
-    neighbours is taken and removes them. The hash keeps rounds few on plateaus.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["d2", "h", "r"], ascending=False)
+        taken: dict[tuple, list[tuple]] = {}
+        keep = []
+        side = max(1, d)
+        for k, at in zip(pdf.index, pdf[list(COORDS)].itertuples(index=False, name=None)):
+            cell = tuple(v // side for v in at)
+            near = (p for o in itertools.product((-1, 0, 1), repeat=3) for p in taken.get((cell[0] + o[0], cell[1] + o[1], cell[2] + o[2]), ()))
+            if not any(max(abs(a - b) for a, b in zip(at, p)) <= d for p in near):
+                taken.setdefault(cell, []).append(at)
+                keep.append(k)
+        yield pdf.loc[keep]
+
+    return run
+
+
+def peaks(distance: DataFrame, shape: tuple[int, int, int], min_distance: int, small: int = FEW) -> DataFrame:
+    """(z, y, x, marker): local maxima more than ``min_distance`` apart by Chebyshev distance.
+
+    Candidates are the voxels that no voxel of the window around them exceeds. Of
+    candidates in each other's window the largest stays, ties by a hash of their
+    place: rounds in which every candidate that leads all its remaining
+    neighbours is taken and removes them, until ``small`` candidates are left, which
+    one task decides alike. The hash keeps rounds few on plateaus.
     Markers are numbered by falling distance, then in raster order.
     """
     d = int(min_distance)
     side = max(1, d)
     cell = lambda c, prefix="": F.floor(F.col(prefix + c) / side).cast("int")
-    rows = distance.where("d2 > 0 AND NOT isnan(d2)")
+    reach = tuple(d if n > 1 else 0 for n in shape)
+
+    def tops(dense: np.ndarray) -> np.ndarray:
+        most = dense
+        for axis, r in enumerate(reach):
+            n = dense.shape[axis] - 2 * r
+            most = np.maximum.reduce([most[tuple(slice(k, k + n) if a == axis else slice(None) for a in range(3))] for k in range(2 * r + 1)])
+        own = dense[tuple(slice(r, n - r) for r, n in zip(reach, dense.shape))]
+        return np.where(own == most, own, 0.0)
+
+    rows = on_blocks(distance.where("d2 > 0 AND NOT isnan(d2)").select(*COORDS, F.col("d2").alias("value")), shape, reach, tops, fill=0.0, outside=0.0, block=max(BLOCK, 2 * d), sparse=True).withColumnRenamed("value", "d2")
     for c, n in zip(COORDS, shape):
         if n > 2 * d:  # a band as wide as the window has no peaks
             rows = rows.where((F.col(c) >= d) & (F.col(c) < n - d))
     raster = ((F.col("z") * F.lit(int(shape[1])) + F.col("y")) * F.lit(int(shape[2])) + F.col("x")).cast("long")
-    rank = F.struct(F.col("d2"), F.xxhash64(*COORDS).alias("h"), raster.alias("r"))
-    pool = rows.select(*COORDS, "d2", rank.alias("rank"))
-    # The best of each cell first: only these can be peaks, one for each cell of side min_distance.
-    best = pool.groupBy(*[cell(c).alias("k" + c) for c in COORDS]).agg(F.max(F.struct("rank", *COORDS)).alias("m"))
-    pool = cut(best.select("m.z", "m.y", "m.x", F.col("m.rank").alias("rank")), "peaks")
+    pool = cut(rows.select(*COORDS, F.struct(F.col("d2"), F.xxhash64(*COORDS).alias("h"), raster.alias("r")).alias("rank")), "peaks")
     taken: list[DataFrame] = []
     steps = F.array(*[F.struct(*[F.lit(v).alias("d" + c) for v, c in zip(o, COORDS)]) for o in itertools.product((-1, 0, 1), repeat=3)])
-    while pool.limit(1).count():
+    while left := pool.count():
+        if left <= small:
+            flat = pool.select(*COORDS, "rank.d2", "rank.h", "rank.r").repartition(1).mapInPandas(_leaders(d), "z int, y int, x int, d2 double, h long, r long")
+            taken.append(flat.select(F.struct("d2", "h", "r").alias("rank"), *COORDS))
+            break
         moved = pool.select(*[F.col(c).alias("a" + c) for c in COORDS], F.col("rank").alias("own"), F.explode(steps).alias("o"))
         moved = moved.select("*", *[(cell(c, "a") + F.col(f"o.d{c}")).cast("int").alias("k" + c) for c in COORDS])
         near = moved.join(pool.select("*", *[cell(c).alias("k" + c) for c in COORDS]), ["k" + c for c in COORDS])
         for c in COORDS:
             near = near.where(F.abs(F.col("a" + c) - F.col(c)) <= d)
-        led = cut(near.groupBy(*["a" + c for c in COORDS], "own").agg(F.max("rank").alias("lead")), "leaders")
-        lead = led.where("own = lead").select(F.col("own").alias("rank"), *[F.col("a" + c).alias(c) for c in COORDS])
+        near = cut(near.select(*["a" + c for c in COORDS], "own", "rank"), "near")
+        lead = cut(near.groupBy(*["a" + c for c in COORDS], "own").agg(F.max("rank").alias("lead")).where("own = lead").select(F.col("own").alias("rank"), *[F.col("a" + c).alias(c) for c in COORDS]), "leaders")
         taken.append(lead)
-        gone = led.join(lead.select(F.col("rank").alias("lead")), "lead", "left_semi").select(F.col("own").alias("rank"))
+        gone = near.join(lead.select("rank"), "rank", "left_semi").select(F.col("own").alias("rank")).distinct()
         pool = cut(pool.join(gone, "rank", "left_anti"), "peaks")
     if not taken:
         return pool.select(*COORDS, F.lit(0).alias("marker"))
