@@ -645,7 +645,15 @@ def test_similar_groups_of_a_repeated_line(spark):
 
 def test_keep_one(spark, edge):
     kept = sorted((r["doc_id"] for r in simhash.keep_one(edge).collect()), key=lambda i: (i is None, i))
-    assert kept == [1, 2, 5, 7, 8, 9, 10, None, None]
+    assert kept == [1, 2, 5, 7, 8, 9, 10, 10, None]
+
+
+@pytest.mark.parametrize("similarity", [0.8, None])
+def test_keep_one_of_equal_and_null_ids(spark, similarity):
+    """Different texts of one id, or without an id, all stay; copies without an id are one; a copy's smallest id stays."""
+    rows = [(1, prose(1, 90)), (1, prose(2, 90)), (1, prose(2, 90)), (None, prose(3, 90)), (None, prose(3, 90)), (None, prose(4, 90)), (None, prose(1, 90)), (7, prose(5, 90)), (4, prose(5, 90)), (None, prose(5, 90))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similarity=similarity).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == sorted([(1, prose(1, 90)), (1, prose(2, 90)), (0, prose(3, 90)), (0, prose(4, 90)), (4, prose(5, 90))])
 
 
 # 9: quality

@@ -65,6 +65,8 @@ SEGMENTS = 16
 BLOCK = 2048
 #: The same of texts with their sketches that share a shingle hash.
 UNIT = 1024
+#: The row of a group that stays is the least: that of the smallest id, null last, and of rows of equal ids that of the least hash.
+_FIRST = "min(struct(doc_id IS NULL AS none, CAST(doc_id AS LONG) AS id, row AS row)) AS first"
 
 
 def shingle_hashes(text: str, shingle: int = 3, seed: int = SEED) -> np.ndarray:
@@ -438,24 +440,43 @@ def similar_links(texts: DataFrame, rows: DataFrame, shingle: int, similarity: f
     return found.where("dst is not null").select("src", "dst").unionByName(exact.select("src", "dst"))
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
+def _row(doc_id: str, text: str):
+    """A hash of a row's id and text: rows that agree in both are one document, rows of equal ids and different texts are two."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(rows, nodes, components, the nodes' column): groups by fingerprints within BITS bits or texts of that similarity."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = rows.select("doc_id", "text", _row("doc_id", "text").alias("row"))
     table = cut(rows.mapInArrow(_describe(shingle), "doc_id long, row long, fp long, wide long, node long, size long, filed array<long>, sketch array<int>"), "sketches")
-    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.expr(_FIRST), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("filed").alias("filed"), F.first("sketch").alias("sketch"))
     texts = cut(texts, "texts")
     fps = texts.groupBy("fp").agg(F.min("node").alias("one"))
     close = links(fps.select("fp"))
     by_bits = (close.join(fps.select(F.col("fp").alias("src"), F.col("one").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("one").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
                .unionByName(texts.select("node", "fp").join(fps, "fp").where("node <> one").select(F.col("node").alias("src"), F.col("one").alias("dst"))))
     edges = cut(similar_links(texts, rows.select("row", "text"), shingle, similarity).unionByName(by_bits).distinct(), "links")
-    return _named(table.select("doc_id", "fp", "node"), texts.select("node", "least"), connected_components(edges), "node")
+    return table.select("doc_id", "row", "fp", "node"), texts.select("node", "least", "first"), connected_components(edges), "node"
+
+
+def _by_bits(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """The same by fingerprints within BITS bits alone."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), _row(doc_id, text).alias("row"), F.col(text).alias("text"))
+    table = cut(with_fingerprint(own, "text", shingle), "fingerprints")
+    nodes = table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.expr(_FIRST))
+    edges = cut(links(nodes.select("fp")).distinct(), "links")
+    return table, nodes, connected_components(edges), "fp"
+
+
+def _component(nodes: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """``nodes`` with c, their group; ``comps`` has linked nodes only."""
+    return nodes.join(comps.select(F.col("node").alias("__node"), "component"), F.col(key) == F.col("__node"), "left").withColumn("c", F.coalesce("component", key)).drop("__node", "component")
 
 
 def _named(table: DataFrame, nodes: DataFrame, comps: DataFrame, key: str) -> DataFrame:
-    """(doc_id, fp, component_id): each row's group by the smallest id in it; ``comps`` has linked nodes only."""
-    named = nodes.join(comps.select(F.col("node").alias("__node"), "component"), F.col(key) == F.col("__node"), "left").select(key, "least", F.coalesce("component", key).alias("c"))
+    """(doc_id, fp, component_id): each row's group by the smallest id in it."""
+    named = _component(nodes, comps, key)
     smallest = named.groupBy("c").agg(F.min("least").alias("component_id"))
     member = named.join(smallest, "c").select(F.col(key).alias("__key"), "component_id")
     return table.join(member, F.col(key) == F.col("__key")).select("doc_id", "fp", "component_id")
@@ -463,20 +484,23 @@ def _named(table: DataFrame, nodes: DataFrame, comps: DataFrame, key: str) -> Da
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest id of its group."""
-    table = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "fingerprints")
-    nodes = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = cut(links(nodes.select("fp")).distinct(), "links")
-    return _named(table, nodes, connected_components(edges), "fp")
+    return _named(*_by_bits(docs, doc_id, text, shingle))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: groups by fingerprints within BITS bits or texts of that similarity."""
+    return _named(*_similar(docs, doc_id, text, shingle, similarity))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id.
+    """``docs`` with one row of each group: that of the smallest id, a null one last.
 
     Groups are those of :func:`similar_groups`, or of :func:`groups` without a
-    similarity. Rows with equal ids are one document. Rows with a null id cannot
-    be named as members of a group and stay.
+    similarity. Rows are told apart by id and text, so different texts of one id, or
+    without an id, are documents of their own; of rows that agree in both one stays.
     """
-    g = groups(docs, doc_id, text, shingle) if similarity is None else similar_groups(docs, doc_id, text, shingle, similarity)
-    first = g.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    _, nodes, comps, key = _by_bits(docs, doc_id, text, shingle) if similarity is None else _similar(docs, doc_id, text, shingle, similarity)
+    first = _component(nodes, comps, key).groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"))
+    row = _row(doc_id, text)
+    kept = docs.withColumn("__own", row).join(first, (F.col("__own") == F.col("__row")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__own"]).drop("__own")
