@@ -209,7 +209,6 @@ def test_clustering(spark):
     assert score(cluster.gaussian_mixture(data, 3, seed=0)) > 0.95
     for linkage in cluster.LINKAGES:
         assert score(cluster.hierarchical(data, 3, linkage=linkage)) > 0.9
-    assert score(cluster.hierarchical(data, 3, micro=20)) > 0.9  # by way of small clusters
     labels, scores = cluster.auto_k_kmeans(data, k_min=2, k_max=5, seed=0)
     assert score(labels) > 0.95 and scores.orderBy(F.desc("bic")).first()["k"] == 3
     assert cluster.kmeans(data, 1).select("cluster").distinct().count() == 1

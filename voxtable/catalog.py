@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.model import COORDS, VolumeFrame, from_table
-from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, reduce, segment, validate
+from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, neighbours, reduce, segment, validate
 from voxtable.scratch import shared_dir
 from voxtable.sources import open_volume, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
@@ -414,17 +414,35 @@ def auto_k_kmeans(spark, sf_dir):
     return cluster.auto_k_kmeans(features(spark, sf_dir), k_min=2, k_max=4, seed=0)[0]
 
 
-@query()
+@query("""SELECT a.vec_id AS object_id, b.vec_id AS neighbour, rank::INT AS rank, round(sqrt(d), 6) AS distance FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, least(a.vec_id, b.vec_id), greatest(a.vec_id, b.vec_id)) AS rank
+  FROM (SELECT a, b, (SELECT sum((a.embedding[i]::DOUBLE - b.embedding[i]) ** 2) FROM range(1, 65) t(i)) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 8""")
+def knn_graph(spark, sf_dir):
+    return neighbours.knn_graph(features(spark, sf_dir), 8).withColumn("distance", F.round("distance", 6))
+
+
+def _merged(height: str, clusters: int = 10) -> str:
+    """Agglomeration from the points' distances, one merge a step; a cluster is named by its first row."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, (SELECT sum((a.embedding[k]::DOUBLE - b.embedding[k]) ** 2) FROM range(1, 65) t(k)) AS d FROM embeddings a, embeddings b),
+s AS (SELECT 0 AS n, vec_id AS v, vec_id AS c FROM embeddings
+  UNION ALL
+  (WITH size AS (SELECT c, count(*)::DOUBLE AS m FROM s GROUP BY 1),
+   g AS MATERIALIZED (SELECT x.c AS a, y.c AS b, min(d) AS near, max(d) AS far, sum(d) AS total FROM p JOIN s x ON x.v = i JOIN s y ON y.v = j GROUP BY 1, 2),
+   h AS (SELECT min({{'d': {height}, 'a': g.a, 'b': g.b}}) AS m FROM g JOIN size sa ON sa.c = g.a JOIN size sb ON sb.c = g.b JOIN g ga ON ga.a = g.a AND ga.b = g.a JOIN g gb ON gb.a = g.b AND gb.b = g.b WHERE g.a < g.b)
+   SELECT n + 1, v, CASE WHEN c = h.m.b THEN h.m.a ELSE c END FROM s, h WHERE (SELECT count(*) FROM size) > {clusters}))
+SELECT v AS object_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS cluster FROM s WHERE n = (SELECT max(n) FROM s)"""
+
+
+@query(_merged("sa.m * sb.m / (sa.m + sb.m) * (g.total / (sa.m * sb.m) - ga.total / (2 * sa.m * sa.m) - gb.total / (2 * sb.m * sb.m))"))
 def hierarchical_ward(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10)
 
 
-@query()
+@query(_merged("g.near"))
 def hierarchical_single(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10, linkage="single")
 
 
-@query()
+@query(_merged("g.far"))
 def hierarchical_complete(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10, linkage="complete")
 
@@ -484,13 +502,6 @@ def kmeans_fixed_point(spark, sf_dir):
     return _spread(spark, sf_dir, cluster.kmeans(features(spark, sf_dir), 10, seed=0))
 
 
-@query("SELECT m.name AS method, count(*) AS n, k AS clusters FROM embeddings, (VALUES ('ward', 10), ('single', 10), ('complete', 10)) m(name, k) GROUP BY ALL")
-def hierarchies(spark, sf_dir):
-    """Rows and clusters of each linkage."""
-    out = [cluster.hierarchical(features(spark, sf_dir), 10, linkage=k).agg(F.lit(k).alias("method"), F.count("*").alias("n"), F.count_distinct("cluster").cast("int").alias("clusters")) for k in cluster.LINKAGES]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @query("SELECT m.name AS method, count(*) AS n, 0 AS odd FROM embeddings, (VALUES ('isomap'), ('laplacian'), ('tsne')) m(name) GROUP BY ALL")
 def manifolds(spark, sf_dir):
     """Rows of each embedding, and those without two finite coordinates."""
