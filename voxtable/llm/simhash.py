@@ -65,6 +65,8 @@ SEGMENTS = 16
 BLOCK = 2048
 #: The same of texts with their sketches that share a shingle hash.
 UNIT = 1024
+#: Rows (two numbers each) that are broadcast at most, about 8 MB; beyond them the join shuffles.
+BROADCAST = 250_000
 #: The row of a group that stays is the least: that of the smallest id, null last, and of rows of equal ids that of the least hash.
 _FIRST = "min(struct(doc_id IS NULL AS none, CAST(doc_id AS LONG) AS id, row AS row)) AS first"
 
@@ -435,7 +437,8 @@ def similar_links(texts: DataFrame, rows: DataFrame, shingle: int, similarity: f
     found = cut(compared(members, texts.select("node", "wide", "filed", "sketch"), _alike(similarity)), "candidates")
     unsure = found.where("dst is null").select(*unit, F.col("src").alias("node"))
     wanted = cut(texts.join(unsure.select("node").distinct(), "node", "left_semi").select("row", "node", "wide"), "wanted")
-    sets = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "wide", "text").mapInArrow(_sets(shingle), "node long, wide long, shingles array<long>")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted  # else a shuffle of all texts
+    sets = rows.join(few, "row").dropDuplicates(["row"]).select("node", "wide", "text").mapInArrow(_sets(shingle), "node long, wide long, shingles array<long>")
     exact = compared(unsure, cut(sets, "sets"), _confirm(similarity))
     return found.where("dst is not null").select("src", "dst").unionByName(exact.select("src", "dst"))
 
@@ -500,7 +503,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     without an id, are documents of their own; of rows that agree in both one stays.
     """
     _, nodes, comps, key = _by_bits(docs, doc_id, text, shingle) if similarity is None else _similar(docs, doc_id, text, shingle, similarity)
-    first = _component(nodes, comps, key).groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"))
-    row = _row(doc_id, text)
-    kept = docs.withColumn("__own", row).join(first, (F.col("__own") == F.col("__row")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__own"]).drop("__own")
+    first = _component(nodes, comps, key).groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    # Joined by the row's hash alone, so that its partitions serve the rows of equal hash too.
+    kept = docs.withColumn("__own", _row(doc_id, text)).join(first, F.col("__own") == F.col("__row"), "left_semi")
+    return kept.dropDuplicates(["__own", doc_id]).drop("__own")
