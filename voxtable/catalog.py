@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxtable.model import COORDS, VolumeFrame, from_table
 from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, neighbours, reduce, segment, validate
-from voxtable.scratch import shared_dir
+from voxtable.scratch import cut, shared_dir
 from voxtable.sources import open_volume, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
 from voxtable.workflow import Pipeline, Step
@@ -432,17 +432,21 @@ s AS (SELECT 0 AS n, vec_id AS v, vec_id AS c FROM embeddings
 SELECT v AS object_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS cluster FROM s WHERE n = (SELECT max(n) FROM s)"""
 
 
-@query(_merged("sa.m * sb.m / (sa.m + sb.m) * (g.total / (sa.m * sb.m) - ga.total / (2 * sa.m * sa.m) - gb.total / (2 * sb.m * sb.m))"))
+#: Distance of two clusters by linkage, from the distances of their points.
+HEIGHTS = {"ward": "sa.m * sb.m / (sa.m + sb.m) * (g.total / (sa.m * sb.m) - ga.total / (2 * sa.m * sa.m) - gb.total / (2 * sb.m * sb.m))", "single": "g.near", "complete": "g.far"}
+
+
+@query(_merged(HEIGHTS["ward"]))
 def hierarchical_ward(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10)
 
 
-@query(_merged("g.near"))
+@query(_merged(HEIGHTS["single"]))
 def hierarchical_single(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10, linkage="single")
 
 
-@query(_merged("g.far"))
+@query(_merged(HEIGHTS["complete"]))
 def hierarchical_complete(spark, sf_dir):
     return cluster.hierarchical(features(spark, sf_dir), 10, linkage="complete")
 
@@ -474,6 +478,25 @@ def isomap(spark, sf_dir):
     return reduce.isomap(features(spark, sf_dir), 2)
 
 
+GEODESICS = """WITH RECURSIVE near AS MATERIALIZED (SELECT u, v, d FROM (SELECT a.vec_id AS u, b.vec_id AS v, d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, least(a.vec_id, b.vec_id), greatest(a.vec_id, b.vec_id)) AS rank
+  FROM (SELECT a, b, (SELECT sum((a.embedding[i]::DOUBLE - b.embedding[i]) ** 2) FROM range(1, 65) t(i)) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 5),
+e AS MATERIALIZED (SELECT u, v, min(sqrt(d)) AS d FROM (SELECT u, v, d FROM near UNION ALL SELECT v, u, d FROM near) GROUP BY 1, 2),
+s AS (SELECT 0 AS n, vec_id AS node, vec_id AS source, 0::DOUBLE AS d FROM embeddings WHERE vec_id % 50 = 0
+  UNION ALL
+  (WITH c AS (SELECT e.v AS node, source, min(s.d + e.d) AS d FROM s JOIN e ON e.u = s.node GROUP BY 1, 2), m AS (SELECT node, source, min(d) AS d FROM (SELECT node, source, d FROM s UNION ALL SELECT * FROM c) GROUP BY 1, 2)
+   SELECT (SELECT max(n) FROM s) + 1, m.* FROM m WHERE EXISTS (SELECT 1 FROM c LEFT JOIN s USING (node, source) WHERE s.d IS NULL OR c.d < s.d - 1e-12)))
+SELECT node AS object_id, source, round(d, 6) AS distance FROM s WHERE n = (SELECT max(n) FROM s)"""
+
+
+@query(GEODESICS)
+def geodesic_distances(spark, sf_dir):
+    """Shortest paths along the graph of five neighbours, from every fiftieth row."""
+    points = features(spark, sf_dir).select(F.col("object_id").alias("node"), F.lit(1.0).alias("w"), F.transform("features", lambda x: x.cast("double")).alias("features"))
+    edges = cut(reduce.neighbour_edges(points, 5), "edges")
+    found = reduce.geodesics(edges, points.where("node % 50 = 0").select("node"))
+    return found.select(F.col("node").alias("object_id"), "source", F.round("d", 6).alias("distance"))
+
+
 @query()
 def laplacian_eigenmap(spark, sf_dir):
     return reduce.laplacian_eigenmap(features(spark, sf_dir), 2)
@@ -502,6 +525,17 @@ def kmeans_fixed_point(spark, sf_dir):
     return _spread(spark, sf_dir, cluster.kmeans(features(spark, sf_dir), 10, seed=0))
 
 
+HIERARCHIES = " UNION ALL ".join(f"SELECT '{name}' AS method, sum(m)::BIGINT AS n, count(*)::INT AS clusters, max(m) AS largest, sum(m * (m - 1) // 2)::BIGINT AS pairs FROM (SELECT cluster, count(*) AS m FROM ({_merged(h)}) GROUP BY 1)" for name, h in HEIGHTS.items())
+
+
+@query(HIERARCHIES)
+def hierarchies(spark, sf_dir):
+    """Rows, clusters, the largest cluster and the pairs of rows in one cluster, of each linkage."""
+    sizes = [cluster.hierarchical(features(spark, sf_dir), 10, linkage=k).groupBy("cluster").agg(F.count("*").alias("m"))
+             .agg(F.lit(k).alias("method"), F.sum("m").alias("n"), F.count("*").cast("int").alias("clusters"), F.max("m").alias("largest"), F.sum(F.expr("m * (m - 1) div 2")).alias("pairs")) for k in HEIGHTS]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+
+
 @query("SELECT m.name AS method, count(*) AS n, 0 AS odd FROM embeddings, (VALUES ('isomap'), ('laplacian'), ('tsne')) m(name) GROUP BY ALL")
 def manifolds(spark, sf_dir):
     """Rows of each embedding, and those without two finite coordinates."""

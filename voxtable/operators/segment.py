@@ -56,40 +56,43 @@ def otsu_value(volume: DataFrame, integers: bool = False) -> DataFrame:
 def percentile_value(volume: DataFrame, percentile: float, bins: int = 4096) -> float | None:
     """The percentile of the values by linear interpolation; None without values.
 
-    Exact, and no task holds the values: counts by equal bins say which bin holds
-    the two order statistics, and only that bin is counted again, until it has as
-    few different values as a sort of them takes. The driver sees ``bins`` counts.
+    Exact, and no task holds the values, which are written once: counts by equal bins
+    say which bin holds each of the two order statistics, and only those bins are
+    counted again, both in one pass, until a bin has one value. The driver sees
+    ``bins`` counts of each.
     """
-    values = volume.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("value").cast("double").alias("v"))
+    values = cut(volume.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("value").cast("double").alias("v")), "values")
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         return None
     place = percentile / 100 * (n - 1)
     lower = math.floor(place + 1e-9)
     share = max(0.0, place - lower)
-
-    def order_statistic(k: int) -> float:
-        """The k-th smallest value, from 0."""
-        a, b, before = low, high, 0
-        while a < b:
-            inside = values.where((F.col("v") >= a) & (F.col("v") <= b))
-            at = F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / F.lit(b - a) * bins))
-            counts = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect()
-            for c in counts:  # ``bins`` rows at most
+    found: dict[int, float] = {}
+    #: Of each place that is still looked for, the bin that holds it and the number of values below the bin.
+    open_ = {k: (low, high, 0) for k in {lower, min(lower + 1, n - 1)} if share or k == lower}
+    while open_:
+        found |= {k: a for k, (a, b, _) in open_.items() if a == b}
+        open_ = {k: bin_ for k, bin_ in open_.items() if k not in found}
+        asked = sorted(set(open_.values()))  # the two bins are one or do not meet
+        if not asked:
+            break
+        where, at = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (a, b, _) in enumerate(asked):
+            inside = (F.col("v") >= a) & (F.col("v") <= b)
+            where = F.coalesce(where, F.when(inside, i))
+            # Neighbouring numbers leave no width to divide; they are told apart as they are.
+            bin_of = F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / F.lit(b - a) * bins)) if math.nextafter(a, b) < b else (F.col("v") > a).cast("long")
+            at = F.coalesce(at, F.when(inside, bin_of))
+        counts = values.select(where.alias("i"), at.alias("bin"), "v").where("i IS NOT NULL").groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i", "bin").collect()
+        for k, own in list(open_.items()):
+            before = own[2]
+            for c in (c for c in counts if c["i"] == asked.index(own)):
                 if k < before + c["n"]:
+                    open_[k] = (c["a"], c["b"], before)
                     break
                 before += c["n"]
-            if (c["a"], c["b"]) == (a, b):  # neighbouring numbers
-                few = inside.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(bins).collect()
-                for v in few:
-                    if k < before + v["n"]:
-                        return v["v"]
-                    before += v["n"]
-            a, b = c["a"], c["b"]
-        return a
-
-    first = order_statistic(lower)
-    return first if not share else first + share * (order_statistic(min(lower + 1, n - 1)) - first)
+    return found[lower] if not share else found[lower] + share * (found[min(lower + 1, n - 1)] - found[lower])
 
 
 def threshold_mask(volume: DataFrame, *, method: str = "fixed", value: float | None = None, percentile: float | None = None, integers: bool = False) -> DataFrame:
