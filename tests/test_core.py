@@ -453,6 +453,20 @@ def test_asof_join(spark, span):
     assert got == want
 
 
+def test_range_join(spark):
+    """Ranges of all lengths, a point that a third of the rows share, nulls, and ends that are left out."""
+    r = np.random.default_rng(9)
+    points = [(i, None if i == 5 else 7.0 if i % 3 == 0 else float(r.normal(0, 50)), i % 2) for i in range(150)]
+    ranges = [(k, float(a), float(a + 10.0**e), k % 2) for k, (a, e) in enumerate(zip(r.normal(0, 40, 60), r.uniform(-6, 4, 60)))] + [(900, 7.0, 7.0, 0), (901, None, 9.0, 1), (902, 3.0, 7.0, 1), (903, 7.0, 8.0, 1), (904, 9.0, 2.0, 0)]
+    p, q = spark.createDataFrame(points, "i long, v double, g long"), spark.createDataFrame(ranges, "k long, a double, b double, g long")
+    hit = {(i, k) for i, v, _ in points for k, a, b, _ in ranges if v is not None and a is not None and a <= v < b}
+    got = joins.range_join(p.drop("g"), q.drop("g"), at="v", low="a", high="b")
+    assert sorted((x["i"], x["k"]) for x in got.collect()) == sorted(hit) and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    same = joins.range_join(p, q, at="v", low="a", high="b", on=["g"])
+    assert {(x["i"], x["k"]) for x in same.collect()} == {(i, k) for i, k in hit if i % 2 == (dict((x[0], x[3]) for x in ranges)[k])}
+    assert joins.range_join(p.drop("g"), q.drop("g").limit(0), at="v", low="a", high="b").count() == 0
+
+
 def test_to_numpy_keeps_to_its_budget(spark):
     v = VolumeFrame(spark.createDataFrame([(0, 0, 1, 2, 5.0)], "c int, z int, y int, x int, value double"), (1, 1, 2, 3), "uint16", 7.0)
     assert v.to_numpy().tolist() == [[[[7, 7, 7], [7, 7, 5]]]] and v.to_numpy().dtype == np.uint16

@@ -616,6 +616,13 @@ def asof_join(spark, sf_dir):
 
 
 OBJECTS = "WITH objects AS (SELECT user_id AS object_id, count(*) AS n, max(value) AS top, min(event_type) AS kind FROM events GROUP BY 1), clusters AS (SELECT c_custkey AS object_id, c_custkey % 3 AS cluster, c_nationkey AS nation FROM customer) "
+@query("SELECT event_id, s_suppkey, value FROM events JOIN supplier ON value >= s_acctbal / 40 AND value < s_acctbal / 40 + s_nationkey / 4.0")
+def range_join(spark, sf_dir):
+    """Events whose value lies in a supplier's range; ranges of length 0 match nothing."""
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 40).alias("low"), (F.col("s_acctbal") / 40 + F.col("s_nationkey") / 4.0).alias("high"))
+    return joins.range_join(table(spark, sf_dir, "events").select("event_id", "value"), ranges, at="value", low="low", high="high").select("event_id", "s_suppkey", "value")
+
+
 STORE_SQL = {
     "store_select": "SELECT object_id, n, top FROM objects WHERE top > 100 ORDER BY object_id",
     "store_filter_count": "SELECT kind, COUNT(*) AS many FROM objects WHERE n > 50 GROUP BY kind",
@@ -628,6 +635,8 @@ STORE_SQL = {
     "store_distinct": "SELECT cluster, count(DISTINCT nation) AS nations, count(*) FILTER (WHERE nation > 10) AS far FROM clusters GROUP BY cluster",
     "store_anti_join": "SELECT c.object_id FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.object_id = c.object_id)",
     "store_top_k": "SELECT object_id, n FROM objects ORDER BY n DESC, object_id LIMIT 10",
+    "store_full_join": "SELECT coalesce(o.object_id, c.object_id) AS object_id, o.n, c.cluster FROM (SELECT * FROM objects WHERE object_id % 3 <> 0) o FULL OUTER JOIN clusters c ON o.object_id = c.object_id",
+    "store_lateral": "SELECT c.cluster, c.nation, t.doubled FROM (SELECT DISTINCT cluster, nation FROM clusters) c, LATERAL (SELECT 2 * c.nation + c.cluster AS doubled) t",
 }
 
 
