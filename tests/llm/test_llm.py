@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -150,6 +151,25 @@ def test_two_clusters():
     assert np.allclose(html_text.smooth(np.full(4, 3.0)), 3)
 
 
+@pytest.mark.parametrize("body,want", [
+    ("Long text before it <button>Share this</button> and after.", "Long text before it and after."),
+    ("All of this is before <select><optgroup><option>One<option>Two</optgroup></select> and this after.", "All of this is before and this after."),
+    ('Read <a class="share">Tweet</a> this <span class="advert">Buy <b>now</b></span> to the end.', "Read this to the end."),
+    ("Some <label>Name <b>x</b></label><textarea>y</textarea><output>3</output> text.", "Some text."),
+    ("Seen <span hidden>not <b>seen</b></span> here.", "Seen here."),
+    ("Energy <math><mi>E</mi></math> is here.", "Energy E is here."),
+])
+def test_frames_inside_a_line(body, want):
+    assert html_text.extract(f"<article><h1>T</h1><p>{body}</p><p>The second paragraph stays as it is.</p></article>") == f"T\n{want}\nThe second paragraph stays as it is."
+
+
+@pytest.mark.parametrize("tail", ["<!-- note <p>hidden draft</p>", '<a href="x>rest of the page</a>', "<p", "<!-- " * 20_000, '<a b="' * 20_000, "<div " * 20_000])
+def test_constructs_without_an_end(tail):
+    start = time.time()
+    assert html_text.extract(f"<article><p>Some text that is long enough.</p>{tail}") == "Some text that is long enough."
+    assert time.time() - start < 5
+
+
 # 2: archives
 
 @pytest.mark.parametrize("chunk,least", [(1 << 18, 0), (64, 0), (64, 10**9)])

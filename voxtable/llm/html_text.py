@@ -19,11 +19,15 @@ not its frame. On a page without any it is one that holds all top headings and a
 of the text. Other elements with such words are frames, as comments are whatever
 their length.
 
+Frames inside a line, as buttons, choices, hidden parts and parts of a line with frame words, take
+their own text out of it and leave the line whole.
+
 Character references are decoded, white space inside a line becomes one space,
 lines are trimmed and joined by line feeds in page order.
 
 Defined cases: a null or empty page gives an empty text; malformed markup (open
-paragraphs, missing end tags, cut-off pages) is read as far as it goes; a page
+paragraphs, missing end tags, cut-off pages) is read as far as it goes, where a comment or
+tag without an end reaches to the end of the page; a page
 of one line keeps it; text outside any block belongs to the page's own region;
 repeated rows are extracted alike; an empty table gives an empty result.
 """
@@ -42,7 +46,7 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video map".split())
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video map".split())
 #: Their text belongs to the page's frame.
 FRAME = frozenset("nav header footer aside form button select option textarea menu dialog fieldset label datalist output progress".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar status note".split())
@@ -56,6 +60,8 @@ FRAME_WORDS = frozenset(
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Parts of a line; frame words of theirs set their own text aside.
+INLINE = frozenset("a abbr b bdi bdo cite code data em font i ins kbd mark q s small span strong sub sup time tt u var".split())
 #: Blocks that can be a region of their own.
 REGIONS = frozenset("article main section div body td blockquote center table".split())
 CONTENT = frozenset(("article", "main"))
@@ -120,9 +126,8 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, frame, region, suspect = self.state()
-            if not frame:
-                self.lines.append((text, self.tags, self.linked, region, suspect, any(self.last(t) >= 0 for t in TITLES)))
+            *_, region, suspect = self.state()
+            self.lines.append((text, self.tags, self.linked, region, suspect, any(self.last(t) >= 0 for t in TITLES)))
         self.text, self.tags, self.linked = [], 0, 0
 
     def last(self, tag: str) -> int:
@@ -130,7 +135,8 @@ class Lines(HTMLParser):
         return own[-1] if own else -1
 
     def pop(self, at: int) -> None:
-        if self.blocks and self.blocks[-1] >= at:
+        # Blocks inside a frame are not of the line around it.
+        if any(x[0] in BLOCKS and not (k and self.open[k - 1][2]) for k, x in enumerate(self.open[at:], at)):
             self.end_line()
         for tag, *_ in reversed(self.open[at:]):
             self.places[tag].pop()
@@ -149,13 +155,13 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.state()[1]:
             self.end_line()
         if tag in VOID:
             return
-        silent, frame, region, suspect = self.state()
+        silent, around, region, suspect = self.state()
         hard, words = _frame(tag, attrs, bool(self.article[region]))
-        frame = frame or hard
+        frame = around or hard or words and tag in INLINE
         if tag in REGIONS:
             self.kinds.append(tag)
             self.above.append(region)
@@ -170,7 +176,7 @@ class Lines(HTMLParser):
             self.heads[suspect] += tag == TITLES[0]
         place = len(self.open)
         self.places.setdefault(tag, []).append(place)
-        if tag in BLOCKS:
+        if tag in BLOCKS and not around:
             self.blocks.append(place)
             if tag != "p":
                 self.firm.append(place)
@@ -191,12 +197,17 @@ class Lines(HTMLParser):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        silent, frame, *_ = self.state()
+        if not silent and not frame:
             self.text.append(data)
             if any(x[0] == "a" for x in self.open[-4:]):
                 self.linked += len(data)
 
     def close(self) -> None:
+        # A comment or tag that never ends holds the rest of the page, as in the HTML standard. The parser
+        # has looked for its end once; left to it, it would look again from each bracket inside.
+        if re.match("<[A-Za-z/!?]", self.rawdata):
+            self.rawdata = ""
         super().close()
         self.end_line()
 
