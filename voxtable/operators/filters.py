@@ -8,11 +8,13 @@ their reach: a voxel is sent to the few cubes that need it, and a task holds one
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,8 +191,9 @@ def enhance_contrast(volume: DataFrame, shape: tuple[int, int, int] | None = Non
 def _clahe(volume: DataFrame, shape: tuple[int, int, int], clip: float, bins: int, tiles: int) -> DataFrame:
     """Contrast-limited adaptive equalisation (Zuiderveld 1994): tile histograms, clipped, and blended linearly.
 
-    Histograms are grouped counts; a tile's curve has at most ``bins`` rows, so
-    the curves are tiles ** 3 * bins rows at most, whatever the volume.
+    Histograms are grouped counts; a tile's curve has ``bins`` levels, so the
+    curves are tiles ** 3 * bins numbers at most, 1 MB by default, whatever the volume. Each
+    task holds them and looks up a voxel's levels where it is read; voxels are not shuffled.
     """
     sides = [max(1, math.ceil(n / tiles)) for n in shape]
     counts = [math.ceil(n / s) for n, s in zip(shape, sides)]
@@ -208,13 +211,21 @@ def _clahe(volume: DataFrame, shape: tuple[int, int, int], clip: float, bins: in
 
     over = full.withColumn("spare", F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0.0))).over(Window.partitionBy(*keys)))
     curve = over.select(*keys, "bin", (F.sum(F.least("n", "limit") + F.col("spare") / bins).over(Window.partitionBy(*keys).orderBy("bin")) / F.col("all")).alias("level"))
-    near = rows
-    for c, s, n in zip(COORDS, sides, counts):
-        # The two tiles whose centres enclose the voxel, and the share of each.
-        at = (F.col(c) + 0.5) / s - 0.5
-        low = F.floor(at).cast("int")
-        two = F.array(F.struct(F.greatest(low, F.lit(0)).alias("t"), (1 - (at - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("t"), (at - low).alias("w")))
-        near = near.withColumn("o" + c, F.explode(two))
-    weight = F.col("oz.w") * F.col("oy.w") * F.col("ox.w")
-    near = near.select(*COORDS, "bin", weight.alias("w"), *[F.col(f"o{c}.t").alias("t" + c) for c in COORDS]).where("w > 0")
-    return near.join(curve, [*keys, "bin"]).groupBy(*COORDS).agg(F.sum(F.col("w") * F.col("level")).alias("value"))
+    # tiles ** 3 * bins levels at most; a tile without voxels has none.
+    levels = np.zeros((*counts, bins))
+    got = curve.toArrow()
+    levels[tuple(got.column(k).to_numpy() for k in range(4))] = got.column(4).to_numpy()
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for k, (s, n) in enumerate(zip(sides, counts)):
+                # The two tiles whose centres enclose the voxel, and the share of each.
+                at = (b.column(k).to_numpy() + 0.5) / s - 0.5
+                low = np.floor(at).astype(int)
+                near.append(((np.maximum(low, 0), 1 - (at - low)), (np.minimum(low + 1, n - 1), at - low)))
+            bin_ = b.column(3).to_numpy()
+            value = sum(wz * wy * wx * levels[tz, ty, tx, bin_] for (tz, wz), (ty, wy), (tx, wx) in itertools.product(*near))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(value)], [*COORDS, "value"])
+
+    return rows.select(*[F.col(c).cast("int").alias(c) for c in COORDS], "bin").mapInArrow(blend, "z int, y int, x int, value double")
