@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
 
 from voxtable.model import VolumeFrame
-from voxtable.sources import open_volume, read_zarr, write_tiff, write_zarr
+from voxtable.sources import open_volume, read_zarr, write_blocks, write_tiff, write_zarr
 from voxtable.sources.files import narrowed
 from voxtable.sources.tiff import Form, PageReader, Stack, StackWriter, _plane_file, directories, page
 from voxtable.sources.zarr import ChunkReader, Layout
@@ -175,3 +175,35 @@ def test_many_files_are_held_to_the_first(spark, tmp_path):
     with pytest.raises(Exception, match="among pages of"):
         open_volume(spark, f"{tmp_path}/v.tif").df.count()
     assert json.loads(json.dumps(vars(Stack.of(f"{tmp_path}/v.tif"))))["files"] == 3
+
+
+@pytest.mark.parametrize("dtype,fill,edges", [("uint16", 0, (2, 3, 4)), ("float32", 1.5, (3, 2, 5)), ("uint8", 0, (64, 64, 64))])
+def test_blocks_round_trip(spark, tmp_path, dtype, fill, edges):
+    a = np.random.default_rng(3).integers(0, 99, (2, 5, 7, 9)).astype(dtype)
+    a[1, :3] = fill
+    write_blocks(volume(spark, a, dtype, fill), f"{tmp_path}/v", edges)
+    write_blocks(volume(spark, a, dtype, fill), f"{tmp_path}/v", edges)
+    v = open_volume(spark, f"{tmp_path}/v")
+    assert v.shape == a.shape and v.dtype == dtype and v.fill == fill and (v.to_numpy() == a).all()
+    box = v.subvolume(1, 2, 1, 3, 3, 4, 99)
+    assert {tuple(r) for r in box.collect()} == {(z, y, x, float(a[1, 2 + z, 1 + y, 3 + x])) for z in range(3) for y in range(4) for x in range(6) if a[1, 2 + z, 1 + y, 3 + x] != fill}
+    assert v.voxel(-1, -1, -1, -1) == a[-1, -1, -1, -1] and v.subvolume(0, 9, 0, 0, 1, 1, 1).count() == 0
+
+
+def test_other_blocks_are_left_out_by_statistics(spark, tmp_path):
+    """Samples of other blocks are never decoded: their bytes are too short to be one; and the scan's filters are pushed."""
+    write_blocks(volume(spark, ARRAY), f"{tmp_path}/v", (2, 3, 3))
+    raw = spark.read.parquet(f"{tmp_path}/v")
+    broken = raw.withColumn("samples", F.when((F.col("c") == 1) & (F.col("bz") == 1) & (F.col("by") == 0) & (F.col("bx") == 1), F.col("samples")).otherwise(F.lit(b"no")))
+    note = (tmp_path / "v" / "_volume.json").read_bytes()
+    broken.write.partitionBy("c").parquet(f"{tmp_path}/w")
+    (tmp_path / "w" / "_volume.json").write_bytes(note)
+    v = open_volume(spark, f"{tmp_path}/w")
+    box = v.subvolume(1, 2, 0, 3, 2, 3, 3)
+    assert box.agg(F.sum("value")).first()[0] == ARRAY[1, 2:, :3, 3:].sum()
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(c" in plan and "GreaterThanOrEqual(bz,1)" in plan
+    with pytest.raises(Exception):  # noqa: B017
+        v.df.count()
+    with pytest.raises(ValueError):
+        open_volume(spark, f"{tmp_path}")

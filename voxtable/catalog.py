@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxtable.model import COORDS, VolumeFrame, from_table
 from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, neighbours, reduce, segment, validate
 from voxtable.scratch import cut, shared_dir
-from voxtable.sources import open_volume, write_tiff, write_zarr
+from voxtable.sources import open_volume, write_blocks, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
 from voxtable.workflow import Pipeline, Step
 
@@ -597,6 +597,14 @@ def zarr_pushed_ranges(spark, sf_dir):
     return open_volume(spark, path).df.where("z BETWEEN 2 AND 4 AND y >= 20 AND x < 60")
 
 
+@query(f"{CHANNELS} SELECT z - 1 AS z, y - 10 AS y, x - 50 AS x, value FROM vol WHERE c = 1 AND z >= 1 AND z < 5 AND y >= 10 AND y < 90 AND x >= 50 AND x < 300")
+def block_subvolume(spark, sf_dir):
+    """A box read from a table of blocks, whose statistics leave out the others."""
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}"
+    write_blocks(volume(spark, sf_dir, channels=True), path, (4, 64, 64))
+    return open_volume(spark, path).subvolume(1, 1, 10, 50, 4, 80, 250)
+
+
 # SQL over measurement tables
 
 def _store(spark, sf_dir) -> MeasurementStore:
