@@ -130,6 +130,15 @@ def test_points(spark):
     assert segment.labels_from_points(points.where("false"), (1, 5, 5), radius=1).count() == 0
 
 
+def test_points_from_sql(spark):
+    points = [(1, 2.0, 3.0, 3.0), (2, 2.0, 3.0, 4.5), (3, 0.0, 0.0, 0.0), (4, None, 1.0, 1.0), (5, 2.0, 3.0, 3.0), (6, 99.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(points, "point_id long, z double, y double, x double")
+    with MeasurementStore(spark) as store:
+        store.register("points", frame)
+        got = store.query("SELECT b.z, b.y, b.x, CAST(max(point_id) AS INT) AS label FROM points p, LATERAL ball(p.z, p.y, p.x, 1.5D, 4, 6, 7) b GROUP BY ALL").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, segment.labels_from_points(frame.where("z IS NOT NULL"), (4, 6, 7), radius=1.5).collect())) and {r["label"] for r in got} == {2, 3, 5}
+
+
 def test_gates(spark):
     df = spark.createDataFrame([(5.0, 5.0), (15.0, 5.0), (-5.0, 5.0), (5.0, 15.0)], "x double, y double")
     inside = gates.polygon_gate(F.col("x"), F.col("y"), [(0, 0), (10, 0), (10, 10), (0, 10)])

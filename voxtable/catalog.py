@@ -176,14 +176,25 @@ def filter_by_size(spark, sf_dir):
     return segment.filter_by_size(grid_labels(spark, sf_dir), min_size=300, max_size=1500)
 
 
-@query(f"""WITH p AS (SELECT s_suppkey AS id, (s_nationkey % 7)::DOUBLE AS z, (s_suppkey * 37 % 1024)::DOUBLE AS y, (s_suppkey * 101 % 1024) + 0.5 AS x FROM supplier),
+POINT_LABELS = f"""WITH p AS (SELECT s_suppkey AS id, (s_nationkey % 7)::DOUBLE AS z, (s_suppkey * 37 % 1024)::DOUBLE AS y, (s_suppkey * 101 % 1024) + 0.5 AS x FROM supplier),
 g AS (SELECT id, floor(p.z)::INT + a.d AS z, floor(p.y)::INT + b.d AS y, floor(p.x)::INT + c.d AS x, p.z AS pz, p.y AS py, p.x AS px FROM p, range(-3, 5) a(d), range(-3, 5) b(d), range(-3, 5) c(d))
-SELECT z::INT AS z, y::INT AS y, x::INT AS x, max(id)::INT AS label FROM g WHERE z BETWEEN 0 AND 6 AND y BETWEEN 0 AND 1023 AND x BETWEEN 0 AND 1023 AND (z - pz) ** 2 + (y - py) ** 2 + (x - px) ** 2 <= 6.25 GROUP BY 1, 2, 3""")
+SELECT z::INT AS z, y::INT AS y, x::INT AS x, max(id)::INT AS label FROM g WHERE z BETWEEN 0 AND 6 AND y BETWEEN 0 AND 1023 AND x BETWEEN 0 AND 1023 AND (z - pz) ** 2 + (y - py) ** 2 + (x - px) ** 2 <= 6.25 GROUP BY 1, 2, 3"""
+
+
+@query(POINT_LABELS)
 def labels_from_points(spark, sf_dir):
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_nationkey") % 7).alias("z"), (F.col("s_suppkey") * 37 % 1024).alias("y"), (F.col("s_suppkey") * 101 % 1024 + 0.5).alias("x"))
     return segment.labels_from_points(points, SHAPE, radius=2.5)
 
 
+@query(POINT_LABELS)
+def labels_by_table_function(spark, sf_dir):
+    """The same labels from SQL: each point with the voxels of its ball, of which the largest id wins."""
+    with_points = MeasurementStore(spark)
+    with_points.register("points", table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS point_id", "s_nationkey % 7 AS z", "s_suppkey * 37 % 1024 AS y", "s_suppkey * 101 % 1024 + 0.5D AS x"))
+    return with_points.query(f"SELECT b.z, b.y, b.x, CAST(max(point_id) AS INT) AS label FROM points p, LATERAL ball(p.z, p.y, p.x, 2.5D, {', '.join(map(str, SHAPE))}) b GROUP BY b.z, b.y, b.x")
+
+
 @query()
 def watershed_split(spark, sf_dir):
     mask = segment.threshold_mask(voxels(spark, sf_dir, SMALL), value=20)

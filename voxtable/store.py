@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxtable.functions.tables import register
+
 _READS = re.compile(r"\s*(?:--[^\n]*\n|\s)*\(*\s*(?:select|with|values|from|table|describe|explain|show)\b", re.IGNORECASE)
 
 
 class MeasurementStore:
-    """Tables by name in a session of their own; queries return lazy DataFrames.
+    """Tables by name in a session of their own, with the table functions of :mod:`voxtable.functions.tables`; queries return lazy DataFrames.
 
     Statements that would write to the warehouse are refused: registered tables
     live as long as the store. A closed store raises on every use.
@@ -19,6 +21,7 @@ class MeasurementStore:
 
     def __init__(self, spark: SparkSession):
         self._spark: SparkSession | None = spark.newSession()
+        register(self._spark)
         self._shared: list[str] = []
 
     def _session(self) -> SparkSession:
