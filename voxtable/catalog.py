@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtable.model import COORDS, VolumeFrame, from_table
-from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, neighbours, reduce, segment, validate
+from voxtable.operators import classify, cluster, filters, flood, gates, joins, measure, neighbours, reduce, segment, tsne as tsne_, validate
 from voxtable.scratch import cut, shared_dir
 from voxtable.sources import open_volume, write_blocks, write_tiff, write_zarr
 from voxtable.store import MeasurementStore
@@ -420,6 +422,37 @@ def gaussian_mixture(spark, sf_dir):
     return cluster.gaussian_mixture(features(spark, sf_dir), 5, seed=0, restarts=2)
 
 
+def flagged(spark, sf_dir) -> DataFrame:
+    """Every line of an order as a point in the plane; the three return flags lie apart, and A's cloud is wide, N's tilted."""
+    flag = F.col("l_returnflag")
+    x = F.col("l_quantity") / 10 + F.when(flag == "A", 0).when(flag == "N", 40).otherwise(20)
+    y = F.col("l_discount") * 20 + F.when(flag == "A", F.col("l_tax") * 50).when(flag == "N", F.col("l_quantity") / 5).otherwise(60)
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("object_id"), F.array(x.cast("double"), y.cast("double")).alias("features"))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """Labels in the order of the first row of each."""
+    first = cut(found.groupBy("cluster").agg(F.min("object_id").alias("first")), "first")
+    named = first.select("cluster", (F.row_number().over(Window.orderBy("first")) - 1).alias("name"))  # a row for each cluster
+    return found.join(named, "cluster").select("object_id", F.col("name").cast("int").alias("cluster"))
+
+
+FLAGGED = """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS object_id, l_returnflag AS flag FROM lineitem), n AS (SELECT flag, row_number() OVER (ORDER BY min(object_id)) - 1 AS name FROM f GROUP BY 1)
+SELECT object_id, name::INT AS cluster FROM f JOIN n USING (flag)"""
+
+
+@query(FLAGGED)
+def mixture_of_flags(spark, sf_dir):
+    """A mixture of three finds the return flags again."""
+    return _named(cut(cluster.gaussian_mixture(flagged(spark, sf_dir), 3, seed=0), "mixture"))
+
+
+@query(FLAGGED)
+def auto_k_of_flags(spark, sf_dir):
+    """The criterion chooses three clusters among one to three, and k-means finds the flags."""
+    return _named(cut(cluster.auto_k_kmeans(flagged(spark, sf_dir), k_min=1, k_max=3, seed=0)[0], "clusters"))
+
+
 @query()
 def auto_k_kmeans(spark, sf_dir):
     return cluster.auto_k_kmeans(features(spark, sf_dir), k_min=2, k_max=4, seed=0)[0]
@@ -513,6 +546,24 @@ def laplacian_eigenmap(spark, sf_dir):
     return reduce.laplacian_eigenmap(features(spark, sf_dir), 2)
 
 
+TSNE_AFFINITIES = """WITH RECURSIVE near AS MATERIALIZED (SELECT u, list(v ORDER BY d, v) AS vs, list(d - least_d ORDER BY d, v) AS ds FROM (SELECT a.vec_id AS u, b.vec_id AS v, d, min(d) OVER (PARTITION BY a.vec_id) AS least_d, row_number() OVER (PARTITION BY a.vec_id ORDER BY d, least(a.vec_id, b.vec_id), greatest(a.vec_id, b.vec_id)) AS rank
+  FROM (SELECT a, b, (SELECT sum((a.embedding[i]::DOUBLE - b.embedding[i]) ** 2) FROM range(1, 65) t(i)) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 30 GROUP BY 1),
+s AS (SELECT u, 0 AS n, 0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1::DOUBLE AS beta FROM near
+  UNION ALL
+  SELECT u, n + 1, CASE WHEN wide THEN beta ELSE low END, CASE WHEN wide THEN high ELSE beta END, CASE WHEN wide AND isinf(high) THEN beta * 2 WHEN wide THEN (beta + high) / 2 ELSE (low + beta) / 2 END
+  FROM (SELECT s.*, ln(list_sum(list_transform(ds, lambda x: exp(-x * beta)))) + beta * list_sum(list_transform(ds, lambda x: x * exp(-x * beta))) / list_sum(list_transform(ds, lambda x: exp(-x * beta))) > ln(10) AS wide FROM s JOIN near USING (u) WHERE n < 60)),
+p AS (SELECT u, unnest(vs) AS v, unnest(list_transform(ds, lambda x: exp(-x * beta) / list_sum(list_transform(ds, lambda z: exp(-z * beta))))) AS p FROM s JOIN near USING (u) WHERE n = 60)
+SELECT u AS object_id, v AS other, round(sum(p) / 2, 6) AS share FROM (SELECT u, v, p FROM p UNION ALL SELECT v, u, p FROM p) GROUP BY 1, 2"""
+
+
+@query(TSNE_AFFINITIES)
+def tsne_affinities(spark, sf_dir):
+    """Shares of the neighbours at a perplexity of 10, whose attraction makes the layout; times the number of rows."""
+    points = features(spark, sf_dir).select(F.col("object_id").alias("node"), F.lit(1.0).alias("w"), F.transform("features", lambda x: x.cast("double")).alias("features"))
+    n = points.count()
+    return tsne_.affinities(points, 10.0, n).select(F.col("u").alias("object_id"), F.col("v").alias("other"), F.round(F.col("p") * n, 6).alias("share"))
+
+
 @query()
 def tsne(spark, sf_dir):
     return reduce.tsne(features(spark, sf_dir), 2, seed=0)
@@ -547,19 +598,59 @@ def hierarchies(spark, sf_dir):
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
 
 
-@query("SELECT m.name AS method, count(*) AS n, 0 AS odd FROM embeddings, (VALUES ('isomap'), ('laplacian'), ('tsne')) m(name) GROUP BY ALL")
+@query("SELECT m.name AS method, axis::INT AS axis, (SELECT count(*) FROM embeddings) AS n, m.fit::DOUBLE AS fit FROM (VALUES ('isomap', -1), ('laplacian', 1)) m(name, fit), range(2) t(axis)")
 def manifolds(spark, sf_dir):
-    """Rows of each embedding, and those without two finite coordinates."""
+    """How each axis lies with its image under the method's own matrix, as a correlation.
+
+    An axis of classical scaling is an eigenvector of the centred squared geodesic
+    distances, so it runs against its product with them; one of the Laplacian map
+    equals the mean of its graph's neighbours but for a factor.
+    """
     rows = features(spark, sf_dir)
-    bad = F.count_if(F.isnan("c0") | F.isnan("c1") | F.col("c0").isNull() | F.col("c1").isNull() | (F.abs("c0") > 1e300) | (F.abs("c1") > 1e300)).cast("int")
-    out = [d.agg(F.lit(k).alias("method"), F.count("*").alias("n"), bad.alias("odd")) for k, d in (("isomap", reduce.isomap(rows, 2)), ("laplacian", reduce.laplacian_eigenmap(rows, 2)), ("tsne", reduce.tsne(rows, 2, seed=0)))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    points = rows.select(F.col("object_id").alias("node"), F.lit(1.0).alias("w"), F.transform("features", lambda x: x.cast("double")).alias("features"))
+    edges = cut(reduce.neighbour_edges(points, 5), "edges")
+    paths = reduce.geodesics(edges, points.select("node")).select(F.col("node").alias("u"), F.col("source").alias("v"), (F.col("d") * F.col("d")).alias("s"))
+    out = []
+    for name, found, links, mean in (("isomap", reduce.isomap(rows, 2), paths, False), ("laplacian", reduce.laplacian_eigenmap(rows, 2), edges.select("u", "v", F.lit(1.0).alias("s")), True)):
+        found = cut(found, "embedded")
+        other = found.select(F.col("object_id").alias("v"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
+        image = links.join(other, "v").groupBy(F.col("u").alias("object_id")).agg(*[(F.avg if mean else F.sum)(F.col("s") * F.col(x)).alias(x) for x in ("x0", "x1")])
+        both = found.join(image, "object_id", "left").agg(F.count("*").alias("n"), *[F.corr(f"c{i}", f"x{i}").alias(f"f{i}") for i in range(2)])
+        out += [both.select(F.lit(name).alias("method"), F.lit(i).alias("axis"), "n", F.round(f"f{i}", 4).alias("fit")) for i in range(2)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+#: Weights of the network that SQL can repeat: entry i of layer k.
+WEIGHT = "(0.1 * sin(1.7 * ({i}) + {k}))"
+#: The network's output in SQL: its two convolutions over the voxels that are not 0, pooling, mean and linear layer.
+NETWORK = f"""{VOL}, {LAB}, ce AS (SELECT label, round(avg(z))::INT AS oz, round(avg(y))::INT AS oy, round(avg(x))::INT AS ox FROM lab GROUP BY 1),
+k AS (SELECT i, j, l, (i * 9 + j * 3 + l) AS k FROM range(3) a(i), range(3) b(j), range(3) c(l)),
+crop AS (SELECT label, z - oz + 4 AS d, y - oy + 4 AS h, x - ox + 4 AS w, value AS v FROM ce JOIN vol ON z BETWEEN oz - 4 AND oz + 3 AND y BETWEEN oy - 4 AND oy + 3 AND x BETWEEN ox - 4 AND ox + 3 WHERE value <> 0),
+s1 AS (SELECT label, o, d - i + 1 AS d, h - j + 1 AS h, w - l + 1 AS w, sum(v * {WEIGHT.format(i="o * 27 + k", k=0)}) AS s FROM crop, k, range(8) t(o) GROUP BY ALL),
+a1 AS (SELECT label, o, d, h, w, greatest(0, {WEIGHT.format(i="o", k=1)} + coalesce(s, 0)) AS a FROM (SELECT label, o, d, h, w FROM ce, range(8) t(o), range(8) b(d), range(8) c(h), range(8) e(w)) LEFT JOIN s1 USING (label, o, d, h, w)),
+pooled AS (SELECT label, o AS c, d // 2 AS d, h // 2 AS h, w // 2 AS w, max(a) AS a FROM a1 GROUP BY ALL),
+s2 AS (SELECT label, o, d - i + 1 AS d, h - j + 1 AS h, w - l + 1 AS w, sum(a * {WEIGHT.format(i="o * 216 + c * 27 + k", k=2)}) AS s FROM pooled, k, range(16) t(o) WHERE d - i + 1 BETWEEN 0 AND 3 AND h - j + 1 BETWEEN 0 AND 3 AND w - l + 1 BETWEEN 0 AND 3 GROUP BY ALL),
+mean AS (SELECT label, o, avg(greatest(0, s + {WEIGHT.format(i="o", k=3)})) AS m FROM s2 GROUP BY 1, 2)
+SELECT label::BIGINT AS object_id, c::INT AS class_id, round(sum(m * {WEIGHT.format(i="c * 16 + o", k=4)}) + {WEIGHT.format(i="c", k=5)}, 5) AS output FROM mean, range(2) t(c) GROUP BY 1, 2, c"""
+
+
+def _stated_network(spark, sf_dir):
+    """The network of stated weights and a crop around each object."""
+    model = classify.Cell3DClassifier(2)
+    model.weights = [(0.1 * np.sin(1.7 * np.arange(w.size) + k)).reshape(w.shape) for k, w in enumerate(model.weights)]
+    return model, classify.crops_around(grid_labels(spark, sf_dir), voxels(spark, sf_dir), 8)
+
+
+@query(NETWORK)
+def network_outputs(spark, sf_dir):
+    """What the network of stated weights puts out for each object's crop."""
+    return classify.outputs(*_stated_network(spark, sf_dir)).select("object_id", F.posexplode("outputs").alias("class_id", "output")).withColumn("output", F.round("output", 5))
 
 
-@query(f"{VOL}, {LAB} SELECT DISTINCT label::BIGINT AS object_id, true AS classed FROM lab")
+@query(f"SELECT object_id, arg_max(class_id, output) AS class_id FROM ({NETWORK}) GROUP BY 1")
 def predicted_objects(spark, sf_dir):
-    """Every labelled object gets one of the two classes."""
-    return train_and_predict(spark, sf_dir).select("object_id", F.col("class_id").isin(0, 1).alias("classed"))
+    """The class that the network of stated weights gives each object."""
+    return classify.predict(*_stated_network(spark, sf_dir))
 
 
 @query()

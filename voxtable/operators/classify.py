@@ -133,17 +133,22 @@ def train_classifier(model: Cell3DClassifier, crops: DataFrame, *, epochs: int =
     return losses
 
 
-def predict(model: Cell3DClassifier, crops: DataFrame) -> DataFrame:
-    """(object_id, class_id): the class of the largest output; weights travel with the task."""
+def outputs(model: Cell3DClassifier, crops: DataFrame) -> DataFrame:
+    """(object_id, outputs array<double>): the network's output for each class; weights travel with the task."""
     weights, channels = model.weights, model.in_channels
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [_forward(weights, _dense(pdf.iloc[a : a + 64], channels))[-1].argmax(1) for a in range(0, len(pdf), 64)]
-            yield pd.DataFrame({"object_id": pdf["object_id"], "class_id": np.concatenate(out).astype(np.int32) if out else []})
+            out = [_forward(weights, _dense(pdf.iloc[a : a + 64], channels))[-1] for a in range(0, len(pdf), 64)]
+            yield pd.DataFrame({"object_id": pdf["object_id"], "outputs": [row.tolist() for part in out for row in part]})
 
     kind = crops.schema["object_id"].dataType.simpleString()
-    return crops.select("object_id", "d", "h", "w", "crop").mapInPandas(run, f"object_id {kind}, class_id int")
+    return crops.select("object_id", "d", "h", "w", "crop").mapInPandas(run, f"object_id {kind}, outputs array<double>")
+
+
+def predict(model: Cell3DClassifier, crops: DataFrame) -> DataFrame:
+    """(object_id, class_id): the class of the largest output, the first of ties."""
+    return outputs(model, crops).select("object_id", (F.array_position("outputs", F.array_max("outputs")) - 1).cast("int").alias("class_id"))
 
 
 def crops_around(labels: DataFrame, intensity: DataFrame, side: int) -> DataFrame:

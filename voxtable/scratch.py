@@ -38,3 +38,13 @@ def cut(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/voxtable/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`cut` wrote and that no result reads any more."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if "/voxtable/" in folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
