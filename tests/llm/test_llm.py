@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxtable import scratch
+from voxtable.scratch import cut
 from voxtable.llm import html_text, media, mixing, packing, pii, quality, queries, simhash, suffix_dedup, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -325,7 +326,7 @@ PLANTED = [
     ("write to jane.doe [at] mail.example [dot] com today", "jane.doe [at] mail.example [dot] com"), ("reach joe(at)corp.org, thanks", "joe(at)corp.org"), ("mail me: sue at example dot com now", "sue at example dot com"),
     ("call (643) 555-5742 now", "(643) 555-5742"), ("call me at 555-123-4567.", "555-123-4567"), ("card 4111.1111.1111.1111 ok", "4111.1111.1111.1111"), ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
 ]
-CLEAN = ["He met her at noon. In the end it was so", "the shop at work. com is short", "we looked at www.foo. Then we left", "sent from of at orsh. Was it", "part 77(643) 555-5742x", "seen at Lyon. De la mer", "at at at. At. at"]
+CLEAN = ["He met her at noon. In the end it was so", "the shop at work. com is short", "we looked at www.foo. Then we left", "sent from of at orsh. Was it", "part 77(643) 555-5742x", "seen at Lyon. De la mer", "at at at. At. at", "follow me @john. thanks for it", "look (at) him. then go", "we met at noon. it was hot"]
 
 
 @pytest.mark.parametrize("sf", [None, "sf0.01", "sf0.1"])
@@ -346,8 +347,34 @@ def test_added_spans_are_personal(spark, sf):
             assert all(re.fullmatch(r"\(?[0-9]{3}\)? [0-9]{3}-[0-9]{4}", x) for x in spans if x not in base)
 
 
+UNLISTED = [("bob [at] mail [dot] it", "bob [at] mail [dot] it"), ("jane (at) example (dot) ca", "jane (at) example (dot) ca"), ("ask jane at company dot us about it", "jane at company dot us"), ("or joe(at)corp.ca instead", "joe(at)corp.ca")]
+
+
+def test_no_list_of_domains_stands_before_the_trees(spark):
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in UNLISTED)), "doc_id long, text string")
+    for r in pii.find(rows).collect():
+        text, want = UNLISTED[r["doc_id"]]
+        at = text.index(want)
+        assert r["spans"] == f"email:{at}:{at + len(want)}"
+
+
+def test_the_corpus_teaches_more_than_the_seeds(spark):
+    """Where a corpus writes addresses with a blank after the dot, and other things like addresses, the fitted trees follow it; the seeds alone do neither."""
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "ginkgo", "hazel"]
+    pairs = [(a, b) for a in words for b in words if a != b]
+    written = [f"contact {a} at {b}. com or not" for a, b in pairs] + [f"the item {a}(at){b}.shelf is sold" for a, b in pairs] + [f"they sat {a} at {b}. then left" for a, b in pairs]
+    held = [(f"contact {a} at {b}s. ca or not", f"{a} at {b}s. ca") for a, b in pairs[:25]] + [(f"the item {a}(at){b}s.xy is sold", None) for a, b in pairs[25:50]]
+    texts = written + [t for t, _ in held]
+    rows = cut(pii.with_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "cands"), "pii")
+    right = []
+    for model in (pii.fit_candidates(rows), pii.fit([])):
+        got = {r["doc_id"]: [texts[r["doc_id"]][s["s"] : s["e"]] for s in r["pii_spans"]] for r in pii.with_spans(rows, model).collect()}
+        right.append([got[len(written) + i] == ([want] if want else []) for i, (_, want) in enumerate(held)])
+    assert np.mean(right[0]) >= 0.98 and np.mean(right[1]) < 0.1
+
+
 def test_labels_are_not_features():
-    assert not {"check", "ok", "y", "base"} & set(pii.FEATURES)
+    assert not {"check", "ok", "own", "y", "base"} & set(pii.FEATURES)
 
 
 def test_boosting_separates():

@@ -6,21 +6,24 @@ with other separators, IPv6). Every candidate gets a vector of small numbers for
 its format (digits, separators, how at and dot are written) and its context (what
 it touches and whether a cue word stands before it).
 
-Labels come from what the vector does not hold: checksums of cards, ranges of IP
-numbers and digit counts, top-level domains, and certified base spans (a looser
-candidate inside one of its own kind is personal, one that overlaps another kind is
-not). Candidates without such evidence have no label. A few fixed examples are added
-(``SEEDS``), so that a corpus without spelled-out addresses, or without prose that
-looks like one, still has both. Boosted trees of depth 3 learn from the counts of
-vectors over all candidates of all rows, a table bounded by the product of the bins,
-and score as SQL.
+Labels come from what the vector does not hold. Of looser e-mail addresses it is the
+last part of the domain: 1 for well-known ones, none for two small letters, which may be
+a country or a word, 0 for all others; of the other kinds the checksum or the number of
+digits (0 if it fails), and a cue word before the number (1). A candidate that overlaps
+a certified base span of another kind is not personal; one that overlaps its own kind's
+is left out, as it is never added. A few fixed examples are added (``SEEDS``), so that a
+corpus without spelled-out addresses, or without prose that looks like one, still has
+both. Boosted trees of depth 3 learn from the counts of vectors over all candidates of
+all rows, a table bounded by the product of the bins, and score as SQL.
 
 A label by a check is right by chance for some junk (a tenth of all numbers pass
 Luhn's). With chance c, of candidates that pass among those of probability p a
 share (p - c) / ((1 - c) p) is personal. A kind's threshold is the lowest score of
 its looser candidates at which that share, by the model and by the counts from
 there up, reaches the wished precision. Base spans stay; looser ones are added when
-they pass their check, their score reaches the threshold and they touch no base span.
+their score reaches the threshold and they touch no base span. No list of domains stands
+before the trees; only numbers that cannot be of their kind (by checksum, range or number
+of digits) are never added.
 
 Patterns have possessive repeats and may start a match only at the head of a run
 or at the end of the previous match, which finds the same matches as the plain
@@ -67,9 +70,9 @@ CUE = {
     "card": r"(?i)(?:card|visa|credit|carte|karte|tarjeta|pay)\W*(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|t[ée]l[ée]fono|telefon)\W*(?:\w+\W+){0,2}$",
 }
-#: Largest value of each feature; so at most 4*2*5*5*3*3*2*3*3 = 32,400 vectors, of which few occur.
-#: dot: 0 plain, 1 spelled out, 2 with a blank beside it. at: 0 the sign, 1 in brackets, 2 the word.
-FEATURES = {"kind": 3, "loose": 1, "digits": 4, "seps": 4, "left": 2, "right": 2, "cue": 1, "dot": 2, "at": 2}
+#: Largest value of each feature; so at most 4*2*5*5*3*3*2*4*3 = 43,200 vectors, of which few occur.
+#: cue: of e-mail addresses. dot: 0 plain, 1 spelled out, 2 with a blank beside it, 3 and a capital next. at: 0 the sign, 1 in brackets, 2 the word.
+FEATURES = {"kind": 3, "loose": 1, "digits": 4, "seps": 4, "left": 2, "right": 2, "cue": 1, "dot": 3, "at": 2}
 #: Chance that junk passes its kind's label.
 CHANCE = (0.02, 0.02, 0.1, 0.02)
 # Top-level domains that are no common words of prose.
@@ -140,10 +143,12 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('c', c, 'd', {digits}))"))
     part = "get(split(c.m, '[.]'), {})"
     octets = " AND ".join(f"length(ltrim('0', {part.format(k)})) <= 3 AND CAST(concat('0', right({part.format(k)}, 3)) AS INT) <= 255" for k in range(4))
-    last = "lower(regexp_extract(c.m, '([A-Za-z0-9-]+)$', 1))"
+    last = "regexp_extract(c.m, '([A-Za-z0-9-]+)$', 1)"
+    known = f"CASE WHEN lower({last}) IN ({', '.join(map(repr, DOMAINS))}) THEN 1 WHEN NOT {last} RLIKE '^[a-z]{{2}}$' THEN 0 END"
+    cue = _cased({k: f"c.before RLIKE {_q(v)}" for k, v in CUE.items()}, "c.kind")
     prose = "c.m RLIKE '[.] | [.]'"
     checks = {
-        "email": f"c.base OR ({last} IN ({', '.join(map(repr, DOMAINS))}) AND NOT c.m RLIKE '[.] [A-Z]')",
+        "email": "true",
         "ip": f"CASE WHEN c.m LIKE '%:%' THEN true ELSE {octets} END",
         "card": f"CASE WHEN length(d) BETWEEN 16 AND 19 THEN {_luhn('d')} ELSE false END",
         "phone": "length(d) BETWEEN 8 AND 15",
@@ -156,18 +161,18 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "seps": "least(4, length(regexp_replace(c.m, '[A-Za-z0-9]', '')))",
         "left": "CASE WHEN c.before RLIKE '[\\\\p{L}\\\\p{N}_]$' THEN 2 WHEN c.before RLIKE '[^\\\\s(\\\\[,;:]$' THEN 1 ELSE 0 END",
         "right": "CASE WHEN c.after RLIKE '^[\\\\p{L}\\\\p{N}_]' THEN 2 WHEN c.after RLIKE '^[^\\\\s)\\\\],;:.!?]' THEN 1 ELSE 0 END",
-        "cue": f"CAST({_cased({k: f'c.before RLIKE {_q(v)}' for k, v in CUE.items()}, 'c.kind')} AS INT)",
-        "dot": f"CASE WHEN c.kind > 0 THEN 0 WHEN {prose} THEN 2 WHEN {spelled} THEN 1 ELSE 0 END",
+        "cue": f"CASE WHEN c.kind > 0 THEN 0 ELSE CAST(c.before RLIKE {_q(CUE['email'])} AS INT) END",
+        "dot": f"CASE WHEN c.kind > 0 THEN 0 WHEN c.m RLIKE '[.] [A-Z]' THEN 3 WHEN {prose} THEN 2 WHEN {spelled} THEN 1 ELSE 0 END",
         "at": "CASE WHEN c.kind > 0 OR c.m LIKE '%@%' THEN 0 WHEN c.m RLIKE '(?i)[(\\\\[{]at[)\\\\]}]' THEN 1 ELSE 2 END",
     }
     body = ", ".join(f"'{k}', {v}" for k, v in features.items())
     ok = f"coalesce({_cased(checks, 'c.kind')}, false)"
-    out = out.withColumn("cands", F.expr(f"transform(cands, x -> transform(array(x), y -> named_struct('c', y.c, 'f', named_struct({_inner(body)}), 'ok', {_inner(ok)}))[0])"))
+    own = f"CASE WHEN c.base THEN NULL WHEN c.kind = 0 THEN {known} WHEN NOT {ok} THEN 0 WHEN c.kind = 2 OR {cue} THEN 1 END"
+    out = out.withColumn("cands", F.expr(f"transform(cands, x -> transform(array(x), y -> named_struct('c', y.c, 'f', named_struct({_inner(body)}), 'ok', {_inner(ok)}, 'own', {_inner(own)}))[0])"))
     sure = "filter(cands, b -> b.c.base AND b.ok)"
-    # Evidence on a looser candidate: certified spans that it meets, else what its own characters prove. Digit counts and hexadecimal groups prove nothing.
+    # Evidence on a looser candidate: certified spans that it meets, else its own.
     meets = "b.c.s < x.c.s + x.c.n AND x.c.s < b.c.s + b.c.n"
-    label = f"""CASE WHEN x.c.base THEN CAST(x.ok AS INT) WHEN exists(__sure, b -> {meets} AND b.c.kind <> x.c.kind) THEN 0 WHEN exists(__sure, b -> {meets}) THEN 1
-        WHEN x.c.kind = 0 OR x.c.kind = 2 THEN CAST(x.ok AS INT) END"""
+    label = f"CASE WHEN x.c.base THEN CAST(x.ok AS INT) WHEN exists(__sure, b -> {meets} AND b.c.kind <> x.c.kind) THEN 0 WHEN NOT exists(__sure, b -> {meets}) THEN x.own END"
     out = out.withColumn("__sure", F.expr(sure))
     return out.withColumn("cands", F.expr(f"transform(cands, x -> named_struct('kind', x.c.kind, 'base', x.c.base, 's', x.c.s, 'e', x.c.s + x.c.n, 'f', x.f, 'ok', x.ok, 'y', {label}))")).drop("__t", "__sure")
 
@@ -227,9 +232,10 @@ def _vector(**values: int) -> dict[str, int]:
 
 #: Fixed examples (vector, clean, personal): spelled-out addresses and sentence ends, numbers that stand alone and numbers inside others.
 SEEDS = [
-    *[(_vector(kind=0, loose=1, seps=4, at=at, dot=dot, cue=cue), 0, 4) for at in (0, 1) for dot in (0, 1) for cue in (0, 1)],
+    *[(_vector(kind=0, loose=1, seps=seps, at=at, dot=dot, cue=cue), 0, 4) for seps in (3, 4) for at in (0, 1) for dot in (0, 1) for cue in (0, 1)],
     *[(_vector(kind=0, loose=1, seps=4, at=2, dot=1, cue=cue), 0, 8) for cue in (0, 1)],
-    *[(_vector(kind=0, loose=1, seps=seps, at=2, dot=2), 40, 0) for seps in (3, 4)],
+    *[(_vector(kind=0, loose=1, seps=seps, at=2, dot=dot), 40, 0) for seps in (3, 4) for dot in (2, 3)],
+    *[(_vector(kind=0, loose=1, seps=seps, at=at, dot=dot), 20, 0) for seps in (3, 4) for at in (0, 1) for dot in (2, 3)],
     (_vector(kind=0, loose=1, seps=3, at=2, dot=0), 10, 0),
     *[(_vector(kind=k, loose=1, digits=d, seps=seps), 0, 8) for k, d, seps in ((1, 4, 4), (1, 3, 4), (2, 4, 3), (3, 2, 2), (3, 2, 4), (3, 3, 4))],
     *[(_vector(kind=k, loose=1, digits=d, seps=seps, **side), 10, 0) for k, d, seps in ((1, 4, 4), (1, 3, 4), (2, 4, 3), (3, 2, 2), (3, 2, 4), (3, 3, 4)) for side in ({"left": 2}, {"right": 2}, {"left": 1}, {"right": 1})],
@@ -265,7 +271,7 @@ def fit(table: list[tuple[dict[str, int], int, int]], rounds: int = 40, precisio
 
 
 def fit_candidates(found: DataFrame) -> Model:
-    """The model of all rows' candidates; at most the product of the bins, 32,400 rows, comes to the driver."""
+    """The model of all rows' candidates; at most the product of the bins, 43,200 rows, comes to the driver."""
     each = found.select(F.explode("cands").alias("x")).where("x.y IS NOT NULL")
     counts = each.groupBy(*[F.col(f"x.f.{k}").alias(k) for k in FEATURES]).agg(F.sum(1 - F.col("x.y")).alias("a"), F.sum("x.y").alias("b"))
     rows = [({k: r[k] for k in FEATURES}, r["a"], r["b"]) for r in counts.collect()]
