@@ -79,4 +79,4 @@ def test_small_and_odd_tables(spark):
             got = reduce.tsne(spark.createDataFrame(rows, schema), 2, dense=dense, iterations=2).collect()
             assert sorted(r[0] for r in got) == [r[0] for r in rows] and np.isfinite(np.array([r[1:] for r in got], float)).all()
     with pytest.raises(ValueError):
-        reduce.tsne(spark.createDataFrame([("a", [1.0])], schema), 4, dense=0)
+        reduce.tsne(spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [4.0])], schema), 4, dense=0)
