@@ -574,3 +574,20 @@ def test_components_of_a_dense_volume_are_not_broadcast(spark, monkeypatch):
     many = segment.label_components(full.where("x % 2 = 0"), (1, 40, 40), block=10)
     assert many.select("label").distinct().count() == 20 and many.count() == 800
     assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fits_read_each_different_row_once(spark, monkeypatch):
+    """Forty copies of each row: fits see the row once, with its number, and the result is of all rows."""
+    x = np.concatenate([np.random.default_rng(k).normal(30 * k, 1, (12, 2)) for k in range(3)])
+    rows = [(40 * i + c, [float(v) for v in r]) for i, r in enumerate(x) for c in range(40)]
+    data = spark.createDataFrame(rows, "object_id long, features array<double>").repartition(4)
+    fitted = []
+    for kind in (cluster.GaussianMixture, cluster.KMeans):
+        monkeypatch.setattr(kind, "fit", lambda self, d, fit=kind.fit: (fitted.append(d.count()), fit(self, d))[1])
+    for got in (cluster.gaussian_mixture(data, 3, seed=0), cluster.auto_k_kmeans(data, k_min=1, k_max=3, seed=0)[0]):
+        pairs = got.select("cluster", F.floor(F.col("object_id") / 480).alias("truth"))
+        assert got.count() == 1440 and validate.cluster_assignment_ari(pairs, "cluster", "truth").first()["ari"] == 1
+    assert set(fitted) == {36}
+    twice = cluster.nearest_centre(data, [[0.0, 0.0], [60.0, 60.0]])
+    once = cluster.nearest_centre(cluster.different(data).select(F.struct("w").alias("object_id"), "features"), [[0.0, 0.0], [60.0, 60.0]])
+    assert abs(cluster.kmeans_bic(twice, 2, 2).first()["bic"] - cluster.kmeans_bic(once, 2, 2, "object_id.w").first()["bic"]) < 1e-6
