@@ -80,3 +80,24 @@ def test_small_and_odd_tables(spark):
             assert sorted(r[0] for r in got) == [r[0] for r in rows] and np.isfinite(np.array([r[1:] for r in got], float)).all()
     with pytest.raises(ValueError):
         reduce.tsne(spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [4.0])], schema), 4, dense=0)
+
+
+def test_an_iteration_is_one_job(spark):
+    """Two jobs an iteration, a join, a write and a grid's sums, took over seven minutes for 300 on 10,256 rows."""
+    points = points_of(spark, np.random.default_rng(2).normal(size=(ROWS, 4)))
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"tsne-{rounds}", "")
+        tsne._by_grid(points, 2, 30.0, 7, ROWS, rounds)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"tsne-{rounds}"))
+
+    try:
+        assert jobs(12) - jobs(4) == 8
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_places_and_joins_agree(spark):
+    points = points_of(spark, np.random.default_rng(3).normal(size=(ROWS, 4)))
+    told, joined = (np.array(sorted(tsne._by_grid(points, 2, 10.0, 7, ROWS, 2, places=k).collect())) for k in (ROWS, 0))
+    assert np.abs(told - joined).max() <= 1e-9 * np.abs(joined).max()
