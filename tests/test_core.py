@@ -475,6 +475,17 @@ def test_range_join(spark):
     assert joins.range_join(p.drop("g"), q.drop("g").limit(0), at="v", low="a", high="b").count() == 0
 
 
+def test_range_join_compares_equal_rows_once(spark, monkeypatch):
+    """Lists meet in the join, and no pair is lost where a value's rows fill several lists."""
+    monkeypatch.setattr(joins, "LIST", 7)
+    points = spark.range(40).select("id", F.when(F.col("id") < 30, 1.0).otherwise(F.col("id") / 10).alias("v"))
+    ranges = spark.range(25).select(F.col("id").alias("k"), F.lit(0.5).alias("a"), F.lit(3.5).alias("b"))
+    got = joins.range_join(points, ranges, at="v", low="a", high="b")
+    assert got.columns == ["id", "v", "k", "a", "b"] and sorted((r["id"], r["k"]) for r in got.collect()) == [(i, k) for i in range(36) if i < 35 for k in range(25)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(__ranges" in plan.split("Join Inner")[0]
+
+
 def test_to_numpy_keeps_to_its_budget(spark):
     v = VolumeFrame(spark.createDataFrame([(0, 0, 1, 2, 5.0)], "c int, z int, y int, x int, value double"), (1, 1, 2, 3), "uint16", 7.0)
     assert v.to_numpy().tolist() == [[[[7, 7, 7], [7, 7, 5]]]] and v.to_numpy().dtype == np.uint16
