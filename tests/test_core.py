@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from voxtable.functions.rank import dense_index
@@ -227,6 +228,13 @@ def test_clustering(spark):
         cluster.auto_k_kmeans(data, k_min=3, k_max=2)
 
 
+def test_the_mean_of_many_rows_is_exact(spark):
+    """One pass over rows far from the origin is off by more than 1e-9."""
+    data = spark.range(100_000).select(F.col("id").alias("object_id"), F.array(F.col("id") % 7 + 1e9).alias("features"))
+    centred = reduce._centred(data).select(vector_to_array("centred")[0]).toPandas().iloc[:, 0]
+    assert abs(math.fsum(centred)) / len(centred) < 1e-11
+
+
 def test_reduction(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=60)
