@@ -34,8 +34,8 @@ from voxtable.scratch import cut, forget
 
 #: Rows up to which forces are those of all pairs, as a matrix.
 DENSE = 500
-#: Rows up to which their places are broadcast (4 MB for two axes), and rows whose links are a task's, at least.
-PLACES, SHARE = 250_000, 1000
+#: Rows up to which their places are broadcast (16 MB for two axes), and rows whose links are a task's, at least.
+PLACES, SHARE = 1_000_000, 1000
 #: Most boxes of the grid on an axis, by number of axes; a box has 3 nodes on an axis.
 BOXES = {1: 10_000, 2: 300, 3: 30}
 #: Iterations with exaggerated affinities, and their factor.
